@@ -1,43 +1,152 @@
-"""Registered queries: joins and reduction."""
+"""Registered queries: joins, reduction, projections."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from widen.operators.join import augment, fanout, key_overlap, left_join, left_join_m1, reduce_by_key
+from widen.operators.join import augment, fanout, key_overlap, left_join, left_join_m1, project
+from widen.operators.project import drop_leaky, drop_null_target, sample_rows
 from widen.plans.registry import query, table
+from widen.plans.sqlgen import augment_sql, union_all
+from widen.sources.tables import TableRef, zip_columns
 
 
-def _mode_sql(tbl: str, key: str, value: str, alias: str) -> str:
-    """Oracle for the mode: most frequent non-null value, smallest on ties."""
-    return f"""(SELECT k, v AS {alias} FROM (
-        SELECT {key} AS k, {value} AS v,
-               row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {value}) AS rn
-        FROM {tbl} WHERE {key} IS NOT NULL AND {value} IS NOT NULL
-        GROUP BY {key}, {value}) WHERE rn = 1)"""
+def _round(df, cols):
+    for c in cols:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
 
 
-def _mean_sql(tbl: str, key: str, value: str, alias: str) -> str:
-    return f"""(SELECT {key} AS k,
-        CASE WHEN min({value}) = max({value}) THEN min({value})::DOUBLE ELSE avg({value}) END AS {alias}
-        FROM {tbl} WHERE {key} IS NOT NULL GROUP BY {key})"""
+# -- J3 flagship: customer widened with order features ----------------------
 
-
-# -- flagship: customer widened with order features -------------------------
+ORDER_NUMS = ["o_totalprice"]
+ORDER_CATS = ["o_orderpriority", "o_orderstatus"]
 
 
 def augment_orders_df(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     orders = table(spark, sf_dir, "orders")
-    out = augment(customer, orders, ["o_totalprice", "o_orderpriority", "o_orderstatus"],
-                  left_keys="c_custkey", right_keys="o_custkey")
-    return out.withColumn("o_totalprice", F.round("o_totalprice", 6))
-
-
-query("augment_orders", f"""
-SELECT c.*, round(m.o_totalprice, 6) AS o_totalprice, p.o_orderpriority, s.o_orderstatus
-FROM customer c
-LEFT JOIN {_mean_sql('orders', 'o_custkey', 'o_totalprice', 'o_totalprice')} m ON c.c_custkey = m.k
-LEFT JOIN {_mode_sql('orders', 'o_custkey', 'o_orderpriority', 'o_orderpriority')} p ON c.c_custkey = p.k
-LEFT JOIN {_mode_sql('orders', 'o_custkey', 'o_orderstatus', 'o_orderstatus')} s ON c.c_custkey = s.k
-""")(augment_orders_df)
+    out = augment(customer, orders, ORDER_NUMS + ORDER_CATS, left_keys="c_custkey", right_keys="o_custkey")
+    return _round(out, ORDER_NUMS)
+
+
+query("augment_orders", augment_sql("customer", "c_custkey", "orders", "o_custkey",
+                                    ORDER_NUMS, ORDER_CATS))(augment_orders_df)
+
+# -- J3: orders widened with line items (mixed numeric / text / timestamp) ---
+
+LINE_NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+LINE_CATS = ["l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("augment_lineitem", augment_sql("orders", "o_orderkey", "lineitem", "l_orderkey", LINE_NUMS, LINE_CATS))
+def augment_lineitem(spark, sf_dir):
+    out = augment(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), LINE_NUMS + LINE_CATS,
+                  left_keys="o_orderkey", right_keys="l_orderkey")
+    return _round(out, LINE_NUMS)
+
+
+# -- J3: customer widened with events (90 % of customers get nulls) ----------
+
+EVENT_NUMS = ["value"]
+EVENT_CATS = ["event_type", "props", "ts"]
+
+
+@query("augment_events", augment_sql("customer", "c_custkey", "events", "user_id", EVENT_NUMS, EVENT_CATS))
+def augment_events(spark, sf_dir):
+    t = TableRef("events", table(spark, sf_dir, "events"), ["c_custkey"], ["user_id"])
+    out = augment(table(spark, sf_dir, "customer"), t, EVENT_NUMS + EVENT_CATS)
+    return _round(out, EVENT_NUMS)
+
+
+# -- J1: unique right side, plain row-preserving join -------------------------
+
+
+@query("join_m1_nation", """
+SELECT c.*, n.n_name, n.n_regionkey FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+""")
+def join_m1_nation(spark, sf_dir):
+    return left_join_m1(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"),
+                        "c_nationkey", "n_nationkey")
+
+
+# -- J2: fan-out per (table, key) ---------------------------------------------
+
+FANOUT = [("orders", "o_custkey"), ("lineitem", "l_orderkey"), ("events", "user_id"),
+          ("nation", "n_nationkey"), ("customer", "c_custkey")]
+
+
+def _fanout_sql(t, k):
+    return (f"SELECT '{t}' AS table_name, '{k}' AS key_name, count(*) AS n_keys, "
+            f"count(*) FILTER (WHERE n > 1) AS n_dup_keys, coalesce(max(n), 0)::BIGINT AS max_rows_per_key "
+            f"FROM (SELECT {k}, count(*) AS n FROM {t} WHERE {k} IS NOT NULL GROUP BY {k})")
+
+
+@query("fanout_keys", union_all(_fanout_sql(t, k) for t, k in FANOUT))
+def fanout_keys(spark, sf_dir):
+    out = None
+    for t, k in FANOUT:
+        f = fanout(table(spark, sf_dir, t), k).select(F.lit(t).alias("table_name"), F.lit(k).alias("key_name"), "*")
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+# -- J4: fan-out left join ----------------------------------------------------
+
+
+@query("left_join_fanout", """
+SELECT c.*, o.o_orderkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate, o.o_orderpriority
+FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
+""")
+def left_join_fanout(spark, sf_dir):
+    return left_join(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+
+
+# -- J5: key overlap ----------------------------------------------------------
+
+
+@query("key_overlap", """
+SELECT count(*) AS n_rows, count(e.k) AS n_matched, round(count(e.k)::DOUBLE / count(*), 6) AS overlap
+FROM customer c LEFT JOIN (SELECT DISTINCT user_id AS k FROM events WHERE user_id IS NOT NULL) e ON c.c_custkey = e.k
+""")
+def key_overlap_q(spark, sf_dir):
+    out = key_overlap(table(spark, sf_dir, "customer"), "c_custkey", table(spark, sf_dir, "events"), "user_id")
+    return out.withColumn("overlap", F.round("overlap", 6))
+
+
+# -- P1, P5, P6, P8, C13 ------------------------------------------------------
+
+
+@query("feature_project", "SELECT p_partkey, p_name, p_size FROM part")
+def feature_project(spark, sf_dir):
+    t = TableRef("part", table(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey"])
+    # an unknown name ("p_color") falls out, the key is always kept
+    return project(t, ["p_name", "p_size", "p_color"])
+
+
+@query("drop_leaky", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def drop_leaky_q(spark, sf_dir):
+    return drop_leaky(table(spark, sf_dir, "orders"), "date")
+
+
+@query("head_sample", """
+SELECT row_number() OVER (ORDER BY n_nationkey) AS rank,
+       to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::VARCHAR AS row_json
+FROM nation ORDER BY n_nationkey LIMIT 3
+""")
+def head_sample(spark, sf_dir):
+    return sample_rows(table(spark, sf_dir, "nation"), "n_nationkey", 3)
+
+
+@query("drop_null_target", """
+SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+WHERE l.quality IS NOT NULL
+""")
+def drop_null_target_q(spark, sf_dir):
+    joined = zip_columns(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+    return drop_null_target(joined, "quality")
+
+
+@query("zip_columns", "SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def zip_columns_q(spark, sf_dir):
+    return zip_columns(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")

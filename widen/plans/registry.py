@@ -37,5 +37,8 @@ def load_all():
     # importing the modules fills the registry
     from widen.plans import (  # noqa: F401
         q_join,
+        q_stats,
+        q_prep,
+        q_select,
     )
     return QUERIES, ORACLES
