@@ -7,6 +7,7 @@ them. Doubles that are means or ratios are rounded to 6 decimals on both sides
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,8 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            # "column" is a reserved word in DuckDB; quote it where it is a name
+            ORACLES[name] = re.sub(r'(?<![\w"\'.])column(?![\w"\'])', '"column"', sql)
         return fn
 
     return deco
