@@ -88,8 +88,9 @@ def numeric_bins(df: DataFrame, features, bins: int = 16, fill_median: bool = Tr
         if lo is None or hi is None or hi == lo:
             b = F.when(x.isNotNull(), F.lit(0))
         else:
-            b = F.least(F.floor((x - F.lit(float(lo))) / F.lit(float(hi) - float(lo)) * bins).cast("int"),
-                        F.lit(bins - 1))
+            # least() skips nulls, so a null value must be kept out explicitly
+            b = F.when(x.isNotNull(), F.least(
+                F.floor((x - F.lit(float(lo))) / F.lit(float(hi) - float(lo)) * bins).cast("int"), F.lit(bins - 1)))
         out[c] = b.cast("string")
     return out
 

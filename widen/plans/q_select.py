@@ -1 +1,217 @@
-"""placeholder"""
+"""Registered queries: feature scores and selection methods."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from widen.operators.join import augment
+from widen.operators.score import cramers_v, missing_ratios, mutual_info, pearson
+from widen.operators.select import leak_scan, select_all, select_filter, select_mutual_info, select_random
+from widen.plans.registry import query, table
+from widen.plans.sqlgen import augment_sql, union_all
+from widen.sources.tables import TableRef
+
+NUMS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+CATS = ["l_returnflag", "l_linestatus", "l_shipdate"]
+FEATS = NUMS + CATS  # lineitem column order without the key
+KINDS = {**{f: "numeric" for f in NUMS}, "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "temporal"}
+
+WIDE = augment_sql("orders", "o_orderkey", "lineitem", "l_orderkey", NUMS, CATS,
+                   base_cols="b.o_orderkey, b.o_orderstatus, b.o_totalprice", round_means=False)
+
+
+def _lineitem(spark, sf_dir):
+    return TableRef("lineitem", table(spark, sf_dir, "lineitem"), ["o_orderkey"], ["l_orderkey"])
+
+
+def _wide(spark, sf_dir):
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return augment(base, _lineitem(spark, sf_dir), FEATS)
+
+
+def _r6(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+# -- SQL builders for the contingency-table scores ------------------------------
+
+
+def bins_sql(src: str, f: str, bins: int = 16, fill_median: bool = True) -> str:
+    x = f"coalesce({f}, (SELECT median({f}) FROM {src}))" if fill_median else f
+    lo, hi = f"(SELECT min({f}) FROM {src})", f"(SELECT max({f}) FROM {src})"
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {hi} = {lo} THEN 0 "
+            f"ELSE least(floor(({x} - {lo}) / ({hi} - {lo}) * {bins}), {bins - 1}) END)::BIGINT::VARCHAR")
+
+
+def cells_sql(src: str, exprs: dict, y: str, drop_nulls: bool) -> str:
+    lf = union_all(f"SELECT '{f}' AS feature, {e} AS x, {y} AS y FROM {src}" for f, e in exprs.items())
+    where = "WHERE x IS NOT NULL AND y IS NOT NULL" if drop_nulls else ""
+    return f"SELECT feature, x, y, count(*) AS o FROM ({lf}) {where} GROUP BY feature, x, y"
+
+
+def cramers_sql(wide: str, exprs: dict, y: str) -> str:
+    return f"""
+WITH wide AS ({wide}),
+cells AS ({cells_sql('wide', exprs, y, True)}),
+r AS (SELECT feature, x, sum(o) AS r FROM cells GROUP BY feature, x),
+c AS (SELECT feature, y, sum(o) AS c FROM cells GROUP BY feature, y),
+rs AS (SELECT feature, count(*) AS n_rows, sum(r)::DOUBLE AS n, sum(1.0::DOUBLE / r) AS ir FROM r GROUP BY feature),
+cs AS (SELECT feature, count(*) AS n_cols, sum(1.0::DOUBLE / c) AS ic FROM c GROUP BY feature),
+m AS (SELECT cells.feature, o::DOUBLE AS o, r::DOUBLE AS r, c::DOUBLE AS c, rs.n AS n FROM cells
+      JOIN r ON cells.feature = r.feature AND cells.x = r.x
+      JOIN c ON cells.feature = c.feature AND cells.y = c.y
+      JOIN rs ON cells.feature = rs.feature),
+st AS (SELECT feature, sum(o * o / (r * c)) AS s, max(abs(o - r * c / n)) AS d FROM m GROUP BY feature),
+k AS (SELECT rs.feature, n, n_rows, n_cols,
+             greatest(CASE WHEN n_rows = 2 AND n_cols = 2 THEN (d - least(0.5, d)) * (d - least(0.5, d)) * n * ic * ir
+                           ELSE n * (s - 1.0) END, 0.0) AS chi2
+      FROM rs JOIN cs ON rs.feature = cs.feature JOIN st ON rs.feature = st.feature)
+SELECT feature, n::BIGINT AS n, n_rows, n_cols, round(chi2, 6) AS chi2,
+       round(CASE WHEN n_rows < 2 OR n_cols < 2 THEN 0.0
+                  ELSE sqrt(chi2 / (n * (least(n_rows, n_cols) - 1))) END, 6) AS cramers_v
+FROM k"""
+
+
+def mi_sql(wide: str, exprs: dict, y: str) -> str:
+    return f"""
+WITH wide AS ({wide}),
+cells AS ({cells_sql('wide', exprs, y, False)}),
+r AS (SELECT feature, x, sum(o) AS r FROM cells GROUP BY feature, x),
+c AS (SELECT feature, y, sum(o) AS c FROM cells GROUP BY feature, y),
+n AS (SELECT feature, sum(r) AS n FROM r GROUP BY feature)
+SELECT cells.feature, sum(o::DOUBLE / n.n * ln(o::DOUBLE * n.n / (r.r * c.c))) AS mutual_info
+FROM cells JOIN r ON cells.feature = r.feature AND cells.x IS NOT DISTINCT FROM r.x
+JOIN c ON cells.feature = c.feature AND cells.y IS NOT DISTINCT FROM c.y
+JOIN n ON cells.feature = n.feature GROUP BY cells.feature"""
+
+
+def _cat(f, token=None):
+    return f"coalesce({f}::VARCHAR, '{token}')" if token else f"{f}::VARCHAR"
+
+
+MI_EXPRS = {**{f: bins_sql("wide", f) for f in NUMS}, **{f: _cat(f, "MISSING") for f in CATS}}
+MI_Y = _cat("o_orderstatus", "MISSING")
+
+# -- F1 ----------------------------------------------------------------------------
+
+
+@query("missing_filter", f"""
+WITH wide AS ({WIDE})
+{union_all(f"SELECT '{f}' AS feature, round(avg(({f} IS NULL)::INT::DOUBLE), 6) AS missing_ratio, "
+           f"avg(({f} IS NULL)::INT::DOUBLE) <= 0.3 AS kept FROM wide" for f in FEATS)}
+""")
+def missing_filter(spark, sf_dir):
+    m = missing_ratios(_wide(spark, sf_dir), FEATS)
+    return m.select("feature", F.round("missing_ratio", 6).alias("missing_ratio"),
+                    (F.col("missing_ratio") <= 0.3).alias("kept"))
+
+
+# -- F2 ----------------------------------------------------------------------------
+
+
+def _pearson_sql(f, y):
+    xm = f"CASE WHEN {y} IS NOT NULL THEN {f} END"
+    ym = f"CASE WHEN {f} IS NOT NULL THEN {y} END"
+    return (f"SELECT '{f}' AS feature, round(covar_pop({xm}, {ym}) / "
+            f"nullif(stddev_pop({xm}) * stddev_pop({ym}), 0), 6) AS pearson FROM wide")
+
+
+@query("pearson", f"WITH wide AS ({WIDE}) " + union_all(_pearson_sql(f, "o_totalprice") for f in NUMS))
+def pearson_q(spark, sf_dir):
+    return _r6(pearson(_wide(spark, sf_dir), NUMS, "o_totalprice"), "pearson")
+
+
+# -- F3 ----------------------------------------------------------------------------
+
+
+@query("cramers_v", cramers_sql(WIDE, {f: _cat(f) for f in CATS}, "o_orderstatus::VARCHAR"))
+def cramers_v_q(spark, sf_dir):
+    return _r6(cramers_v(_wide(spark, sf_dir), CATS, "o_orderstatus"), "chi2", "cramers_v")
+
+
+@query("cramers_v_2x2", cramers_sql("SELECT * FROM labels", {"toxic": _cat("toxic")}, "quality::VARCHAR"))
+def cramers_v_2x2(spark, sf_dir):
+    return _r6(cramers_v(table(spark, sf_dir, "labels"), ["toxic"], "quality"), "chi2", "cramers_v")
+
+
+@query("cramers_v_binned", cramers_sql(WIDE, {f: bins_sql("wide", f, fill_median=False) for f in NUMS},
+                                       "o_orderstatus::VARCHAR"))
+def cramers_v_binned(spark, sf_dir):
+    return _r6(cramers_v(_wide(spark, sf_dir), NUMS, "o_orderstatus", numeric="bin"), "chi2", "cramers_v")
+
+
+# -- F4 ----------------------------------------------------------------------------
+
+_POS_SQL = "CASE feature " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(FEATS)) + " END"
+_KIND_SQL = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{KINDS[f]}'" for f in FEATS) + " END"
+_MISS_SQL = union_all(f"SELECT '{f}' AS feature, avg(({f} IS NULL)::INT::DOUBLE) AS missing_ratio FROM wide"
+                      for f in FEATS)
+
+
+@query("filter_select", f"""
+WITH v AS ({cramers_sql(WIDE, {f: _cat(f) for f in CATS}, "o_orderstatus::VARCHAR")}),
+wide AS ({WIDE}),
+miss AS ({_MISS_SQL}),
+sc AS (SELECT feature, 'cramers_v' AS measure, cramers_v AS score FROM v
+       UNION ALL {union_all(f"SELECT '{f}', 'none', 0.0" for f in NUMS)})
+SELECT {_POS_SQL} AS pos, feature, {_KIND_SQL} AS kind, round(missing_ratio, 6) AS missing_ratio, measure,
+       round(score, 6) AS score, false AS duplicate_name, (missing_ratio <= 0.3 AND abs(score) >= 0.1) AS selected
+FROM (SELECT miss.feature, missing_ratio, measure, score FROM miss JOIN sc ON miss.feature = sc.feature)
+""")
+def filter_select(spark, sf_dir):
+    base = table(spark, sf_dir, "orders")
+    out = select_filter(base, _lineitem(spark, sf_dir), "o_orderstatus")
+    return _r6(out, "missing_ratio", "score")
+
+
+# -- F5 / F6 -------------------------------------------------------------------
+
+
+@query("mutual_info", f"SELECT feature, round(mutual_info, 6) AS mutual_info FROM ({mi_sql(WIDE, MI_EXPRS, MI_Y)})")
+def mutual_info_q(spark, sf_dir):
+    return _r6(mutual_info(_wide(spark, sf_dir), FEATS, "o_orderstatus", "classification"), "mutual_info")
+
+
+@query("mi_topk", f"""
+SELECT {_POS_SQL} AS pos, feature, round(mutual_info, 6) AS mutual_info,
+       row_number() OVER (ORDER BY mutual_info DESC, feature) <= {len(FEATS) // 2} AS selected
+FROM ({mi_sql(WIDE, MI_EXPRS, MI_Y)})
+""")
+def mi_topk(spark, sf_dir):
+    out = select_mutual_info(table(spark, sf_dir, "orders"), _lineitem(spark, sf_dir), "o_orderstatus")
+    return _r6(out, "mutual_info")
+
+
+# -- F7 / F8 -------------------------------------------------------------------
+
+_LCOLS = ("SELECT (ordinal_position - 2)::INT AS pos, column_name AS feature FROM information_schema.columns "
+          "WHERE table_name = 'lineitem' AND column_name <> 'l_orderkey'")
+
+
+@query("select_all", f"SELECT pos, feature, true AS selected FROM ({_LCOLS})")
+def select_all_q(spark, sf_dir):
+    return select_all(_lineitem(spark, sf_dir))
+
+
+@query("select_random", f"""
+SELECT pos, feature, row_number() OVER (ORDER BY md5('42:' || feature), feature) <= (SELECT count(*) FROM ({_LCOLS})) // 2
+       AS selected FROM ({_LCOLS})
+""")
+def select_random_q(spark, sf_dir):
+    return select_random(_lineitem(spark, sf_dir), seed=42)
+
+
+# -- J7 -------------------------------------------------------------------------
+
+_LEAK_EXPRS = {**{f: bins_sql("wide", f, fill_median=False) for f in NUMS}, **{f: _cat(f) for f in CATS}}
+
+
+@query("leak_scan", f"""
+SELECT feature, 'cramers_v' AS measure, cramers_v AS score, cramers_v >= 0.5 AS flagged
+FROM ({cramers_sql(WIDE, _LEAK_EXPRS, "o_orderstatus::VARCHAR")})
+""")
+def leak_scan_q(spark, sf_dir):
+    out = leak_scan(table(spark, sf_dir, "orders"), _lineitem(spark, sf_dir), "o_orderstatus")
+    return out.withColumn("score", F.round("score", 6)).withColumn("flagged", F.col("score") >= 0.5)
