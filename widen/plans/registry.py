@@ -42,5 +42,6 @@ def load_all():
         q_stats,
         q_prep,
         q_select,
+        q_catalog,
     )
     return QUERIES, ORACLES
