@@ -43,5 +43,6 @@ def load_all():
         q_prep,
         q_select,
         q_catalog,
+        q_recommend,
     )
     return QUERIES, ORACLES
