@@ -192,19 +192,21 @@ def assemble(df: DataFrame, features, output: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="keep").transform(df)
 
 
-def model_frame(df: DataFrame, target: str, task: str, drop_null_target: bool = True) -> tuple[DataFrame, list[str]]:
-    """Everything a scorer needs: nulls filled, text coded, target prepared."""
+def model_frame(df: DataFrame, target: str, task: str, drop_null_target: bool = True,
+                passthrough=()) -> tuple[DataFrame, list[str]]:
+    """Everything a scorer needs: text nulls -> ``'MISSING'`` then codes,
+    numeric nulls -> median, infinities -> 0, target prepared (E1-E7).
+    ``passthrough`` columns (e.g. a row key) are carried along untouched."""
     if drop_null_target:
         df = df.filter(col(target).isNotNull())
-    feats = [c for c in df.columns if c != target]
     kinds = classes(df)
-    keep = [c for c in feats if kinds[c] in (NUMERIC, STRING)]
-    df = df.select(*[col(c) for c in keep], col(target))
+    keep = [c for c in df.columns if c != target and c not in passthrough and kinds[c] in (NUMERIC, STRING)]
     strs = [c for c in keep if kinds[c] == STRING]
     nums = [c for c in keep if kinds[c] == NUMERIC]
-    df = df.select(*[F.coalesce(col(c), F.lit(MISSING_TOKEN)).alias(c) if c in strs else col(c) for c in df.columns])
+    df = df.select(*[F.coalesce(col(c), F.lit(MISSING_TOKEN)).alias(c) if c in strs else col(c) for c in keep],
+                   col(target), *[col(c) for c in passthrough])
     df = impute_median(df, nums)
     df = encode(df, strs)
-    df = clean_inf(df, nums + strs)
+    df = clean_inf(df, keep)
     df = prepare_target(df, target, task)
     return df, keep

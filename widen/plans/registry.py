@@ -44,5 +44,6 @@ def load_all():
         q_select,
         q_catalog,
         q_recommend,
+        q_model,
     )
     return QUERIES, ORACLES
