@@ -25,3 +25,38 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
     return (local.join(F.broadcast(offsets), "__p")  # one row per partition: bounded
             .withColumn(name, (F.col("__off") + F.col("__i")).cast("bigint"))
             .drop("__p", "__i", "__off", *keys))
+
+
+def exact_medians(df: DataFrame, columns, partitions: int | None = None) -> DataFrame:
+    """Exact interpolated median of each numeric column: ``(column, median)``.
+
+    A global ``median()`` keeps every distinct value of a column in one
+    task's buffer. Here the long form ``(column, x)`` is range-partitioned on
+    ``(column, x)``, ranked inside each partition, shifted by the per-column
+    row counts of earlier partitions (a ``partitions x columns`` table), and
+    only the one or two middle rows of each column are kept and averaged.
+    Columns with no value get a null median.
+    """
+    columns = list(columns)
+    n_parts = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = [F.struct(F.lit(c).alias("column"), F.col("`" + c.replace("`", "``") + "`").cast("double").alias("x"))
+            for c in columns]
+    # the row id breaks ties, so a value held by a third of the rows still
+    # spreads over many range partitions
+    lf = (df.select(F.inline(F.array(*rows))).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+          .withColumn("__t", F.monotonically_increasing_id()))
+    ranged = lf.repartitionByRange(n_parts, "column", "x", "__t").withColumn("__p", F.spark_partition_id())
+    local = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p", "column").orderBy("x", "__t")))
+    sizes = local.groupBy("__p", "column").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("column").orderBy("__p")
+    offsets = sizes.select("__p", "column", (F.sum("__n").over(w) - F.col("__n")).alias("__off"),
+                           F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+                           .alias("__total"))
+    ranked = local.join(F.broadcast(offsets), ["__p", "column"]).withColumn("__r", F.col("__off") + F.col("__i"))
+    lo = F.floor((F.col("__total") + 1) / 2)
+    hi = F.ceil((F.col("__total") + 1) / 2)
+    mid = ranked.filter((F.col("__r") == lo) | (F.col("__r") == hi))
+    got = mid.groupBy("column").agg(
+        (F.min("x") + (F.max("x") - F.min("x")) * 0.5).alias("median"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(got, "column", "left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from widen.functions.ranking import exact_medians
 from widen.functions.columns import (
     NUMERIC,
     as_double,
@@ -136,17 +137,18 @@ def min_max(df: DataFrame, columns=None) -> DataFrame:
 
 
 def medians(df: DataFrame, columns=None, exact: bool = True) -> DataFrame:
-    """Interpolated median per numeric column (nulls ignored).
+    """Interpolated median per numeric column (nulls ignored): ``(column, median)``.
 
-    ``exact=False`` uses ``percentile_approx`` (not interpolated, bounded memory).
+    Exact mode ranks values across range partitions (no column is gathered
+    into one task); ``exact=False`` uses ``percentile_approx`` in one pass
+    (not interpolated, bounded memory).
     """
     types = field_types(df)
     columns = as_list(columns) or [c for c, k in classes(df).items() if k == NUMERIC]
-    aggs = []
-    for i, c in enumerate(columns):
-        x = as_double(c, types[c])
-        aggs.append((F.median(x) if exact else F.percentile_approx(x, 0.5).cast("double")).alias(f"__m{i}"))
-    one = df.agg(*aggs)
+    if exact:
+        return exact_medians(df.select(*[as_double(c, types[c]).alias(c) for c in columns]), columns)
+    one = df.agg(*[F.percentile_approx(as_double(c, types[c]), 0.5).cast("double").alias(f"__m{i}")
+                   for i, c in enumerate(columns)])
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"__m{i}").alias("median")) for i, c in enumerate(columns)]
     return one.select(F.inline(F.array(*rows)))
 

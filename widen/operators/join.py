@@ -3,18 +3,20 @@
 J1 left_join_m1, J2 fanout, J3 augment (flagship), J4 left_join, J5 key_overlap,
 A1 reduce_by_key, P1/P2 plan_features.
 
-Plan shape of :func:`augment` on a right table with string features::
-
-    scan(right, pruned) -> filter(key not null) -> inline(per-column rows)
-      -> partial agg (key, column, value) -> exchange -> final agg
-      -> partial agg (key) -> exchange -> final agg           # one row per key
-    scan(base) -------------------------------------------- left join
-
-The first aggregation spreads one hot key over all reducers by value and the
-map-side partial aggregation shrinks it to one row per value per task before
-any shuffle; the second carries only constant-size buffers (``min_by``, sums),
-so no key, however large, is collected into one task. Numeric-only right
-tables skip the long form and reduce in one aggregation.
+Plan shape of :func:`augment`::
+
+    scan(right, pruned) -> filter(key not null)
+      numbers: partial agg (key) -> exchange -> final agg
+      text:    inline(per-column rows) -> partial agg (key, column, value)
+               -> exchange -> final agg -> partial agg (key) -> exchange -> final agg
+      numbers <full join on key> text                       # one row per key
+    scan(base) ------------------------------------------ left join
+
+The text path's first aggregation spreads one hot key over all reducers by
+value, and the map-side partial aggregation shrinks it to one row per value
+per task before any shuffle; the second carries only constant-size buffers
+(``min_by``), so no key, however large, is collected into one task. Numbers
+need one aggregation by key with partial sums map-side.
 """
 
 from __future__ import annotations
@@ -163,45 +165,36 @@ def reduce_by_key(
         return src.select(*key_cols).distinct()
 
     nums = [f for f in feats if type_class(types[f]) == NUMERIC]
-    if len(nums) == len(feats):
+    texts = [f for f in feats if f not in nums]
+    num_part = None
+    if nums:
+        # numbers: one aggregation, partial sums map-side
         aggs = []
         for f in nums:
             x = as_double(f, types[f])
             lo, hi = F.min(x), F.max(x)
             aggs.append(F.when(lo == hi, lo).otherwise(F.avg(x)).alias(f))
-        return src.groupBy(*key_cols).agg(*aggs)
+        num_part = src.groupBy(*key_cols).agg(*aggs)
+        if not texts:
+            return num_part
 
-    # long form: one row per (input row, feature); s = text value, x = number
+    # text / temporal: long form (key, column, value) counted first, then the
+    # most frequent value per (key, column) with a constant-size buffer
     rows = []
-    for i, f in enumerate(feats):
-        if type_class(types[f]) == NUMERIC:
-            s, x = F.lit(None).cast("string"), as_double(f, types[f])
-        else:
-            s, x = col(f).cast("string"), F.lit(None).cast("double")
-            if null_token is not None:
-                s = F.coalesce(s, F.lit(null_token))
-        rows.append(F.struct(F.lit(i).alias("__c"), s.alias("__s"), x.alias("__x")))
+    for i, f in enumerate(texts):
+        s = col(f).cast("string")
+        if null_token is not None:
+            s = F.coalesce(s, F.lit(null_token))
+        rows.append(F.struct(F.lit(i).alias("__c"), s.alias("__s")))
     long = src.select(*key_cols, F.inline(F.array(*rows)))
-    grouped = long.groupBy(*key_cols, "__c", "__s").agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.sum("__x").alias("__sx"),
-        F.count("__x").alias("__nx"),
-        F.min("__x").alias("__lo"),
-        F.max("__x").alias("__hi"),
-    )
+    grouped = long.groupBy(*key_cols, "__c", "__s").agg(F.count(F.lit(1)).alias("__n"))
     c, s, n = F.col("__c"), F.col("__s"), F.col("__n")
     out = []
-    for i, f in enumerate(feats):
+    for i, f in enumerate(texts):
         is_f = c == i
-        if type_class(types[f]) == NUMERIC:
-            lo = F.min(F.when(is_f, F.col("__lo")))
-            hi = F.max(F.when(is_f, F.col("__hi")))
-            mean = F.try_divide(F.sum(F.when(is_f, F.col("__sx"))), F.sum(F.when(is_f, F.col("__nx"))))
-            out.append(F.when(lo == hi, lo).otherwise(mean).alias(f))
-            continue
         real = s.isNotNull() if null_token is None else (s.isNotNull() & (s != F.lit(null_token)))
         # smallest (-count, value) = most frequent, then smallest value
-        best = F.min_by(s, F.when(is_f, F.struct((-n).alias("a"), s.alias("b"))))
+        best = F.min_by(s, F.when(is_f & s.isNotNull(), F.struct((-n).alias("a"), s.alias("b"))))
         if null_token is not None:
             only = F.min_by(s, F.when(is_f & real, s))
             n_real = F.count(F.when(is_f & real, F.lit(1)))
@@ -209,7 +202,12 @@ def reduce_by_key(
         if type_class(types[f]) == TEMPORAL:
             best = best.cast(types[f])
         out.append(best.alias(f))
-    return grouped.groupBy(*key_cols).agg(*out)
+    text_part = grouped.groupBy(*key_cols).agg(*out)
+    if num_part is None:
+        return text_part
+    # both sides are one row per key and already partitioned by it
+    both = num_part.join(text_part, on=keys, how="full")
+    return both.select(*[col(k) for k in keys], *[col(f) for f in feats])
 
 
 # ---------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from widen.functions.columns import (
     hash_bucket,
     hash_order,
 )
-from widen.functions.ranking import global_rank
+from widen.functions.ranking import exact_medians, global_rank
 
 # Fixed values that must equal the reference's.
 MISSING_TOKEN = "MISSING"
@@ -24,13 +24,14 @@ LOW_VARIANCE = 0.1
 
 
 def column_medians(df: DataFrame, columns) -> dict[str, float | None]:
-    """Exact interpolated medians of numeric columns, one aggregation, one row to the driver."""
-    types = field_types(df)
+    """Exact interpolated medians of numeric columns (distributed ranking);
+    one row per column comes back to the driver."""
     columns = as_list(columns)
     if not columns:
         return {}
-    row = df.agg(*[F.median(as_double(c, types[c])).alias(f"__m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"__m{i}"] for i, c in enumerate(columns)}
+    types = field_types(df)
+    m = exact_medians(df.select(*[as_double(c, types[c]).alias(c) for c in columns]), columns)
+    return {r["column"]: r["median"] for r in m.collect()}
 
 
 def impute_median(df: DataFrame, columns=None, exclude=()) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from widen.functions.columns import NUMERIC, STRING, TEMPORAL, as_double, as_list, classes, col, field_types
+from widen.operators.prep import column_medians
 
 MISSING_TOKEN = "MISSING"
 
@@ -77,11 +78,12 @@ def numeric_bins(df: DataFrame, features, bins: int = 16, fill_median: bool = Tr
     aggs = []
     for i, c in enumerate(features):
         x = as_double(c, types[c])
-        aggs += [F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}"), F.median(x).alias(f"__md{i}")]
+        aggs += [F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
     r = df.agg(*aggs).first()
+    med = column_medians(df, features) if fill_median else {}
     out = {}
     for i, c in enumerate(features):
-        lo, hi, md = r[f"__lo{i}"], r[f"__hi{i}"], r[f"__md{i}"]
+        lo, hi, md = r[f"__lo{i}"], r[f"__hi{i}"], med.get(c)
         x = as_double(c, types[c])
         if fill_median:
             x = F.coalesce(x, F.lit(0.0 if md is None else float(md)))
