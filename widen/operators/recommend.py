@@ -79,7 +79,7 @@ def ingest_replies(replies: DataFrame, text_col: str = "reply") -> tuple[DataFra
     rank = F.array_position(F.col("parsed.feature_ranking"), F.col("feature"))
     return rows.select(
         "table", "feature",
-        F.col("parsed.feature_scores").getItem(F.col("feature")).alias("score"),
+        F.col("parsed.feature_scores")[F.col("feature")].alias("score"),
         F.when(rank > 0, rank).alias("rank"),
         F.array_contains("parsed.recommended_features", F.col("feature")).alias("recommended"),
     ), rejects
