@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,13 @@ def column_medians(df: DataFrame, columns) -> dict[str, float | None]:
     if not columns:
         return {}
     types = field_types(df)
-    m = exact_medians(df.select(*[as_double(c, types[c]).alias(c) for c in columns]), columns)
-    return {r["column"]: r["median"] for r in m.collect()}
+    # the ranking scans its input several times (range bounds, ranks, sizes);
+    # keep the projected columns for the length of this one eager call
+    src = df.select(*[as_double(c, types[c]).alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {r["column"]: r["median"] for r in exact_medians(src, columns).collect()}
+    finally:
+        src.unpersist()
 
 
 def impute_median(df: DataFrame, columns=None, exclude=()) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +41,13 @@ class Score:
 
 
 def _prepared(df: DataFrame, target: str, key: str, task: str, test: float, split_seed: int):
+    """Model-ready frame, persisted: tree training and evaluation pass over it
+    many times, and the preparation (codes, medians, joins) should run once.
+    Persisted blocks are recomputed from lineage if an executor is lost."""
     keyed = df.withColumn("__key", col(key).cast("string")).drop(key)  # the row key is not a feature
     prepared, feats = model_frame(keyed, target, task, passthrough=["__key"])
     prepared = split(prepared, "__key", test=test, seed=split_seed)
-    return assemble(prepared, feats), feats
+    return assemble(prepared, feats).persist(StorageLevel.MEMORY_AND_DISK), feats
 
 
 def score_rf(df: DataFrame, target: str, key: str, seeds=(42,), num_trees: int = 100, max_depth: int = 10,
@@ -59,6 +63,7 @@ def score_rf(df: DataFrame, target: str, key: str, seeds=(42,), num_trees: int =
                                    featureSubsetStrategy="sqrt", seed=s).fit(train)
         pred = m.transform(hold).select(col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
         vals.append(macro_f1(pred, "y", "yhat").first()["macro_f1"])
+    data.unpersist()
     return Score(sum(vals) / len(vals), True, "macro_f1")
 
 
@@ -79,6 +84,7 @@ def score_boosted(df: DataFrame, target: str, key: str, seeds=(42,), max_iter: i
         m = GBTClassifier(labelCol=target, featuresCol="features", maxDepth=1, maxIter=max_iter, seed=s).fit(train)
         pred = m.transform(hold).select(col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
         vals.append(macro_f1(pred, "y", "yhat").first()["macro_f1"])
+    data.unpersist()
     return Score(sum(vals) / len(vals), True, "macro_f1")
 
 
@@ -95,6 +101,7 @@ def score_rf_reg(df: DataFrame, target: str, key: str, seeds=(42,), num_trees: i
                                   featureSubsetStrategy="all", seed=s).fit(train)
         pred = m.transform(hold).select(col(target).alias("y"), F.col("prediction").alias("yhat"))
         vals.append(mae(pred, "y", "yhat").first()["mae"])
+    data.unpersist()
     return Score(sum(vals) / len(vals), False, "mae")
 
 
@@ -111,7 +118,9 @@ def score_search(df: DataFrame, target: str, key: str, seed: int = 42, folds: in
     data, feats = _prepared(base, target, key, "classification", test, split_seed)
     low = set(low_variance(data, feats))
     keep = [f for f in feats if f not in low] or feats
-    data = assemble(data.drop("features"), keep)
+    prepared = data
+    data = assemble(data.drop("features"), keep).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared.unpersist()
     train, hold = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
     ev = MulticlassClassificationEvaluator(labelCol=target, metricName="fMeasureByLabel", metricLabel=1.0)
     best, best_metric = None, None
@@ -131,6 +140,7 @@ def score_search(df: DataFrame, target: str, key: str, seed: int = 42, folds: in
             best, best_metric = cv.bestModel, m
     pred = best.transform(hold).select(col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
     f1 = binary_f1(pred, "y", "yhat", positive=1.0).first()["f1"]
+    data.unpersist()
     return Score(f1 if f1 is not None else 0.0, True, "binary_f1")
 
 
