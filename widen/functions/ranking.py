@@ -12,13 +12,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _materialised(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder, so later branches
+    (per-partition sizes and per-row ranks) read the same partitioning."""
+    from widen.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Add ``name``: 1-based position of each row in ``order`` (ties broken by
-    the order's later columns; give a unique order for a unique rank)."""
+    the order's later columns; give a unique order for a unique rank).
+
+    Runs one job at call time (the range-partitioned rows are checkpointed so
+    the size and rank branches agree)."""
     n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"__o{i}" for i in range(len(order))]
     with_keys = df.select("*", *[o.alias(k) for o, k in zip(order, keys)])
-    ranged = with_keys.repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id())
+    ranged = _materialised(with_keys.repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id()))
     local = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__off"))
@@ -31,32 +43,35 @@ def exact_medians(df: DataFrame, columns, partitions: int | None = None) -> Data
     """Exact interpolated median of each numeric column: ``(column, median)``.
 
     A global ``median()`` keeps every distinct value of a column in one
-    task's buffer. Here the long form ``(column, x)`` is range-partitioned on
-    ``(column, x)``, ranked inside each partition, shifted by the per-column
-    row counts of earlier partitions (a ``partitions x columns`` table), and
-    only the one or two middle rows of each column are kept and averaged.
-    Columns with no value get a null median.
+    task's buffer. Here values are first counted per ``(column, x)`` (a value
+    held by a third of the rows becomes one weighted row, map-side), the
+    distinct values are range-partitioned and checkpointed, cumulative
+    weights inside each partition are shifted by the per-column totals of
+    earlier partitions (a ``partitions x columns`` table), and only the one or
+    two values covering the middle ranks are kept and averaged. Columns with no
+    value get a null median. Runs one job at call time.
     """
     columns = list(columns)
     n_parts = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = [F.struct(F.lit(c).alias("column"), F.col("`" + c.replace("`", "``") + "`").cast("double").alias("x"))
             for c in columns]
-    # the row id breaks ties, so a value held by a third of the rows still
-    # spreads over many range partitions
-    lf = (df.select(F.inline(F.array(*rows))).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-          .withColumn("__t", F.monotonically_increasing_id()))
-    ranged = lf.repartitionByRange(n_parts, "column", "x", "__t").withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p", "column").orderBy("x", "__t")))
-    sizes = local.groupBy("__p", "column").agg(F.count(F.lit(1)).alias("__n"))
+    lf = df.select(F.inline(F.array(*rows))).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    vc = lf.groupBy("column", "x").agg(F.count(F.lit(1)).alias("__w"))
+    ranged = _materialised(vc.repartitionByRange(n_parts, "column", "x").withColumn("__p", F.spark_partition_id()))
+    inside = Window.partitionBy("__p", "column").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("__cum", F.sum("__w").over(inside))
+    sizes = local.groupBy("__p", "column").agg(F.sum("__w").alias("__n"))
     w = Window.partitionBy("column").orderBy("__p")
     offsets = sizes.select("__p", "column", (F.sum("__n").over(w) - F.col("__n")).alias("__off"),
                            F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
                            .alias("__total"))
-    ranked = local.join(F.broadcast(offsets), ["__p", "column"]).withColumn("__r", F.col("__off") + F.col("__i"))
+    ranked = (local.join(F.broadcast(offsets), ["__p", "column"])
+              .withColumn("__hi", F.col("__off") + F.col("__cum"))
+              .withColumn("__lo", F.col("__hi") - F.col("__w") + 1))
     lo = F.floor((F.col("__total") + 1) / 2)
     hi = F.ceil((F.col("__total") + 1) / 2)
-    mid = ranked.filter((F.col("__r") == lo) | (F.col("__r") == hi))
-    got = mid.groupBy("column").agg(
+    covers = ((F.col("__lo") <= lo) & (lo <= F.col("__hi"))) | ((F.col("__lo") <= hi) & (hi <= F.col("__hi")))
+    got = ranked.filter(covers).groupBy("column").agg(
         (F.min("x") + (F.max("x") - F.min("x")) * 0.5).alias("median"))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(got, "column", "left")
