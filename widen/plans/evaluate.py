@@ -147,3 +147,27 @@ def score_search(df: DataFrame, target: str, key: str, seed: int = 42, folds: in
 def default_scorer(df: DataFrame, target: str):
     """Pick the scorer from the task (K6): classification -> M1, regression -> M3."""
     return score_rf if task_of(df, target) == "classification" else score_rf_reg
+
+
+def select_importance(df: DataFrame, target: str, key: str, k: int | None = None, seed: int = 42,
+                      num_trees: int = 100, max_depth: int = 10) -> DataFrame:
+    """rank features by random-forest importance (classification by
+    K6, else regression) and select the top ``k`` (default half):
+    ``(feature, importance, rank, selected)``."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+
+    task = task_of(df, target)
+    data, feats = _prepared(df, target, key, task, 0.0, 1)
+    est = (RandomForestClassifier if task == "classification" else RandomForestRegressor)(
+        labelCol=target, featuresCol="features", numTrees=num_trees, maxDepth=max_depth, seed=seed)
+    imp = est.fit(data).featureImportances.toArray().tolist()  # one number per feature
+    data.unpersist()
+    k = len(feats) // 2 if k is None else k
+    spark = df.sparkSession
+    rows = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)], "feature string, importance double")
+    from pyspark.sql import Window
+
+    w = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
+    ranked = rows.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return ranked.withColumn("selected", F.col("rank") <= k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from widen.operators.join import augment
 from widen.operators.project import drop_null_target
-from widen.plans.evaluate import score_boosted, score_rf, score_rf_reg, score_search
+from widen.plans.evaluate import score_boosted, score_rf, score_rf_reg, score_search, select_importance
 from widen.plans.loop import best, compare, method_status, run
 from widen.plans.registry import query, table
 from widen.sources.tables import TableRef, zip_columns
@@ -84,3 +84,11 @@ def compare_methods(spark, sf_dir):
 @query("best_method")
 def best_method(spark, sf_dir):
     return best(compare(_history(spark, sf_dir))).drop("performance_history")
+
+
+@query("select_importance")
+def select_importance_q(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    wide = augment(c, table(spark, sf_dir, "orders"), ["o_totalprice", "o_orderpriority", "o_orderstatus"],
+                   left_keys="c_custkey", right_keys="o_custkey")
+    return select_importance(wide, "c_mktsegment", "c_custkey")
