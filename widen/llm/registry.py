@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules"]
+MODULES = ["quality_rules", "classifier", "sentencepieces", "packing"]
 
 
 def load():
