@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "classifier", "sentencepieces", "warc", "packing"]
+MODULES = ["quality_rules", "classifier", "sentencepieces", "html_extract", "warc", "packing"]
 
 
 def load():
