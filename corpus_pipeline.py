@@ -1 +1,74 @@
-"""Corpus pipeline; its stages follow as their operators are built."""
+"""Corpus pipeline: documents to packed training sequences.
+
+``STAGES`` lists the stages in order. Each function takes (spark, docs, sf_dir)
+and returns a DataFrame; all but the last return the columns of documents, and
+each works on what the one before kept. ``run`` applies them to the documents
+of ``sf_dir``, each stage written as Parquet in the folder that
+spark.checkpoint.dir names and read again, so that no stage is computed twice.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from widen.llm.classifier import accept_quality, held_out
+from widen.llm.jaccard import jaccard_components
+from widen.llm.line_dedup import line_dedup
+from widen.llm.packing import pack_documents, vocabulary_path
+from widen.llm.quality_rules import quality_rules
+from widen.session import checkpoint_dir
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good ones; it learns from the
+    labelled ones among them that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return accept_quality(docs, labels, ~held_out())
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and every threshold."""
+    return quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier one has. A document that is
+    nothing else goes; n_chars is that of the new text."""
+    out = line_dedup(docs).where("n_deleted = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similarity 0.8 or more on
+    five-word shingles join: the one with the least id."""
+    groups = jaccard_components(docs, n=5, num=80, den=100).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of at most 2048 tokens."""
+    return pack_documents(docs, vocabulary_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", rules),
+    ("line_dedup", repeated_lines),
+    ("jaccard_join", near_duplicates),
+    ("best_fit_packing", packing),
+]
+
+#: The classifier, the extension of line matches and the packing have no SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

@@ -229,6 +229,27 @@ def classify_quality(docs: DataFrame, labels: DataFrame, learn: Column, threshol
         "predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def accept_quality(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, id_col: str = "doc_id",
+                   text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows whose score is at least ``threshold``, with all their columns.
+
+    The model is fitted as in :func:`classify_quality`; the texts are then
+    scored where they are, so no text is shuffled.
+    """
+    from widen.session import checkpoint_dir
+
+    checkpoint_dir(docs.sparkSession)
+    rows = labels.select(F.col(id_col).alias("__id"), F.col(label).alias("__label")).where("__label IN (0, 1)")
+    learned = docs.where(learn).select(F.col(id_col).alias("__id"), _statistics(F.col(text)).alias("features"))
+    model = fit(learned.join(rows, "__id").select("features", F.col("__label").alias("label")).checkpoint())
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([text_statistics(t) for t in texts])) if len(texts) else np.empty(0))
+
+    return docs.where(scored(F.col(text)) >= threshold)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % folds == fold
 

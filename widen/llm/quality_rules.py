@@ -100,6 +100,7 @@ def text_metrics(docs: DataFrame, text: str = "text", window: int = 3) -> DataFr
     Words are maximal runs without white space; a null text has none.
     """
     df = docs.drop(*[c for c in docs.columns if c.lower() in METRICS])
+    kept = df.columns
     t = F.coalesce(F.col(text), F.lit(""))
     blank = F.lit("")
     df = df.select("*", F.filter(F.split(t, SPACE + "+"), lambda x: x != blank).alias("__w"),
@@ -118,15 +119,18 @@ def text_metrics(docs: DataFrame, text: str = "text", window: int = 3) -> DataFr
         ((F.length(t) - F.length(F.replace(t, F.lit("!!"), F.lit("")))) / 2).alias("__shout"),
         F.size(F.filter("__l", lambda x: x.rlike(r"^[\x20\t]*[-*•]"))).alias("__bullets"),
         F.size(F.filter("__l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).alias("__dots"))
-    df = df.select(
-        "*",
+    metrics = [
+        *[F.col(c) for c in (*BASE, "n_stop_words")],
         _ratio(F.col("n_symbols"), F.col("n_words")).alias("symbol_ratio"),
         _ratio(F.col("word_chars"), F.col("n_words")).alias("mean_word_length"),
         _ratio(F.col("__shout"), F.col("n_words")).alias("shout_ratio"),
         _ratio(F.col("__bullets"), lines).alias("bullet_line_ratio"),
         _ratio(F.col("__dots"), lines).alias("ellipsis_line_ratio"),
-        _ratio(F.col("n_dup_lines"), lines).alias("dup_line_ratio"))
-    return df.drop("__w", "__l", "__m", "__mask", "__s", "__b", "__p", "__shout", "__bullets", "__dots")
+        _ratio(F.col("n_dup_lines"), lines).alias("dup_line_ratio")]
+    # as a generated row the metrics are computed once: a later filter on them
+    # would otherwise be pushed down with copies of all the steps above in it
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in kept],
+                     F.inline(F.array(F.struct(*metrics))))
 
 
 def compile_rules(rules=RULES) -> Column:
