@@ -62,26 +62,20 @@ def classes(df: DataFrame) -> dict[str, str]:
     return {f.name: type_class(f.dataType) for f in df.schema.fields}
 
 
-def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
-    ex = set(exclude)
-    return [n for n, k in classes(df).items() if k == NUMERIC and n not in ex]
-
-
-def string_columns(df: DataFrame, exclude=()) -> list[str]:
-    ex = set(exclude)
-    return [n for n, k in classes(df).items() if k == STRING and n not in ex]
-
-
 def as_double(name: str, dt: T.DataType) -> Column:
-    """Numeric value as double; booleans count as 0/1 like pandas."""
+    """Numeric value as double; booleans count as 0/1 like pandas, NaN is
+    undefined and so null."""
     c = col(name)
     if isinstance(dt, T.BooleanType):
         c = c.cast("int")
-    return c.cast("double")
+    c = c.cast("double")
+    return F.when(~F.isnan(c), c) if isinstance(dt, (T.FloatType, T.DoubleType)) else c
 
 
-def as_text(name: str) -> Column:
-    return col(name).cast("string")
+def defined(name: str, dt: T.DataType) -> Column:
+    """Whether a value is there: not null and, for numbers, not NaN."""
+    c = col(name)
+    return c.isNotNull() & ~F.isnan(c) if isinstance(dt, (T.FloatType, T.DoubleType)) else c.isNotNull()
 
 
 # ---------------------------------------------------------------------------
@@ -101,6 +95,3 @@ def hash_order(seed, key: Column) -> Column:
     """Stable pseudo-random sort key from md5(seed:key)."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
-
-def round6(c: Column) -> Column:
-    return F.round(c, 6)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _materialised(df: DataFrame) -> DataFrame:
+def materialised(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder, so later branches
     (per-partition sizes and per-row ranks) read the same partitioning."""
     from widen.session import checkpoint_dir
@@ -30,13 +30,17 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
     n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"__o{i}" for i in range(len(order))]
     with_keys = df.select("*", *[o.alias(k) for o, k in zip(order, keys)])
-    ranged = _materialised(with_keys.repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id()))
-    local = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
+    ranged = materialised(with_keys.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys))
+    # rows are read back in the order they were written: the low 33 bits of this
+    # number are a row's place in its partition, the bits above the partition
+    local = ranged.withColumn("__m", F.monotonically_increasing_id())
+    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    local = local.withColumn("__p", part).withColumn("__i", place + 1)
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__off"))
     return (local.join(F.broadcast(offsets), "__p")  # one row per partition: bounded
             .withColumn(name, (F.col("__off") + F.col("__i")).cast("bigint"))
-            .drop("__p", "__i", "__off", *keys))
+            .drop("__p", "__i", "__m", "__off"))
 
 
 def exact_medians(df: DataFrame, columns, partitions: int | None = None) -> DataFrame:
@@ -57,7 +61,7 @@ def exact_medians(df: DataFrame, columns, partitions: int | None = None) -> Data
             for c in columns]
     lf = df.select(F.inline(F.array(*rows))).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     vc = lf.groupBy("column", "x").agg(F.count(F.lit(1)).alias("__w"))
-    ranged = _materialised(vc.repartitionByRange(n_parts, "column", "x").withColumn("__p", F.spark_partition_id()))
+    ranged = materialised(vc.repartitionByRange(n_parts, "column", "x").withColumn("__p", F.spark_partition_id()))
     inside = Window.partitionBy("__p", "column").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("__cum", F.sum("__w").over(inside))
     sizes = local.groupBy("__p", "column").agg(F.sum("__w").alias("__n"))

@@ -5,18 +5,17 @@ A1 reduce_by_key, P1/P2 plan_features.
 
 Plan shape of :func:`augment`::
 
-    scan(right, pruned) -> filter(key not null)
-      numbers: partial agg (key) -> exchange -> final agg
-      text:    inline(per-column rows) -> partial agg (key, column, value)
-               -> exchange -> final agg -> partial agg (key) -> exchange -> final agg
-      numbers <full join on key> text                       # one row per key
+    scan(right, pruned) -> key in the base's type -> filter(key not null)
+      -> inline(a row per text column, and one with all numbers)
+      -> partial agg (key, column, value) -> exchange -> final agg
+      -> partial agg (key) -> exchange -> final agg         # one row per key
     scan(base) ------------------------------------------ left join
 
-The text path's first aggregation spreads one hot key over all reducers by
-value, and the map-side partial aggregation shrinks it to one row per value
-per task before any shuffle; the second carries only constant-size buffers
-(``min_by``), so no key, however large, is collected into one task. Numbers
-need one aggregation by key with partial sums map-side.
+The right table is read once. The first aggregation spreads one hot key over
+all reducers by value, and the map-side partial aggregation shrinks it to one
+row per value per task before any shuffle; the second carries only
+constant-size buffers (``min_by``, sums), so no key, however large, is
+collected into one task. Without text columns one aggregation by key is enough.
 """
 
 from __future__ import annotations
@@ -166,30 +165,38 @@ def reduce_by_key(
 
     nums = [f for f in feats if type_class(types[f]) == NUMERIC]
     texts = [f for f in feats if f not in nums]
-    num_part = None
-    if nums:
-        # numbers: one aggregation, partial sums map-side
+    if not texts:
+        # numbers only: one aggregation, partial sums map-side
         aggs = []
         for f in nums:
             x = as_double(f, types[f])
             lo, hi = F.min(x), F.max(x)
             aggs.append(F.when(lo == hi, lo).otherwise(F.avg(x)).alias(f))
-        num_part = src.groupBy(*key_cols).agg(*aggs)
-        if not texts:
-            return num_part
+        return src.groupBy(*key_cols).agg(*aggs)
 
-    # text / temporal: long form (key, column, value) counted first, then the
-    # most frequent value per (key, column) with a constant-size buffer
+    # long form: a row (key, column, value) per text column, counted first and
+    # then reduced to the most frequent value with a constant-size buffer; the
+    # numbers ride along in one more row as partial sums, so there is one scan
+    # and one pair of aggregations, and a key is one group for both kinds
+    xs = [F.lit(None).cast("double").alias(f"__x{j}") for j in range(len(nums))]
     rows = []
     for i, f in enumerate(texts):
         s = col(f).cast("string")
         if null_token is not None:
             s = F.coalesce(s, F.lit(null_token))
-        rows.append(F.struct(F.lit(i).alias("__c"), s.alias("__s")))
+        rows.append(F.struct(F.lit(i).alias("__c"), s.alias("__s"), *xs))
+    if nums:
+        rows.append(F.struct(F.lit(-1).alias("__c"), F.lit(None).cast("string").alias("__s"),
+                             *[as_double(f, types[f]).alias(f"__x{j}") for j, f in enumerate(nums)]))
     long = src.select(*key_cols, F.inline(F.array(*rows)))
-    grouped = long.groupBy(*key_cols, "__c", "__s").agg(F.count(F.lit(1)).alias("__n"))
+    sums = [g(f"__x{j}").alias(f"__{n}{j}") for j in range(len(nums))
+            for g, n in ((F.sum, "t"), (F.count, "k"), (F.min, "lo"), (F.max, "hi"))]
+    grouped = long.groupBy(*key_cols, "__c", "__s").agg(F.count(F.lit(1)).alias("__n"), *sums)
     c, s, n = F.col("__c"), F.col("__s"), F.col("__n")
     out = []
+    for j, f in enumerate(nums):
+        lo, hi = F.min(f"__lo{j}"), F.max(f"__hi{j}")
+        out.append(F.when(lo == hi, lo).otherwise(F.try_divide(F.sum(f"__t{j}"), F.sum(f"__k{j}"))).alias(f))
     for i, f in enumerate(texts):
         is_f = c == i
         real = s.isNotNull() if null_token is None else (s.isNotNull() & (s != F.lit(null_token)))
@@ -202,12 +209,7 @@ def reduce_by_key(
         if type_class(types[f]) == TEMPORAL:
             best = best.cast(types[f])
         out.append(best.alias(f))
-    text_part = grouped.groupBy(*key_cols).agg(*out)
-    if num_part is None:
-        return text_part
-    # both sides are one row per key and already partitioned by it
-    both = num_part.join(text_part, on=keys, how="full")
-    return both.select(*[col(k) for k in keys], *[col(f) for f in feats])
+    return grouped.groupBy(*key_cols).agg(*out).select(*key_cols, *[col(f) for f in feats])
 
 
 # ---------------------------------------------------------------------------
@@ -215,17 +217,32 @@ def reduce_by_key(
 # ---------------------------------------------------------------------------
 
 
+def in_key_type(base: DataFrame, right: DataFrame, left_keys, right_keys) -> DataFrame:
+    """``right`` with text keys read in the type of the base's keys (numbers,
+    dates, timestamps), before anything makes them unique: ``'1'``, ``'01'`` and
+    ``' 1'`` are one key of a number base. What does not parse becomes null and
+    never matches."""
+    bt, rt = field_types(base), field_types(right)
+    for lk, rk in zip(left_keys, right_keys):
+        if type_class(rt[rk]) == STRING and type_class(bt[lk]) in (NUMERIC, TEMPORAL):
+            right = right.withColumn(rk, F.trim(col(rk)).try_cast(bt[lk]))
+    return right
+
+
 def _key_condition(base: DataFrame, right: DataFrame, left_keys, tmp_keys, null_keys: str) -> Column:
     bt, rt = field_types(base), field_types(right)
     cond = None
     for lk, rk in zip(left_keys, tmp_keys):
         lc, rc = base[quote(lk)], right[quote(rk)]
-        lclass, rclass = type_class(bt[lk]), type_class(rt[rk])
-        # a string key against a number: compare as number, non-numbers never match
-        if lclass == NUMERIC and rclass == STRING:
-            rc = rc.try_cast(bt[lk])
-        elif lclass == STRING and rclass == NUMERIC:
-            lc = lc.try_cast(rt[rk])
+        # a text key of the base is read in the type of the right's (at most one match per row)
+        if type_class(bt[lk]) == STRING and type_class(rt[rk]) in (NUMERIC, TEMPORAL):
+            lc = F.trim(lc).try_cast(rt[rk])
+        else:
+            bools = [isinstance(t, T.BooleanType) for t in (bt[lk], rt[rk])]
+            if bools == [True, False] and type_class(rt[rk]) == NUMERIC:
+                lc = lc.cast("int")
+            elif bools == [False, True] and type_class(bt[lk]) == NUMERIC:
+                rc = rc.cast("int")
         eq = lc.eqNullSafe(rc) if null_keys == "match" else lc == rc
         cond = eq if cond is None else cond & eq
     return cond
@@ -237,31 +254,32 @@ def left_join_m1(
     left_keys,
     right_keys,
     null_keys: str = "never",
-    broadcast="auto",
     validate: bool = False,
 ) -> DataFrame:
     """Left join that keeps every base row once.
 
     ``right`` must be unique on ``right_keys`` (e.g. the output of
-    :func:`reduce_by_key`). Right keys are renamed to reserved names before the
-    join and dropped after, so a base column named like a right key survives.
-    ``broadcast``: ``'auto'`` leaves the strategy to Catalyst and AQE, which
-    broadcast only sides whose measured size is under the configured threshold
-    and otherwise sort-merge (with skew splitting of the base side);
-    ``True`` forces the hint for a side the caller knows is bounded.
+    :func:`reduce_by_key`). Text keys against a number or date base are read in
+    its type first; as several texts can be one key, the right side is then
+    reduced to one row per key again. Right keys are renamed to reserved names
+    before the join and dropped after, so a base column named like a right key
+    survives. The strategy is left to Catalyst and AQE, which broadcast only
+    sides whose measured size is under the configured threshold and otherwise
+    sort-merge (with skew splitting of the base side).
     """
     lk, rk = as_list(left_keys), as_list(right_keys)
     if len(lk) != len(rk) or not lk:
         raise ValueError(f"need matching key lists, got {lk} and {rk}")
     if null_keys not in ("never", "match"):
         raise ValueError("null_keys must be 'never' or 'match'")
+    typed = in_key_type(base, right, lk, rk)
+    if typed is not right:
+        right = reduce_by_key(typed, rk, keep_null_keys=(null_keys == "match"))
     tmp = [_RK.format(i) for i in range(len(rk))]
     r = right.select(*[col(k).alias(t) for k, t in zip(rk, tmp)],
                      *[col(c) for c in right.columns if c not in rk])
     if null_keys == "never":
         r = r.filter(_not_null(tmp))
-    if broadcast is True:
-        r = F.broadcast(r)
     out = base.join(r, _key_condition(base, r, lk, tmp, null_keys), "left").drop(*tmp)
     if validate:
         n0, n1 = base.count(), out.count()
@@ -283,7 +301,6 @@ def augment(
     right_keys=None,
     reduce: str = "always",
     null_keys: str = "never",
-    broadcast="auto",
     null_token: str | None = None,
     validate: bool = False,
 ) -> DataFrame:
@@ -304,7 +321,7 @@ def augment(
     plan = plan_features(base.columns, df.columns, rk, features)
     if not plan.kept:
         return base
-    right = df.select(*[col(c) for c in rk + list(plan.kept)])
+    right = in_key_type(base, df.select(*[col(c) for c in rk + list(plan.kept)]), lk, rk)
     if reduce == "auto" and not has_many(right, rk):
         reduced = right
     elif reduce in ("always", "auto"):
@@ -312,7 +329,7 @@ def augment(
                                 keep_null_keys=(null_keys == "match"))
     else:
         raise ValueError("reduce must be 'always' or 'auto'")
-    return left_join_m1(base, reduced, lk, rk, null_keys=null_keys, broadcast=broadcast, validate=validate)
+    return left_join_m1(base, reduced, lk, rk, null_keys=null_keys, validate=validate)
 
 
 # ---------------------------------------------------------------------------
@@ -325,6 +342,7 @@ def left_join(base: DataFrame, right: DataFrame, left_keys, right_keys, columns=
     lk, rk = as_list(left_keys), as_list(right_keys)
     keep = [c for c in (as_list(columns) or right.columns) if c not in rk]
     tmp = [_RK.format(i) for i in range(len(rk))]
+    right = in_key_type(base, right, lk, rk)
     r = right.select(*[col(k).alias(t) for k, t in zip(rk, tmp)], *[col(c) for c in keep])
     return base.join(r, _key_condition(base, r, lk, tmp, "never"), "left").drop(*tmp)
 
@@ -336,7 +354,8 @@ def key_overlap(base: DataFrame, left_key: str, other: DataFrame, right_key: str
     one row per key per task on the right side.
     """
     tmp = _RK.format(0)
-    keys = other.select(col(right_key).alias(tmp)).filter(F.col(tmp).isNotNull()).distinct()
+    typed = in_key_type(base, other.select(col(right_key)), [left_key], [right_key])
+    keys = typed.select(col(right_key).alias(tmp)).filter(F.col(tmp).isNotNull()).distinct()
     keys = keys.withColumn("__hit", F.lit(1))
     cond = _key_condition(base, keys, [left_key], [tmp], "never")
     # keys are distinct, so the left join keeps every base row exactly once

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from widen.functions.columns import NUMERIC, STRING, TEMPORAL, as_double, as_list, classes, col, field_types
+from widen.functions.columns import NUMERIC, STRING, TEMPORAL, as_double, as_list, classes, col, defined, field_types
 from widen.operators.prep import column_medians
 
 MISSING_TOKEN = "MISSING"
@@ -34,7 +34,8 @@ def _inline_rows(one: DataFrame, columns, fields: dict) -> DataFrame:
 def missing_ratios(df: DataFrame, features) -> DataFrame:
     """F1 input: ``(feature, missing_ratio)`` from one aggregation."""
     features = as_list(features)
-    one = df.agg(*[F.avg(col(c).isNull().cast("double")).alias(f"__m{i}") for i, c in enumerate(features)])
+    types = field_types(df)
+    one = df.agg(*[F.avg((~defined(c, types[c])).cast("double")).alias(f"__m{i}") for i, c in enumerate(features)])
     return _inline_rows(one, features, {"missing_ratio": "__m{}"})
 
 
@@ -64,27 +65,32 @@ def _category(c: str, kind: str, token: str | None = None) -> Column:
     return F.coalesce(v, F.lit(token)) if token is not None else v
 
 
+def _finite(x: Column) -> Column:
+    """Infinities as 0, which the reference sets before it scores."""
+    return F.when(F.abs(x) == float("inf"), F.lit(0.0)).otherwise(x)
+
+
 def numeric_bins(df: DataFrame, features, bins: int = 16, fill_median: bool = True) -> dict[str, Column]:
     """Equal-width bin expressions ``least(floor((x-min)/(max-min)*B), B-1)``.
 
     Min, max and median come from one aggregation (one row to the driver);
-    nulls are filled with the median first (or stay null), constant columns
-    fall in bin 0.
+    infinities count as 0 and NaN as null; nulls are filled with the median
+    first (or stay null), constant columns fall in bin 0.
     """
     types = field_types(df)
     features = as_list(features)
     if not features:
         return {}
     aggs = []
+    finite = {c: _finite(as_double(c, types[c])) for c in features}
     for i, c in enumerate(features):
-        x = as_double(c, types[c])
-        aggs += [F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
+        aggs += [F.min(finite[c]).alias(f"__lo{i}"), F.max(finite[c]).alias(f"__hi{i}")]
     r = df.agg(*aggs).first()
-    med = column_medians(df, features) if fill_median else {}
+    med = column_medians(df.select(*[finite[c].alias(c) for c in features]), features) if fill_median else {}
     out = {}
     for i, c in enumerate(features):
         lo, hi, md = r[f"__lo{i}"], r[f"__hi{i}"], med.get(c)
-        x = as_double(c, types[c])
+        x = finite[c]
         if fill_median:
             x = F.coalesce(x, F.lit(0.0 if md is None else float(md)))
         if lo is None or hi is None or hi == lo:
@@ -169,12 +175,18 @@ def mutual_info(df: DataFrame, features, target: str, task: str = "classificatio
     feats = {c: exprs[c] if c in nums else _category(c, kinds[c], MISSING_TOKEN) for c in features}
     y = exprs[target] if task == "regression" else _category(target, kinds[target], MISSING_TOKEN)
     cells = contingency(df, feats, y, drop_nulls=False)
+    # sum o/n ln(o n / (r c)) = (sum o ln o - sum r ln r - sum c ln c) / n + ln n:
+    # three sums over aggregations of the one table of cells, and no join back
     rows, cols_ = _margins(cells)
-    n = rows.groupBy("feature").agg(F.sum("r").alias("n"))
-    mm = cells.join(rows, ["feature", "x"]).join(cols_, ["feature", "y"]).join(n, "feature")
-    o, r, c, nn = (F.col(x).cast("double") for x in ("o", "r", "c", "n"))
-    return mm.groupBy("feature").agg(
-        F.sum(o / nn * F.log(o * nn / (r * c))).alias("mutual_info"))
+
+    def entropy(t: DataFrame, count: str, name: str) -> DataFrame:
+        k = F.col(count).cast("double")
+        return t.groupBy("feature").agg(F.sum(k * F.log(k)).alias(name), F.sum(k).alias("n"))
+
+    joint = entropy(cells, "o", "so").join(entropy(rows, "r", "sr").drop("n"), "feature").join(
+        entropy(cols_, "c", "sc").drop("n"), "feature")
+    info = (F.col("so") - F.col("sr") - F.col("sc")) / F.col("n") + F.log("n")
+    return joint.select("feature", F.greatest(info, F.lit(0.0)).alias("mutual_info"))
 
 
 def scores(

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from widen.functions.columns import as_list, hash_order
+from widen.functions.columns import as_list, col, hash_order
+from widen.functions.ranking import materialised
 from widen.operators.join import augment, plan_features
 from widen.operators.score import mutual_info, scores
 from widen.sources.tables import TableRef
@@ -29,8 +30,11 @@ def chosen(selection: DataFrame, flag: str = "selected") -> list[str]:
     return [r["feature"] for r in selection.filter(F.col(flag)).orderBy("pos").collect()]
 
 
-def _table_parts(t: TableRef):
-    return t.df, list(t.left_keys), list(t.right_keys)
+def _joined(base: DataFrame, t: TableRef, target: str, features) -> DataFrame:
+    """The base's target and the joined features, computed once: every score
+    reads the checkpoint, not the join."""
+    return materialised(augment(base.select(*dict.fromkeys([*t.left_keys, target])), t, list(features))
+                        .select(*[col(c) for c in dict.fromkeys([target, *features])]))
 
 
 def select_all(t: TableRef) -> DataFrame:
@@ -63,8 +67,7 @@ def select_filter(
     ``duplicate_name`` and never selected.
     """
     plan = plan_features(base.columns, t.df.columns, t.right_keys, None)
-    wide = augment(base.select(*dict.fromkeys([*t.left_keys, target])), t, list(plan.kept))
-    sc = scores(wide, list(plan.kept), target, numeric_vs_class) if plan.kept else None
+    sc = scores(_joined(base, t, target, plan.kept), list(plan.kept), target, numeric_vs_class) if plan.kept else None
     names = t.features()
     ff = feature_frame(base.sparkSession, names)
     dup = F.col("feature").isin(list(plan.collisions)) if plan.collisions else F.lit(False)
@@ -91,8 +94,7 @@ def select_mutual_info(base: DataFrame, t: TableRef, target: str, task: str = "c
     if not feats:
         return ff.select("pos", "feature", F.lit(None).cast("double").alias("mutual_info"),
                          F.lit(False).alias("selected"))
-    wide = augment(base.select(*dict.fromkeys([*t.left_keys, target])), t, feats)
-    mi = mutual_info(wide, feats, target, task, bins)
+    mi = mutual_info(_joined(base, t, target, feats), feats, target, task, bins)
     top = mi.orderBy(F.desc("mutual_info"), "feature").limit(k).select("feature", F.lit(True).alias("selected"))
     return (ff.join(mi, "feature", "left").join(top, "feature", "left")
             .select("pos", "feature", "mutual_info", F.coalesce("selected", F.lit(False)).alias("selected")))
@@ -125,7 +127,6 @@ def leak_scan(base: DataFrame, t: TableRef, target: str, threshold: float = 0.5,
     """
     plan = plan_features(base.columns, t.df.columns, t.right_keys, None)
     feats = list(plan.kept)
-    wide = augment(base.select(*dict.fromkeys([*t.left_keys, target])), t, feats)
-    sc = scores(wide, feats, target, numeric_vs_class="bin", bins=bins)
+    sc = scores(_joined(base, t, target, feats), feats, target, numeric_vs_class="bin", bins=bins)
     return sc.select("feature", "measure", "score",
                      (F.abs(F.coalesce("score", F.lit(0.0))) >= threshold).alias("flagged"))
