@@ -72,6 +72,15 @@ def as_double(name: str, dt: T.DataType) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(dt, (T.FloatType, T.DoubleType)) else c
 
 
+def native(name: str, dt: T.DataType) -> Column:
+    """Numeric value in its own type: booleans as 0/1, NaN as null. Integers
+    beyond 2**53 keep all their digits, which a double would not."""
+    c = col(name)
+    if isinstance(dt, T.BooleanType):
+        return c.cast("int")
+    return F.when(~F.isnan(c), c) if isinstance(dt, (T.FloatType, T.DoubleType)) else c
+
+
 def defined(name: str, dt: T.DataType) -> Column:
     """Whether a value is there: not null and, for numbers, not NaN."""
     c = col(name)

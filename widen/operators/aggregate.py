@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from widen.functions.ranking import exact_medians
 from widen.functions.columns import (
+    native,
     NUMERIC,
     as_double,
     as_list,
@@ -123,16 +125,24 @@ def distinct_counts(df: DataFrame, columns=None, exact: bool = True) -> DataFram
 
 
 def min_max(df: DataFrame, columns=None) -> DataFrame:
-    """``(column, min, max)`` as doubles for numeric columns, one aggregation."""
+    """``(column, min, max, min_int, max_int)`` of numeric columns, one
+    aggregation in each column's own type. min and max are doubles; integral
+    columns have them exactly in min_int and max_int too (null for others)."""
     types = field_types(df)
     columns = as_list(columns) or [c for c, k in classes(df).items() if k == NUMERIC]
     aggs = []
     for i, c in enumerate(columns):
-        x = as_double(c, types[c])
+        x = native(c, types[c])
         aggs += [F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
     one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"__lo{i}").alias("min"), F.col(f"__hi{i}").alias("max"))
-            for i, c in enumerate(columns)]
+
+    def whole(c, i, side):
+        x = F.col(f"__{side}{i}") if isinstance(types[c], (T.IntegralType, T.BooleanType)) else F.lit(None)
+        return x.cast("bigint")
+
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"__lo{i}").cast("double").alias("min"),
+                     F.col(f"__hi{i}").cast("double").alias("max"), whole(c, i, "lo").alias("min_int"),
+                     whole(c, i, "hi").alias("max_int")) for i, c in enumerate(columns)]
     return one.select(F.inline(F.array(*rows)))
 
 

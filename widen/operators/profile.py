@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from widen.functions.columns import NUMERIC, STRING, TEMPORAL, as_double, as_list, classes, col, field_types
+from widen.functions.columns import NUMERIC, STRING, TEMPORAL, native, as_list, classes, col, field_types
 from widen.operators.aggregate import long_form
 
 # Fixed values that must equal the reference's:
@@ -17,7 +17,7 @@ MIN_UNIQUE_RATIO_NAMED = 0.2
 MIN_NOTNULL_RATIO = 0.8
 MAX_CLASSES = 10
 
-PROFILE_SCHEMA = ("column string, pos int, dtype string, min decimal(18,4), max decimal(18,4), "
+PROFILE_SCHEMA = ("column string, pos int, dtype string, min decimal(38,4), max decimal(38,4), "
                   "unique_count bigint, cell_examples array<string>")
 
 
@@ -32,7 +32,8 @@ def _col_stats(df: DataFrame, columns) -> DataFrame:
 def profile(df: DataFrame, columns=None, k: int = 3) -> DataFrame:
     """K1: one row per column.
 
-    Numeric (booleans included): dtype, min, max. String and temporal (the
+    Numeric (booleans included): dtype, min, max, found in the column's own type
+    and shown as decimals (null where an infinity or over 1e34). String and temporal (the
     reference sees dates as text): dtype, distinct count, ``k`` most frequent
     values (ties by value). Numeric columns come from one aggregation; string
     columns from one long-form count that gives distinct counts and top-k
@@ -48,12 +49,12 @@ def profile(df: DataFrame, columns=None, k: int = 3) -> DataFrame:
     if nums:
         aggs = []
         for i, c in enumerate(nums):
-            x = as_double(c, types[c])
+            x = native(c, types[c])
             aggs += [F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
         rows = [F.struct(F.lit(c).alias("column"), F.lit(pos[c]).alias("pos"),
                          F.lit(types[c].simpleString()).alias("dtype"),
-                         F.col(f"__lo{i}").cast("decimal(18,4)").alias("min"),
-                         F.col(f"__hi{i}").cast("decimal(18,4)").alias("max"),
+                         F.col(f"__lo{i}").try_cast("decimal(38,4)").alias("min"),
+                         F.col(f"__hi{i}").try_cast("decimal(38,4)").alias("max"),
                          F.lit(None).cast("bigint").alias("unique_count"),
                          F.lit(None).cast("array<string>").alias("cell_examples"))
                 for i, c in enumerate(nums)]
@@ -69,8 +70,8 @@ def profile(df: DataFrame, columns=None, k: int = 3) -> DataFrame:
         meta = df.sparkSession.createDataFrame(
             [(c, pos[c], types[c].simpleString()) for c in texts], "column string, pos int, dtype string")
         parts.append(meta.join(uniq, "column", "left").join(top, "column", "left").select(
-            "column", "pos", "dtype", F.lit(None).cast("decimal(18,4)").alias("min"),
-            F.lit(None).cast("decimal(18,4)").alias("max"),
+            "column", "pos", "dtype", F.lit(None).cast("decimal(38,4)").alias("min"),
+            F.lit(None).cast("decimal(38,4)").alias("max"),
             F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"),
             F.coalesce("cell_examples", F.array().cast("array<string>")).alias("cell_examples")))
     if not parts:

@@ -1,11 +1,17 @@
 """Greedy augmentation loop and its reports.
 
+Methods: every feature, a random half, mutual information, the correlation
+filter, and the features that a recommendations table names (the reply-driven
+method), optionally only for tables whose relevance verdict is Yes.
+
 Rounds are sequential by definition; inside a round each method selects
 features (one or two Spark jobs), widens its current table with the
 row-preserving join (lazy) and scores it (model jobs on executors). An
 accepted table is checkpointed to the session's checkpoint folder so lineage
 does not grow with the rounds and a lost executor does not replay them.
-History rows (rounds x methods) are the only thing kept on the driver.
+History rows (rounds x methods) are the only thing kept on the driver; with a
+``history_path`` each round's rows are written as soon as the round is over, so
+a later failure loses nothing.
 """
 
 from __future__ import annotations
@@ -24,17 +30,21 @@ from widen.operators.select import (
     select_filter,
     select_mutual_info,
     select_random,
+    select_recommended,
+    gate_tables,
 )
 from widen.plans.evaluate import Score, default_scorer
 from widen.session import checkpoint_dir
 from widen.sources.tables import TableRef
 
+# The columns of the round log.
 HISTORY_SCHEMA = ("round int, augment_table string, augment_table_size bigint, method string, "
                   "selected_features array<string>, num_features int, num_joined int, score double, "
                   "improvement double, accepted boolean, current_features_num int, "
                   "current_features array<string>, error string, timestamp string")
 
 METHODS = ("all", "random", "mutual_info", "filter")
+RECOMMENDED = "recommended"
 
 
 @dataclass
@@ -44,8 +54,13 @@ class MethodState:
     features: list = field(default_factory=list)
 
 
-def select_features(method: str, base: DataFrame, t: TableRef, target: str, task: str, seed: int = 42) -> list[str]:
+def select_features(method: str, base: DataFrame, t: TableRef, target: str, task: str, seed: int = 42,
+                    recommendations: DataFrame | None = None) -> list[str]:
     """Feature list of one method for one table."""
+    if method == RECOMMENDED:
+        if recommendations is None:
+            raise ValueError("the recommended method needs a recommendations table")
+        return chosen(select_recommended(t, recommendations))
     if method == "all":
         return chosen(select_all(t))
     if method == "random":
@@ -59,9 +74,11 @@ def select_features(method: str, base: DataFrame, t: TableRef, target: str, task
 
 def evaluate(state: MethodState, t: TableRef, features, target: str, key: str, scorer) -> tuple:
     """Widen and score; an empty feature list leaves the table unchanged."""
+    if not features:  # to the projection an empty list means every column
+        return state.df, state.score, []
     plan = plan_features(state.df.columns, t.df.columns, t.right_keys, features)
-    if not features or not plan.kept:
-        return state.df, state.score, list(plan.kept)
+    if not plan.kept:
+        return state.df, state.score, []
     wide = augment(state.df, t, list(plan.kept))
     return wide, scorer(wide, target, key), list(plan.kept)
 
@@ -72,25 +89,37 @@ def _materialise(df: DataFrame) -> DataFrame:
 
 
 def run(base: DataFrame, target: str, key: str, pool: list[TableRef], methods=METHODS, scorer=None,
-        seed: int = 42, order: str = "catalog_desc") -> DataFrame:
+        seed: int = 42, order: str = "catalog_desc", recommendations: DataFrame | None = None,
+        verdicts: DataFrame | None = None, history_path: str | None = None) -> DataFrame:
     """G1: greedy augmentation; returns the history (one row per round and method).
 
     The table order follows the catalog (``catalog_desc``: last first, as the
     reference pops its list). The baseline is scored once and shared (G4).
+    ``recommendations`` (R2) serve the method ``recommended``, after ``verdicts``
+    (R3, F10) where given. With ``history_path`` the history is written there
+    round by round and the returned frame reads it.
     """
     spark: SparkSession = base.sparkSession
     task = task_of(base, target)
     scorer = scorer or default_scorer(base, target)
+    if recommendations is not None and verdicts is not None:
+        recommendations = gate_tables(recommendations, verdicts)
     baseline = scorer(base, target, key)
     states = {m: MethodState(base, baseline, []) for m in methods}
     tables = list(reversed(pool)) if order == "catalog_desc" else list(pool)
+
+    def described(rows) -> DataFrame:
+        hist = spark.createDataFrame(rows, HISTORY_SCHEMA)  # rounds x methods rows
+        return hist.withColumn("initial_score", F.lit(baseline.value)).withColumn(
+            "initial_features", F.lit(len(base.columns))).withColumn("higher_is_better", F.lit(baseline.higher_is_better))
+
     rows = []
     for r, t in enumerate(tables, start=1):
         for m in methods:
             st = states[m]
             stamp = _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds")
             try:
-                feats = select_features(m, st.df, t, target, task, seed + r)
+                feats = select_features(m, st.df, t, target, task, seed + r, recommendations)
                 wide, sc, joined = evaluate(st, t, feats, target, key, scorer)
                 imp = sc.improvement(st.score)
                 ok = bool(joined) and imp > 0
@@ -101,10 +130,12 @@ def run(base: DataFrame, target: str, key: str, pool: list[TableRef], methods=ME
                              len(st.features), list(st.features), None, stamp))
             except Exception as e:  # noqa: BLE001 - errors are isolated per method and round
                 rows.append((r, t.name, t.size, m, [], 0, 0, None, None, False, len(st.features),
-                             list(st.features), f"{type(e).__name__}: {e}"[:500], stamp))
-    hist = spark.createDataFrame(rows, HISTORY_SCHEMA)  # rounds x methods rows
-    return hist.withColumn("initial_score", F.lit(baseline.value)).withColumn(
-        "higher_is_better", F.lit(baseline.higher_is_better))
+                             list(st.features), f"{type(e).__name__}: {e}", stamp))
+        if history_path:
+            described(rows[-len(methods):]).write.mode("append" if r > 1 else "overwrite").parquet(history_path)
+    if history_path and tables:
+        return spark.read.parquet(history_path)
+    return described(rows)
 
 
 def accept_history(evals: DataFrame, initial: float, higher_is_better: bool = True) -> DataFrame:
@@ -123,11 +154,15 @@ def accept_history(evals: DataFrame, initial: float, higher_is_better: bool = Tr
 
 
 def method_status(history: DataFrame) -> DataFrame:
-    """Per method, score and feature count after the last accepted round."""
-    acc = history.filter("accepted")
-    return acc.groupBy("method").agg(
-        F.max_by("score", "round").alias("score"), F.max_by("current_features_num", "round").alias("n_features"),
-        F.max("round").alias("last_round"))
+    """Per method, score and feature count after the last accepted round;
+    a method that was never accepted stands at the initial score with no added
+    feature and last round 0."""
+    acc = F.col("accepted")
+    when = F.when(acc, F.col("round"))
+    return history.groupBy("method").agg(
+        F.coalesce(F.max_by("score", when), F.first("initial_score")).alias("score"),
+        F.coalesce(F.max_by("current_features_num", when), F.lit(0)).alias("n_features"),
+        F.coalesce(F.max(when), F.lit(0)).alias("last_round"))
 
 
 def compare(history: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from widen.operators.join import augment, fanout, key_overlap, left_join, left_join_m1, project
+from widen.operators.join import augment, fanout, key_overlap, left_join, left_join_m1, project, reduce_by_key
 from widen.operators.project import drop_leaky, drop_null_target, sample_rows
 from widen.plans.registry import query, table
 from widen.plans.sqlgen import augment_sql, union_all
@@ -59,6 +59,54 @@ def augment_events(spark, sf_dir):
     return _round(out, EVENT_NUMS)
 
 
+# -- J3: a text key against a number key; twins of a key differ in padding -----
+
+
+@query("augment_mixed_keys", augment_sql("customer", "c_custkey", "orders", "o_custkey", ORDER_NUMS, ORDER_CATS))
+def augment_mixed_keys(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_custkey").cast("string")
+    o = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.lpad(k, 12, "0")).otherwise(F.concat(F.lit(" "), k)))
+    out = augment(table(spark, sf_dir, "customer"), o, ORDER_NUMS + ORDER_CATS, left_keys="c_custkey", right_keys="o_custkey")
+    return _round(out, ORDER_NUMS)
+
+
+# -- J3: null keys that match; nine in ten base rows have one ------------------
+
+
+@query("augment_null_keys", """
+WITH e AS (SELECT user_id, min(event_type) AS k FROM events GROUP BY user_id),
+b AS (SELECT c_custkey, e.k AS k FROM customer LEFT JOIN e ON c_custkey = user_id),
+r AS (SELECT e.k AS k, o_totalprice, o_orderpriority FROM orders LEFT JOIN e ON o_custkey = user_id),
+a AS (SELECT k, avg(o_totalprice) AS m FROM r GROUP BY k),
+p AS (SELECT k, arg_min(v, (-n, v)) AS v FROM (
+        SELECT k, o_orderpriority AS v, count(*) AS n FROM r GROUP BY k, o_orderpriority) GROUP BY k)
+SELECT b.c_custkey, b.k, round(a.m, 6) AS o_totalprice, p.v AS o_orderpriority
+FROM b LEFT JOIN a ON b.k IS NOT DISTINCT FROM a.k LEFT JOIN p ON b.k IS NOT DISTINCT FROM p.k
+""")
+def augment_null_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_type").alias("k"))
+    base = left_join(table(spark, sf_dir, "customer").select("c_custkey"), e, "c_custkey", "user_id")
+    right = left_join(table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderpriority"), e,
+                      "o_custkey", "user_id").withColumnRenamed("k", "rk")
+    out = augment(base, right, ["o_totalprice", "o_orderpriority"], left_keys="k", right_keys="rk", null_keys="match")
+    return _round(out, ["o_totalprice"])
+
+
+# -- A1: NaN is undefined, so it counts as null --------------------------------
+
+
+@query("reduce_nan", """
+SELECT user_id, round(avg(CASE WHEN value > 50 THEN NULL ELSE value END), 6) AS x,
+       count(*) FILTER (WHERE value > 50) = count(*) AS undefined
+FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+""")
+def reduce_nan(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(
+        "user_id", F.when(F.col("value") > 50, float("nan")).otherwise(F.col("value")).alias("x"))
+    return reduce_by_key(e, "user_id", ["x"]).select("user_id", F.round("x", 6).alias("x"), F.col("x").isNull().alias("undefined"))
+
+
 # -- J1: unique right side, plain row-preserving join -------------------------
 
 

@@ -49,7 +49,7 @@ def _profile_sql() -> str:
         for i, (c, dt, kind) in enumerate(cols):
             if kind == "num":
                 parts.append(f"SELECT '{t}' AS tbl, {i} AS pos, '{c}' AS col, '{dt}' AS dtype, "
-                             f"min({c})::DECIMAL(18,4)::VARCHAR AS mn, max({c})::DECIMAL(18,4)::VARCHAR AS mx, "
+                             f"min({c})::DECIMAL(38,4)::VARCHAR AS mn, max({c})::DECIMAL(38,4)::VARCHAR AS mx, "
                              f"NULL::BIGINT AS uc, NULL::VARCHAR AS ex FROM {t}")
             else:
                 parts.append(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from widen.operators.join import augment
 from widen.operators.score import cramers_v, missing_ratios, mutual_info, pearson
-from widen.operators.select import leak_scan, select_all, select_filter, select_mutual_info, select_random
+from widen.operators.select import chosen, leak_scan, select_all, select_filter, select_mutual_info, select_random
 from widen.plans.registry import query, table
 from widen.plans.sqlgen import augment_sql, union_all
 from widen.sources.tables import TableRef
@@ -186,21 +188,41 @@ def mi_topk(spark, sf_dir):
 
 # -- F7 / F8 -------------------------------------------------------------------
 
-_LCOLS = ("SELECT (ordinal_position - 2)::INT AS pos, column_name AS feature FROM information_schema.columns "
-          "WHERE table_name = 'lineitem' AND column_name <> 'l_orderkey'")
+# -- F7, F8: the chosen features are joined; the base keeps its rows ------------
+
+_RANDOM = sorted(sorted(FEATS, key=lambda f: (hashlib.md5(f"42:{f}".encode()).hexdigest(), f))[:len(FEATS) // 2],
+                 key=FEATS.index)
+
 
+def _widened(spark, sf_dir, selection):
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    names = chosen(selection)
+    return _r6(augment(base, _lineitem(spark, sf_dir), names), *[f for f in names if f in NUMS])
 
-@query("select_all", f"SELECT pos, feature, true AS selected FROM ({_LCOLS})")
+
+@query("select_all", augment_sql("orders", "o_orderkey", "lineitem", "l_orderkey", NUMS, CATS,
+                                 base_cols="b.o_orderkey, b.o_orderstatus"))
 def select_all_q(spark, sf_dir):
-    return select_all(_lineitem(spark, sf_dir))
+    return _widened(spark, sf_dir, select_all(_lineitem(spark, sf_dir)))
 
 
-@query("select_random", f"""
-SELECT pos, feature, row_number() OVER (ORDER BY md5('42:' || feature), feature) <= (SELECT count(*) FROM ({_LCOLS})) // 2
-       AS selected FROM ({_LCOLS})
-""")
+@query("select_random", augment_sql("orders", "o_orderkey", "lineitem", "l_orderkey", [f for f in _RANDOM if f in NUMS],
+                                    [f for f in _RANDOM if f in CATS], base_cols="b.o_orderkey, b.o_orderstatus"))
 def select_random_q(spark, sf_dir):
-    return select_random(_lineitem(spark, sf_dir), seed=42)
+    return _widened(spark, sf_dir, select_random(_lineitem(spark, sf_dir), seed=42))
+
+
+# -- F5: infinities count as 0 ---------------------------------------------------
+
+_INF = "SELECT c_mktsegment, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS x FROM customer"
+
+
+@query("mutual_info_inf", "SELECT feature, round(mutual_info, 6) AS mutual_info FROM ("
+       + mi_sql(_INF, {"x": bins_sql("wide", "x")}, "coalesce(c_mktsegment, 'MISSING')") + ")")
+def mutual_info_inf(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(
+        "c_mktsegment", F.when(F.col("c_acctbal") < 0, float("inf")).otherwise(F.col("c_acctbal")).alias("x"))
+    return _r6(mutual_info(c, ["x"], "c_mktsegment"), "mutual_info")
 
 
 # -- J7 -------------------------------------------------------------------------

@@ -98,7 +98,9 @@ def distinct_counts_q(spark, sf_dir):
 
 
 @query("min_max", union_all(
-    f"SELECT '{c}' AS column, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem" for c in LINE_NUM))
+    f"SELECT '{c}' AS column, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, "
+    + (f"min({c})::BIGINT AS min_int, max({c})::BIGINT AS max_int" if c in LINE_NUM[:4] else
+       "NULL::BIGINT AS min_int, NULL::BIGINT AS max_int") + " FROM lineitem" for c in LINE_NUM))
 def min_max_q(spark, sf_dir):
     return min_max(table(spark, sf_dir, "lineitem"), LINE_NUM)
 
@@ -128,8 +130,8 @@ _POS = {c: i for i, c in enumerate(["l_orderkey", "l_partkey", "l_suppkey", "l_l
 
 def _num_profile_sql(tbl, cols, pos, types):
     return union_all(
-        f"SELECT '{c}' AS column, {pos[c]} AS pos, '{types[c]}' AS dtype, min({c})::DECIMAL(18,4) AS min, "
-        f"max({c})::DECIMAL(18,4) AS max FROM {tbl}" for c in cols)
+        f"SELECT '{c}' AS column, {pos[c]} AS pos, '{types[c]}' AS dtype, min({c})::DECIMAL(38,4) AS min, "
+        f"max({c})::DECIMAL(38,4) AS max FROM {tbl}" for c in cols)
 
 
 def _str_profile_sql(tbl, cols, pos, types):
@@ -155,6 +157,30 @@ def profile_numeric(spark, sf_dir):
     return p.filter(F.col("unique_count").isNull()).select("column", "pos", "dtype", "min", "max")
 
 
+_BIG = ("o_orderkey * 1000000007 + 9007199254740993 AS big, "
+        "CASE WHEN o_orderkey % 7 = 0 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS holes")
+
+
+@query("profile_large", union_all(
+    f"SELECT '{c}' AS column, {i} AS pos, '{t}' AS dtype, min({c})::DECIMAL(38,4) AS min, max({c})::DECIMAL(38,4) AS max "
+    f"FROM (SELECT {_BIG} FROM orders) WHERE {c} <> 'NaN'::DOUBLE"
+    for i, (c, t) in enumerate([("big", "bigint"), ("holes", "double")])))
+def profile_large(spark, sf_dir):
+    """Long ids past 2**53 and a column with NaN."""
+    o = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") * 1000000007 + 9007199254740993).alias("big"),
+        F.when(F.col("o_orderkey") % 7 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("holes"))
+    return profile(o).select("column", "pos", "dtype", "min", "max")
+
+
+@query("min_max_large", """
+SELECT 'big' AS column, min(big)::DOUBLE AS min, max(big)::DOUBLE AS max, min(big) AS min_int, max(big) AS max_int
+FROM (SELECT o_orderkey * 1000000007 + 9007199254740993 AS big FROM orders)""")
+def min_max_large(spark, sf_dir):
+    return min_max(table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") * 1000000007 + 9007199254740993).alias("big")))
+
+
 def _string_view(p):
     return p.filter(F.col("unique_count").isNotNull()).select(
         "column", "pos", "dtype", "unique_count", F.array_join("cell_examples", ", ").alias("cell_examples"))
@@ -183,7 +209,7 @@ WITH wide AS ({_WIDE_EV})
 SELECT column, pos, dtype, min, max, NULL::BIGINT AS unique_count, NULL::VARCHAR AS cell_examples FROM (
 {_num_profile_sql('wide', ['c_custkey', 'c_nationkey', 'c_acctbal', 'value'], _WPOS, _WTYPES)})
 UNION ALL
-SELECT column, pos, dtype, NULL::DECIMAL(18,4), NULL::DECIMAL(18,4), unique_count, cell_examples FROM (
+SELECT column, pos, dtype, NULL::DECIMAL(38,4), NULL::DECIMAL(38,4), unique_count, cell_examples FROM (
 {_str_profile_sql('wide', ['c_name', 'c_mktsegment', 'event_type', 'props'], _WPOS, _WTYPES)})
 """)
 def profile_incremental_q(spark, sf_dir):

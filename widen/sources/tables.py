@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from widen.functions.columns import as_list, col
+from widen.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -91,6 +92,7 @@ def read_table(
     )
     # Spark refuses queries that only touch the corrupt column of a raw read;
     # materialising once through the checkpoint folder keeps both parts consistent.
+    checkpoint_dir(spark)
     raw = raw.checkpoint(eager=True)
     good = raw.filter(col(corrupt_column).isNull()).drop(corrupt_column)
     bad = raw.filter(col(corrupt_column).isNotNull()).select(corrupt_column)
