@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widen.functions.columns import as_list, col
+from widen.functions.columns import as_list, col, quote
 from widen.session import checkpoint_dir
 
 
@@ -48,6 +48,39 @@ class TableRef:
         return replace(self, df=df)
 
 
+# Cells that the reference's reader takes for missing ones.
+NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+               "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def _typed(df: DataFrame, columns, null_tokens) -> DataFrame:
+    """Text columns with missing cells as null and the narrowest type that all
+    other cells have, found in one pass over all columns."""
+    columns = list(columns)
+    cells = [F.when(~F.col(quote(c)).isin(*null_tokens), F.col(quote(c))).alias(c) if null_tokens else F.col(quote(c))
+             for c in columns]
+    clean = df.select(*cells, *[F.col(quote(c)) for c in df.columns if c not in columns])
+    kinds = ("int", "bigint", "double", "boolean", "date", "timestamp")
+    # dates only where they look like dates: a bare year is a number
+    dated = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?\s*$"
+
+    def fits(c, kind):
+        v = F.col(quote(c))
+        ok = v.try_cast(kind).isNotNull()
+        if kind == "date":
+            ok = ok & v.rlike(dated) & ~v.contains(":")
+        return ok & v.rlike(dated) if kind == "timestamp" else ok
+
+    counts = clean.agg(*[F.count(F.col(quote(c))).alias(f"n{i}") for i, c in enumerate(columns)],
+                       *[F.count_if(fits(c, k)).alias(f"{k}{i}") for i, c in enumerate(columns) for k in kinds]).first()
+    out = []
+    for i, c in enumerate(columns):
+        n = counts[f"n{i}"]
+        kind = next((k for k in kinds if counts[f"{k}{i}"] == n), "string") if n else "string"
+        out.append(F.col(quote(c)).try_cast(kind).alias(c) if kind != "string" else F.col(quote(c)))
+    return clean.select(*out, *[F.col(quote(c)) for c in df.columns if c not in columns])
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -55,9 +88,15 @@ def read_table(
     bad_rows: str = "keep",
     corrupt_column: str = "_corrupt_record",
     schema=None,
+    multiline: bool = False,
+    null_tokens=NULL_TOKENS,
 ):
     """Read a table; CSV with header and inferred types.
 
+    Quotes are doubled inside quoted cells; with ``multiline`` a quoted cell may
+    hold line ends (a file is then read by one task, so it is an option). Cells
+    among ``null_tokens`` are null, and a column's type is that of the others.
+
     ``bad_rows`` (C2): ``'keep'`` (PERMISSIVE), ``'drop'`` (DROPMALFORMED) or
     ``'quarantine'``, which returns ``(good, bad)``: rows that failed to parse are
     kept as raw text in ``bad`` instead of being lost.
@@ -69,34 +108,30 @@ def read_table(
         if schema is not None:
             reader = reader.schema(schema)
         return reader.load(path)
-    reader = spark.read.option("header", True).option("inferSchema", schema is None)
-    if schema is not None:
-        reader = reader.schema(schema)
-    if bad_rows == "keep":
-        return reader.option("mode", "PERMISSIVE").csv(path)
-    if bad_rows == "drop":
-        return reader.option("mode", "DROPMALFORMED").csv(path)
-    if bad_rows != "quarantine":
+    if bad_rows not in ("keep", "drop", "quarantine"):
         raise ValueError(f"bad_rows must be keep, drop or quarantine, not {bad_rows!r}")
-    if schema is None:
-        schema = reader.csv(path).schema
+
+    def reader():
+        return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
+
+    if bad_rows != "quarantine":
+        r = reader().option("mode", "PERMISSIVE" if bad_rows == "keep" else "DROPMALFORMED")
+        if schema is not None:
+            return r.schema(schema).csv(path)
+        df = r.csv(path)
+        return _typed(df, df.columns, null_tokens)
     from pyspark.sql import types as T
 
-    wide = T.StructType(list(schema.fields) + [T.StructField(corrupt_column, T.StringType(), True)])
-    raw = (
-        spark.read.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", corrupt_column)
-        .schema(wide)
-        .csv(path)
-    )
+    fields = list((reader().csv(path).schema if schema is None else schema).fields)
+    wide = T.StructType([*fields, T.StructField(corrupt_column, T.StringType(), True)])
+    raw = reader().option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_column).schema(wide).csv(path)
     # Spark refuses queries that only touch the corrupt column of a raw read;
     # materialising once through the checkpoint folder keeps both parts consistent.
     checkpoint_dir(spark)
     raw = raw.checkpoint(eager=True)
     good = raw.filter(col(corrupt_column).isNull()).drop(corrupt_column)
     bad = raw.filter(col(corrupt_column).isNotNull()).select(corrupt_column)
-    return good, bad
+    return (good if schema is not None else _typed(good, good.columns, null_tokens)), bad
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by=None) -> None:
