@@ -111,7 +111,7 @@ def train_centroids(sample: np.ndarray, lists: int, rounds: int = 8, degree: int
 
 
 def _near_lists(vectors: DataFrame, ids: list[str], centroids: Centroids, ratio: float, beam: int, most: int | None,
-                batch: int = 256) -> DataFrame:
+                least: int = 1, batch: int = 256) -> DataFrame:
     """One row per vector and list that is near enough: ids, vector, list."""
     def run(batches):
         for b in batches:
@@ -120,6 +120,10 @@ def _near_lists(vectors: DataFrame, ids: list[str], centroids: Centroids, ratio:
                 x = s.column(s.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(s.num_rows, -1)
                 d = centroids.distances(x.astype(np.float32), ratio, beam)
                 hit = d <= d.min(1, keepdims=True) * (1 + ratio)
+                if least > 1:
+                    n = min(least, d.shape[1])
+                    hit |= d <= np.partition(d, n - 1, axis=1)[:, n - 1:n]
+                hit &= np.isfinite(d)
                 if most is not None and most < d.shape[1]:
                     hit &= d <= np.partition(d, most - 1, axis=1)[:, most - 1:most]
                 rows, lists = np.nonzero(hit)
@@ -149,7 +153,7 @@ def usable(vector: str) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding",
-            sample: int = 20_000, spread: float = 0.08, replicas: int = 4, ratio: float = 0.2, beam: int = 32,
+            sample: int = 20_000, spread: float = 0.08, replicas: int = 4, ratio: float = 0.2, least: int = 16, beam: int = 32,
             lists: int | None = None, block: int = 1024, chunk: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for every row where
     ``queries`` (a condition on column ``id``) holds; never the row's own id.
@@ -157,7 +161,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
     ``sample`` bounds the vectors that train centroids; ``lists`` is their
     number (the root of the number of vectors unless given); a vector is posted
     to up to ``replicas`` lists within 1 + ``spread`` of its nearest; a query
-    reads the lists within 1 + ``ratio``.
+    reads the lists within 1 + ``ratio``, and ``least`` lists in any case (all
+    lists of a small table, so that few candidates are all returned).
     """
     from widen.session import checkpoint_dir
 
@@ -180,7 +185,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
 
     posting = _near_lists(posted, ["id", "ids"], centroids, spread, 2 * replicas, replicas)
     wanted = rows.where(queries).withColumnRenamed("id", "query_id")
-    asked = _near_lists(wanted, ["query_id"], centroids, ratio, beam, None)
+    asked = _near_lists(wanted, ["query_id"], centroids, ratio, beam, None, least)
     pairs = (_blocks(asked, "query_id", ["query_id", "vec"], chunk, "asked")
              .join(_blocks(posting, "id", ["ids", "vec"], block, "posted"), "list").select("asked", "posted"))
 
