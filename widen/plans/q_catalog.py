@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from widen.functions.ranking import materialised
 from widen.operators.profile import infer_task
 from widen.plans.registry import query, table
 from widen.plans.sqlgen import union_all
@@ -33,7 +34,10 @@ KEYLIKE = {
     "supplier": ["s_suppkey", "s_name", "s_nationkey"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
 }
-NCOLS = {"customer": 5, "orders": 6, "events": 6, "supplier": 4, "nation": 3}
+# columns that are no text, and the text columns
+VALUES = {"orders": (4, ["o_orderstatus", "o_orderpriority"]), "events": (4, ["event_type", "props"]),
+          "supplier": (3, ["s_name"]), "nation": (2, ["n_name"])}
+BASE_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 CANDIDATES = ["orders", "events", "supplier", "nation"]
 OLD_COLUMNS = ["c_custkey", "c_name"]  # base columns searched in an earlier run
 
@@ -43,11 +47,13 @@ def _joinable_sql() -> str:
                      f"WHERE {c} IS NOT NULL" for c in KEYLIKE["customer"])
     right = union_all(f"SELECT DISTINCT '{t}' AS dataset_name, '{c}' AS right_column, {c}::VARCHAR AS value "
                       f"FROM {t} WHERE {c} IS NOT NULL" for t in CANDIDATES for c in KEYLIKE[t])
-    sizes = union_all(f"SELECT '{t}' AS dataset_name, (count(*) * {NCOLS[t] * 8})::BIGINT AS size FROM {t}"
+    sizes = union_all(f"SELECT '{t}' AS dataset_name, (count(*) * {8 * VALUES[t][0]}"
+                      + "".join(f" + coalesce(sum(strlen({c})), 0)" for c in VALUES[t][1]) + f")::BIGINT AS size FROM {t}"
                       for t in CANDIDATES)
     return f"""
 SELECT sh.dataset_name, sh.left_column, sh.right_column, nb.n_base_values, sh.n_shared_values,
-       sh.n_shared_values::DOUBLE / nb.n_base_values AS score, sz.size
+       sh.n_shared_values::DOUBLE / nb.n_base_values AS score, sz.size,
+       (list_position({BASE_COLUMNS}, sh.left_column) - 1)::INTEGER AS join_key
 FROM (SELECT left_column, dataset_name, right_column, count(*) AS n_shared_values
       FROM ({left}) l JOIN ({right}) r ON l.value = r.value GROUP BY left_column, dataset_name, right_column) sh
 JOIN (SELECT left_column, count(*) AS n_base_values FROM ({left}) GROUP BY left_column) nb
@@ -60,7 +66,7 @@ JOINABLE = _joinable_sql()
 CATALOG = f"""
 SELECT dataset_name || '.' || right_column AS id, dataset_name, score,
        '[''' || left_column || ''']' AS left_columns_names, '[''' || right_column || ''']' AS right_columns_names,
-       size, 0 AS join_key, 'N/A' AS description, left_column
+       size, join_key, 'N/A' AS description, left_column
 FROM ({JOINABLE})"""
 CAT_COLS = "id, dataset_name, round(score, 6) AS score, left_columns_names, right_columns_names, size, join_key, description"
 MERGED = f"""
@@ -84,7 +90,10 @@ def _catalog(spark, sf_dir, columns=None):
 
 
 def _merged(spark, sf_dir):
-    return merge_catalog(_catalog(spark, sf_dir, OLD_COLUMNS), _catalog(spark, sf_dir))
+    # one search; both catalogs read its rows
+    j = materialised(_joinable(spark, sf_dir))
+    old, new = (ingest_search_results(to_search_results(x)) for x in (j.filter(F.col("left_column").isin(OLD_COLUMNS)), j))
+    return merge_catalog(old, new)
 
 
 def _r6(df):
@@ -142,6 +151,18 @@ def next_table_q(spark, sf_dir):
     return _r6(next_table(_merged(spark, sf_dir), "score").select("id", "score", "rank"))
 
 
+@query("next_table_last", f"""
+SELECT id, row_number() OVER (ORDER BY join_key DESC, id) AS rank FROM ({MERGED})
+""")
+def next_table_last(spark, sf_dir):
+    return next_table(_merged(spark, sf_dir)).select("id", "rank")
+
+
+@query("next_table_size", f"SELECT id, row_number() OVER (ORDER BY size, id) AS rank FROM ({MERGED})")
+def next_table_size(spark, sf_dir):
+    return next_table(_merged(spark, sf_dir), "size").select("id", "rank")
+
+
 _TASKS = [("customer", "c_mktsegment"), ("customer", "c_acctbal"), ("labels", "quality"), ("documents", "n_chars")]
 
 

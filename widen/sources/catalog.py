@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from widen.functions.ranking import global_rank
 from widen.functions.columns import NUMERIC, STRING, as_list, classes, col, field_types
 
 # Fixed values that must equal the reference's.
@@ -50,6 +51,25 @@ def _distinct_values(df: DataFrame, columns, table: str | None = None) -> DataFr
     return out if table is None else out.withColumn("table", F.lit(table))
 
 
+def _hashed(values: DataFrame) -> DataFrame:
+    return values.withColumn("value", F.unhex(F.md5("value")))
+
+
+def _value_bytes(df: DataFrame):
+    """Bytes of all values: a text's own, 8 for anything else."""
+    kinds = classes(df)
+    texts = [c for c in df.columns if kinds[c] == STRING]
+    out = F.count(F.lit(1)) * F.lit(8 * (len(df.columns) - len(texts)))
+    for c in texts:
+        out = out + F.coalesce(F.sum(F.octet_length(col(c))), F.lit(0))
+    return out.cast("bigint")
+
+
+def _place(base: DataFrame, name):
+    """Place of a column, given by name, in the base table (from 0)."""
+    return F.create_map(*[x for i, c in enumerate(base.columns) for x in (F.lit(c), F.lit(i))])[name]
+
+
 def find_joinable(
     base: DataFrame,
     candidates: dict[str, DataFrame],
@@ -63,21 +83,22 @@ def find_joinable(
     distinct ``(column, value)`` pairs before the join on ``value``, so the join
     emits one row per shared value and candidate column (never all pairs).
     Returns ``(dataset_name, left_column, right_column, n_base_values,
-    n_shared_values, score, size)`` with ``score >= min_score``; ``size`` is
-    an estimate (rows x columns x 8 bytes).
+    n_shared_values, score, size, join_key)`` with ``score >= min_score``;
+    ``size`` is the bytes of the table's values (8 a number or date, a text's own
+    bytes), ``join_key`` the place of the base column in the base table. Values
+    are compared by a 128-bit hash, so long texts are not shuffled.
     """
     bcols = _key_like(base, base_columns)
-    left = _distinct_values(base, bcols).select(F.col("column").alias("left_column"), "value")
+    left = _hashed(_distinct_values(base, bcols)).select(F.col("column").alias("left_column"), "value")
     n_base = left.groupBy("left_column").agg(F.count(F.lit(1)).alias("n_base_values"))
     right, sizes = None, None
     for name, df in candidates.items():
         cols_ = _key_like(df)
         if not cols_:
             continue
-        r = _distinct_values(df, cols_, name).select(F.col("table").alias("dataset_name"),
+        r = _hashed(_distinct_values(df, cols_, name)).select(F.col("table").alias("dataset_name"),
                                                     F.col("column").alias("right_column"), "value")
-        s = df.agg((F.count(F.lit(1)) * F.lit(len(df.columns) * 8)).cast("bigint").alias("size")).select(
-            F.lit(name).alias("dataset_name"), "size")
+        s = df.agg(_value_bytes(df).alias("size")).select(F.lit(name).alias("dataset_name"), "size")
         right = r if right is None else right.unionByName(r)
         sizes = s if sizes is None else sizes.unionByName(s)
     shared = (left.join(right, "value")
@@ -85,12 +106,15 @@ def find_joinable(
     out = shared.join(n_base, "left_column").join(sizes, "dataset_name")
     score = F.try_divide(F.col("n_shared_values").cast("double"), F.col("n_base_values"))
     return out.select("dataset_name", "left_column", "right_column", "n_base_values", "n_shared_values",
-                      score.alias("score"), "size").filter(F.col("score") >= min_score)
+                      score.alias("score"), "size", _place(base, F.col("left_column")).alias("join_key")).filter(
+        F.col("score") >= min_score)
 
 
 def to_search_results(joinable: DataFrame) -> DataFrame:
-    """J6 rows -> one search-result JSON document per base column (the shape a
-    remote dataset search answers with): ``(left_column, json)``."""
+    """J6 rows -> one search-result JSON document per base column and dataset
+    (the shape a remote dataset search answers with): ``(left_column, join_key,
+    json)``. A document holds as many results as the dataset has columns at
+    most, however many datasets there are."""
     res = F.struct(
         F.concat_ws(".", "dataset_name", "right_column").alias("id"),
         F.col("score"),
@@ -100,10 +124,9 @@ def to_search_results(joinable: DataFrame) -> DataFrame:
                  F.array(F.array(F.col("left_column"))).alias("left_columns_names"),
                  F.array(F.array(F.col("right_column"))).alias("right_columns_names")).alias("augmentation"),
     )
-    return joinable.groupBy("left_column").agg(
-        F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(F.col("dataset_name"), F.col("right_column"),
-                                                                   res.alias("r")))).getField("r")
-                           .alias("results"))).alias("json"))
+    return joinable.groupBy("left_column", "join_key", "dataset_name").agg(
+        F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(F.col("right_column"), res.alias("r")))).getField("r")
+                           .alias("results"))).alias("json")).drop("dataset_name")
 
 
 def ingest_search_results(docs: DataFrame, json_col: str = "json") -> DataFrame:
@@ -111,10 +134,13 @@ def ingest_search_results(docs: DataFrame, json_col: str = "json") -> DataFrame:
 
     Keeps ``augmentation.type = 'join'``; dataset name with spaces and ``/``
     turned into ``_``; missing description -> ``'N/A'``; key lists rendered as
-    stringified lists (as the catalog file stores them).
+    stringified lists (as the catalog file stores them). ``join_key`` is the
+    index of the searched base column, from the column of that name (0 without
+    it, a search by the first column).
     """
-    parsed = docs.select(F.from_json(col(json_col), SEARCH_SCHEMA).alias("d"))
-    r = parsed.select(F.explode("d.results").alias("r")).filter(F.col("r.augmentation.type") == "join")
+    key = col("join_key").cast("int") if "join_key" in docs.columns else F.lit(0)
+    parsed = docs.select(F.from_json(col(json_col), SEARCH_SCHEMA).alias("d"), key.alias("join_key"))
+    r = parsed.select(F.explode("d.results").alias("r"), "join_key").filter(F.col("r.augmentation.type") == "join")
 
     def listed(c):
         return F.concat(F.lit("['"), F.array_join(F.flatten(c), "', '"), F.lit("']"))
@@ -126,7 +152,7 @@ def ingest_search_results(docs: DataFrame, json_col: str = "json") -> DataFrame:
         listed(F.col("r.augmentation.left_columns_names")).alias("left_columns_names"),
         listed(F.col("r.augmentation.right_columns_names")).alias("right_columns_names"),
         F.col("r.metadata.size").alias("size"),
-        F.lit(0).alias("join_key"),
+        F.col("join_key"),
         F.coalesce(F.col("r.metadata.description"), F.lit("N/A")).alias("description"),
     )
 
@@ -181,22 +207,20 @@ def register_base(registry: DataFrame, rows: DataFrame) -> DataFrame:
     return registry.unionByName(rows)
 
 
-def next_table(catalog: DataFrame, policy: str = "catalog_desc") -> DataFrame:
+def next_table(catalog: DataFrame, policy: str = "catalog_desc", order_col: str | None = None) -> DataFrame:
     """The pool in visiting order, as ``rank`` (1 = next).
 
     ``catalog_desc`` takes the last catalog row first (the reference pops a
-    list), ``score`` the best score, ``size`` the smallest table.
+    list): ``order_col`` holds the place of a row in the catalog. Without it the
+    last searched column comes first, by id.
+    ``score`` takes the best score, ``size`` the smallest table; ties by id.
     """
     if policy == "catalog_desc":
-        order = [F.desc("__ord")]
+        order = [-col(order_col)] if order_col else [-F.col("join_key"), F.col("id")]
     elif policy == "score":
-        order = [F.desc("score"), F.asc("id")]
+        order = [-F.col("score"), F.col("id")]
     elif policy == "size":
-        order = [F.asc("size"), F.asc("id")]
+        order = [F.col("size"), F.col("id")]
     else:
         raise ValueError(f"unknown policy {policy!r}")
-    # pools are catalog-sized (one row per joinable table); the window over the
-    # whole pool is bounded by the catalog, not by the data
-    w = Window.orderBy(*order)
-    src = catalog if "__ord" in catalog.columns else catalog.withColumn("__ord", F.col("id"))
-    return src.withColumn("rank", F.row_number().over(w).cast("bigint")).drop("__ord")
+    return global_rank(catalog, order)
