@@ -17,7 +17,7 @@ from widen.functions.columns import (
     hash_bucket,
     hash_order,
 )
-from widen.functions.ranking import exact_medians, global_rank
+from widen.functions.ranking import exact_medians, global_rank, materialised
 
 # Fixed values that must equal the reference's.
 MISSING_TOKEN = "MISSING"
@@ -83,16 +83,26 @@ def category_codes(df: DataFrame, column: str, partitions: int | None = None) ->
 def encode(df: DataFrame, columns=None, null_code: int = -1, exclude=()) -> DataFrame:
     """Replace each listed column (default: string columns) by its category code.
 
-    Codes follow the sorted distinct values; nulls get ``null_code``. The code
-    table is joined back with Spark choosing the strategy from its measured
-    size (broadcast when small).
+    Codes follow the sorted distinct values (as text); nulls get ``null_code``.
+    The values of all columns are found in one pass, however many columns there
+    are; the code table is joined back with Spark choosing the strategy from its
+    measured size (broadcast when small).
     """
     kinds = classes(df)
     columns = [c for c in (as_list(columns) or [c for c in df.columns if kinds[c] == STRING]) if c not in exclude]
+    if not columns:
+        return df
+    # one pass for all columns: distinct (column, value) pairs, one global rank,
+    # less the rank at which the column begins
+    rows = [F.struct(F.lit(i).alias("c"), col(c).cast("string").alias("value")) for i, c in enumerate(columns)]
+    pairs = df.select(F.inline(F.array(*rows))).filter(F.col("value").isNotNull()).distinct()
+    ranked = materialised(global_rank(pairs, [F.col("c"), F.col("value")], "r"))
+    begins = ranked.groupBy("c").agg(F.min("r").alias("begin"))  # a row a column
+    codes = ranked.join(F.broadcast(begins), "c").select("c", "value", (F.col("r") - F.col("begin")).alias("code"))
     out = df
     for i, c in enumerate(columns):
-        codes = category_codes(df, c).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__k{i}"))
-        out = out.join(codes, col(c) == F.col(f"__v{i}"), "left")
+        own = codes.filter(F.col("c") == i).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__k{i}"))
+        out = out.join(own, col(c).cast("string") == F.col(f"__v{i}"), "left")
         out = out.withColumn(c, F.coalesce(F.col(f"__k{i}"), F.lit(null_code).cast("bigint"))).drop(f"__v{i}", f"__k{i}")
     return out
 
