@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from widen.operators.join import augment, fanout, key_overlap, left_join, left_join_m1, project, reduce_by_key
-from widen.operators.project import drop_leaky, drop_null_target, sample_rows
+from widen.operators.prep import target_int
+from widen.operators.project import (
+    drop_columns,
+    drop_leaky,
+    drop_leaky_tables,
+    drop_null_target,
+    filter_equals,
+    sample_rows,
+)
 from widen.plans.registry import query, table
 from widen.plans.sqlgen import augment_sql, union_all
+from widen.sources.catalog import register_base
 from widen.sources.tables import TableRef, zip_columns
 
 
@@ -198,3 +207,71 @@ def drop_null_target_q(spark, sf_dir):
 @query("zip_columns", "SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def zip_columns_q(spark, sf_dir):
     return zip_columns(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+# -- P2: columns whose name the base has stay the base's ------------------------
+
+
+@query("augment_collisions", """
+SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, round(l.q, 6) AS l_quantity
+FROM orders o LEFT JOIN (SELECT l_orderkey, avg(l_quantity) AS q FROM lineitem GROUP BY l_orderkey) l
+  ON o.o_orderkey = l.l_orderkey
+""")
+def augment_collisions(spark, sf_dir):
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    right = table(spark, sf_dir, "lineitem").withColumnRenamed("l_extendedprice", "O_TOTALPRICE")
+    return _round(augment(base, right, ["O_TOTALPRICE", "l_quantity"], "o_orderkey", "l_orderkey"), ["l_quantity"])
+
+
+# -- P4, P5 over a pool, P7, E6, C12 --------------------------------------------
+
+
+@query("drop_columns", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
+def drop_columns_q(spark, sf_dir):
+    return drop_columns(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderdate", "not a column"])
+
+
+@query("drop_leaky_pool", """
+SELECT 'orders' AS name, count(*) AS n, sum(o_custkey)::BIGINT AS keys, 5::BIGINT AS n_columns FROM orders
+UNION ALL SELECT 'events', count(*), sum(user_id)::BIGINT, 6 FROM events
+""")
+def drop_leaky_pool(spark, sf_dir):
+    pool = [TableRef("orders", table(spark, sf_dir, "orders"), ["c_custkey"], ["o_custkey"]),
+            TableRef("events", table(spark, sf_dir, "events"), ["c_custkey"], ["user_id"])]
+    out = None
+    for t in drop_leaky_tables(pool, "total"):
+        r = t.df.agg(F.lit(t.name).alias("name"), F.count("*").alias("n"), F.sum(t.right_keys[0]).alias("keys")).withColumn(
+            "n_columns", F.lit(len(t.df.columns)).cast("bigint"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("filter_equals", """
+SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders
+WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+""")
+def filter_equals_q(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return filter_equals(filter_equals(o, "o_orderstatus", "O"), "o_orderpriority", ["1-URGENT", "2-HIGH"])
+
+
+@query("target_int", """
+SELECT d.doc_id, l.quality::INTEGER AS quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL
+""")
+def target_int_q(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    l = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
+    return target_int(left_join(d, l.withColumnRenamed("doc_id", "k"), "doc_id", "k"), "quality")
+
+
+@query("registry_append", """
+SELECT 'orders' AS base_table_name, o_orderstatus AS target_attribute, count(*) AS n FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT 'lineitem', l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag
+""")
+def registry_append(spark, sf_dir):
+    def rows(t, c):
+        return table(spark, sf_dir, t).groupBy(F.lit(t).alias("base_table_name"), F.col(c).alias("target_attribute")).agg(
+            F.count("*").alias("n"))
+
+    return register_base(rows("orders", "o_orderstatus"),
+                         rows("lineitem", "l_returnflag").select("n", "target_attribute", "base_table_name"))

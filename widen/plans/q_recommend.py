@@ -26,8 +26,8 @@ SCHEMAS = {
     "orders": [("o_orderkey", "bigint", "num"), ("o_custkey", "bigint", "num"), ("o_orderstatus", "string", "txt"),
                ("o_totalprice", "double", "num"), ("o_orderdate", "timestamp_ntz", "txt"),
                ("o_orderpriority", "string", "txt")],
-    "events": [("event_id", "bigint", "num"), ("user_id", "bigint", "num"), ("event_type", "string", "txt"),
-               ("value", "double", "num"), ("props", "string", "txt")],
+    "events": [("event_id", "bigint", "num"), ("ts", "timestamp_ntz", "txt"), ("user_id", "bigint", "num"),
+               ("event_type", "string", "txt"), ("value", "double", "num"), ("props", "string", "txt")],
     "nation": [("n_nationkey", "int", "num"), ("n_name", "string", "txt"), ("n_regionkey", "int", "num")],
 }
 POOL = ["orders", "events", "nation"]
