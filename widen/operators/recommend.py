@@ -46,7 +46,7 @@ def prompt_frame(profiles: DataFrame, base: str, target: str, task: str) -> Data
                       F.col("text"),
                       F.lit("\nAnswer in JSON with feature_scores, feature_ranking and recommended_features."))
     # base_text is one row
-    return (cands.withColumn("__j", F.lit(1)).join(base_text.withColumn("__j", F.lit(1)), "__j")
+    return (cands.withColumn("__j", F.lit(1)).join(F.broadcast(base_text.withColumn("__j", F.lit(1))), "__j")
             .select("table", F.lit("features").alias("kind"), prompt.alias("prompt")))
 
 
