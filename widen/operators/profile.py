@@ -22,8 +22,9 @@ PROFILE_SCHEMA = ("column string, pos int, dtype string, min decimal(38,4), max
 
 
 def _col_stats(df: DataFrame, columns) -> DataFrame:
-    """``(column, n_notnull, n_distinct)`` from one long-form aggregation."""
-    lf = long_form(df, columns).filter(F.col("value").isNotNull())
+    """``(column, n_notnull, n_distinct)`` from one long-form aggregation; values
+    are told apart by a 128-bit hash, so long texts are not shuffled."""
+    lf = long_form(df, columns).filter(F.col("value").isNotNull()).select("column", F.unhex(F.md5("value")).alias("value"))
     per_value = lf.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     return per_value.groupBy("column").agg(F.sum("n").cast("bigint").alias("n_notnull"),
                                             F.count(F.lit(1)).alias("n_distinct"))
@@ -114,8 +115,8 @@ def describe_table(df: DataFrame, order_by=None, n: int = 3) -> DataFrame:
         "n_columns bigint, columns array<string>, dtypes array<string>")
     # three one-row frames glued on a constant key
     return (meta.withColumn("__j", F.lit(1))
-            .join(counts.withColumn("__j", F.lit(1)), "__j")
-            .join(samples.withColumn("__j", F.lit(1)), "__j").drop("__j"))
+            .join(F.broadcast(counts.withColumn("__j", F.lit(1))), "__j")
+            .join(F.broadcast(samples.withColumn("__j", F.lit(1))), "__j").drop("__j"))
 
 
 def detect_keys(
