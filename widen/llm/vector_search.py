@@ -158,7 +158,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
     """query_id, rank, vec_id, score of the k nearest found for every row where
     ``queries`` (a condition on column ``id``) holds; never the row's own id.
 
-    ``sample`` bounds the vectors that train centroids; ``lists`` is their
+    ``sample`` bounds the vectors that train centroids (about so many are drawn); ``lists`` is their
     number (the root of the number of vectors unless given); a vector is posted
     to up to ``replicas`` lists within 1 + ``spread`` of its nearest; a query
     reads the lists within 1 + ``ratio``, and ``least`` lists in any case (all
@@ -179,8 +179,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
               .groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
               .withColumn("id", F.col("ids")[0]).checkpoint())
     n = posted.count()
-    drawn = posted.orderBy(F.xxhash64("vec"), "id").limit(sample).select("vec").toArrow()
-    x = np.stack([np.asarray(v, np.float32) for v in drawn.column(0).to_pylist()])
+    # about ``sample`` hashes in n fall below it; tasks send only what is drawn
+    drawn = posted.where(F.pmod(F.xxhash64("vec"), F.lit(max(n, 1))) < sample).select("id", "vec").toArrow().sort_by("id")
+    x = np.stack([np.asarray(v, np.float32) for v in drawn.column(1).to_pylist()])
     centroids = train_centroids(x, lists or int(np.clip(np.sqrt(n), 16, MAX_LISTS)))
 
     posting = _near_lists(posted, ["id", "ids"], centroids, spread, 2 * replicas, replicas)
