@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,44 +211,70 @@ def _part_edges(sketched: DataFrame) -> DataFrame:
             k, v, first = found
             yield pa.RecordBatch.from_arrays([_longs(k[first]), _longs(v[first])], ["part", "a"])
 
-    rows = sketched.select("key", "parts")
+    # row numbers are short in the shuffle, where keys are random bytes
+    rows = sketched.select("row", "parts")
     across = rows.mapInArrow(outer, "part long, a long").selectExpr("part", "a", "min(a) OVER (PARTITION BY part) AS b")
-    return rows.mapInArrow(inner, "a long, b long").union(across.where("a <> b").select("a", "b")).distinct()
+    found = rows.mapInArrow(inner, "a long, b long").union(across.where("a <> b").select("a", "b")).distinct()
+    names = sketched.select("row", "key")
+    return (found.join(names.select(F.col("row").alias("a"), F.col("key").alias("ka")), "a")
+            .join(names.select(F.col("row").alias("b"), F.col("key").alias("kb")), "b")
+            .where("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct())
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
-    """(key, cluster, size, set) of the sets in ``wanted``, from one text each."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    """(key, cluster, weight, size, set) of the sets in ``wanted``, from one
+    text each. Texts are compressed for the shuffle."""
+    def packed(batches):
+        for b in batches:
+            raw = [pa.compress(t.encode(), "zstd", asbytes=True) for t in b.column(2).to_pylist()]
+            sizes = pc.binary_length(b.column(2)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), sizes],
+                                             ["id", "text_hash", "packed", "bytes"])
+
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.mapInArrow(packed, f"id {kind}, text_hash long, packed binary, bytes long")
     texts = (rows.join(wanted, ["id", "text_hash"]).groupBy("id", "text_hash")
-             .agg(F.first("text").alias("text"), F.first("key").alias("key"), F.first("cluster").alias("cluster")))
+             .agg(*[F.first(c).alias(c) for c in ("packed", "bytes", "key", "cluster", "weight")]))
 
     def run(batches):
         for b in batches:
-            own = b.column(2).to_pylist()
-            for start, stop in slices(own, 2_000_000):
-                gram, size = shingle_sets(own[start:stop], n)
+            raw, sizes = b.column(3).to_pylist(), b.column(4).to_pylist()
+            at = 0
+            while at < len(raw):
+                stop, held = at, 0
+                while stop < len(raw) and (stop == at or held < 2_000_000):
+                    held += sizes[stop]
+                    stop += 1
+                own = [pa.decompress(r, k, "zstd", asbytes=True).decode()
+                       for r, k in zip(raw[at:stop], sizes[at:stop])]
+                gram, size = shingle_sets(own, n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(k).slice(start, stop - start) for k in (0, 1)] + [_longs(size), _lists(gram, size)],
-                    ["key", "cluster", "size", "set"])
+                    [b.column(k).slice(at, stop - at) for k in range(3)] + [_longs(size), _lists(gram, size)],
+                    ["key", "cluster", "weight", "size", "set"])
+                at = stop
 
-    return texts.select("key", "cluster", "text").mapInArrow(run, "key long, cluster long, size long, `set` array<long>")
+    return texts.select("key", "cluster", "weight", "packed", "bytes").mapInArrow(
+        run, "key long, cluster long, weight long, size long, `set` array<long>")
 
 
 def _dealt(sets: DataFrame, bound: Bound) -> DataFrame:
     """Rows with the pair of blocks (cluster, p, q) that they are multiplied in,
     and their side (0, 1, or 2 for a block with itself)."""
-    weight = sets.groupBy("cluster").agg(F.sum("size").alias("weight"))
-    sets = sets.join(weight, "cluster")
-    small = sets.where(F.col("weight") <= BLOCK).select("cluster", F.lit(0).cast("long").alias("p"),
-                                                        F.lit(0).cast("long").alias("q"), F.lit(2).alias("side"),
-                                                        "key", "size", "set")
+    none = F.lit(0).cast("long")
+    small = sets.where(F.col("weight") <= BLOCK).select("cluster", none.alias("p"), none.alias("q"),
+                                                        F.lit(2).alias("side"), "key", "size", "set")
     large = sets.where(F.col("weight") > BLOCK)
-    lone = (large.select("cluster", "key", F.explode("set").alias("m")).groupBy("cluster", "m")
-            .agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
-            .groupBy("key").agg(F.count("*").alias("own")))
-    slack = F.col("size") - F.ceil(F.col("size") * bound.num / bound.den)
-    live = (large.join(lone, "key", "left").where(F.coalesce("own", F.lit(0)) <= slack + 1e-6)
-            .withColumn("band", F.floor(F.log(F.col("size").cast("double")) / float(np.log(bound.den / bound.num)))))
+    # own members are counted among a third of all by hash: that can only be too few
+    members = large.select("cluster", "key", F.explode(F.filter("set", lambda x: F.pmod(x, F.lit(3)) == 0)).alias("m"))
+    lone = (members.groupBy(F.xxhash64("cluster", "m").alias("m")).agg(F.count("*").alias("n"), F.min("key").alias("key"))
+            .where("n = 1").groupBy("key").agg(F.count("*").alias("own")))
+    slack = F.expr(f"size - (size * {bound.num} + {bound.den - 1}) div {bound.den}")
+    live = (large.select("cluster", "key", "size").join(lone, "key", "left")
+            .where(F.coalesce("own", F.lit(0)) <= slack)
+            .withColumn("band", F.floor(F.log(F.col("size").cast("double")) / float(np.log(bound.den / bound.num))))
+            .checkpoint())
     blocks = live.groupBy("cluster", "band").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
     above = blocks.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = blocks.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
@@ -264,33 +291,51 @@ def _dealt(sets: DataFrame, bound: Bound) -> DataFrame:
           'p', {name.format('band', 'i')}, 'q', {name.format('(band + 1)', 'j')}, 'side', 0)) END,
         CASE WHEN below IS NULL THEN array() ELSE transform(sequence(0L, below - 1), j -> named_struct(
           'p', {name.format('(band - 1)', 'j')}, 'q', {name.format('band', 'i')}, 'side', 1)) END)"""
-    placed = x.select("cluster", F.explode(F.expr(to)).alias("to"), "key", "size", "set")
+    placed = x.select("key", F.expr(to).alias("to")).join(large, "key").select(
+        "cluster", F.explode("to").alias("to"), "key", "size", "set")
     return small.unionByName(placed.select("cluster", "to.p", "to.q", "to.side", "key", "size", "set"))
 
 
-def multiply(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+def multiply(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048, dense: float = 0.01) -> np.ndarray:
     """Overlaps of all sets of a block with all of another: the product of two
-    sparse matrices, added up over runs of the columns that both have."""
+    sparse matrices over the columns that both have.
+
+    Columns with few entries add their pairs of rows one by one; columns where
+    more than a share ``dense`` of all pairs meet are multiplied as dense runs.
+    """
+    na, nb = len(a), len(b)
     va, vb = np.concatenate(a), np.concatenate(b)
-    ra = np.repeat(np.arange(len(a)), [len(x) for x in a])
-    rb = np.repeat(np.arange(len(b)), [len(x) for x in b])
     shared = np.intersect1d(va, vb)
-    out = np.zeros((len(a), len(b)), np.float32)
-    ca, cb = np.searchsorted(shared, va), np.searchsorted(shared, vb)
-    ia = np.flatnonzero((ca < len(shared)) & (shared[np.minimum(ca, max(0, len(shared) - 1))] == va)) if len(shared) else []
-    ib = np.flatnonzero((cb < len(shared)) & (shared[np.minimum(cb, max(0, len(shared) - 1))] == vb)) if len(shared) else []
+    out = np.zeros(na * nb)
     if not len(shared):
-        return out
-    ca, ra, cb, rb = ca[ia], ra[ia], cb[ib], rb[ib]
-    oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
-    ca, ra, cb, rb = ca[oa], ra[oa], cb[ob], rb[ob]
-    for s in range(0, len(shared), columns):
-        la, ha = np.searchsorted(ca, (s, s + columns))
-        lb, hb = np.searchsorted(cb, (s, s + columns))
-        ma = np.zeros((len(a), columns), np.float32)
-        mb = np.zeros((len(b), columns), np.float32)
-        ma[ra[la:ha], ca[la:ha] - s] = 1
-        mb[rb[lb:hb], cb[lb:hb] - s] = 1
+        return out.reshape(na, nb)
+
+    def entries(v, sets):
+        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        c = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
+        own = np.flatnonzero(shared[c] == v)
+        own = own[np.argsort(c[own], kind="stable")]
+        return c[own], rows[own], np.bincount(c[own], minlength=len(shared))
+
+    (ca, ra, da), (cb, rb, db) = entries(va, a), entries(vb, b)
+    heavy = da * db > max(1.0, dense * na * nb)
+    begin = np.cumsum(db) - db
+    light = np.flatnonzero(~heavy[ca])
+    times = db[ca[light]]
+    cut = np.searchsorted(np.cumsum(times), np.arange(0, times.sum(), 4_000_000))
+    for lo, hi in zip(cut, [*cut[1:], len(light)]):
+        e, t = light[lo:hi], times[lo:hi]
+        other = np.repeat(begin[ca[e]] - np.cumsum(t) + t, t) + np.arange(t.sum())
+        out += np.bincount(np.repeat(ra[e], t) * nb + rb[other], minlength=na * nb)
+    out = out.reshape(na, nb)
+    number = np.cumsum(heavy) - 1
+    ia, ib = np.flatnonzero(heavy[ca]), np.flatnonzero(heavy[cb])
+    xa, xb = number[ca[ia]], number[cb[ib]]
+    for s in range(0, int(heavy.sum()), columns):
+        la, lb = (slice(*np.searchsorted(x, (s, s + columns))) for x in (xa, xb))
+        ma, mb = np.zeros((na, columns), np.float32), np.zeros((nb, columns), np.float32)
+        ma[ra[ia[la]], xa[la] - s] = 1
+        mb[rb[ib[lb]], xb[lb] - s] = 1
         out += ma @ mb.T
     return out
 
@@ -365,15 +410,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
     checkpoint_dir(docs.sparkSession)
     bound = Bound(num, den)
-    all_rows = sketches(docs, n, bound, id_col, text).checkpoint()
+    all_rows = sketches(docs, n, bound, id_col, text).checkpoint().withColumn("row", F.monotonically_increasing_id())
     sketched = all_rows.where("size > 0 AND id IS NOT NULL")
     edges = _part_edges(sketched).checkpoint()
     clusters = components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
     kinds = sketched.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("one"), F.min("check").alias("lo"),
-                                        F.max("check").alias("hi")).checkpoint()
+                                        F.max("check").alias("hi"), F.min("size").alias("size")).checkpoint()
     if not kinds.where("lo <> hi").isEmpty():
         raise ValueError("two sets have one 64-bit key; use another hash")
-    wanted = clusters.join(kinds, "key").select("one.id", "one.text_hash", "key", "cluster")
+    wanted = clusters.join(kinds, "key").select("one.id", "one.text_hash", "key", "cluster", "size").checkpoint()
+    weight = wanted.groupBy("cluster").agg(F.sum("size").alias("weight"))
+    wanted = wanted.join(weight, "cluster").drop("size")
     sets = _sets(docs, wanted, n, id_col, text).checkpoint()
     found = components(links(sets, bound).checkpoint())
     least = (found.join(kinds, found["node"] == kinds["key"]).groupBy("component").agg(F.min("one.id").alias("least")))
