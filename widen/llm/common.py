@@ -25,3 +25,28 @@ def without(df: DataFrame, names) -> DataFrame:
     """The frame without columns of these names, in any case of letters."""
     low = {n.lower() for n in names}
     return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in low])
+
+
+class Recent:
+    """A bounded cache of what was asked for lately, in two generations: when
+    the young one is full it becomes the old one, and what is asked for again
+    returns from there."""
+
+    def __init__(self, bound: int):
+        self.bound, self.young, self.old = bound, {}, {}
+
+    def known(self, keys: set, learn) -> dict:
+        """The young generation with all of ``keys``; ``learn`` gives values
+        for a list of unseen ones. One call's keys are held whatever the bound."""
+        if len(self.young) > self.bound:
+            self.old, self.young = self.young, {}
+        unseen = []
+        for k in keys.difference(self.young):
+            v = self.old.get(k)
+            if v is None:
+                unseen.append(k)
+            else:
+                self.young[k] = v
+        if unseen:
+            self.young.update(zip(unseen, learn(unseen)))
+        return self.young

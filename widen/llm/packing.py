@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -26,19 +27,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from widen.llm.common import slices
+from widen.llm.common import Recent, slices
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
-#: Bound of the word cache of a task, in entries.
-CACHE = 400_000
+#: Bound of each generation of the caches of a worker, in entries.
+CACHE = 250_000
+# How the byte-level vocabularies split text, for Latin characters.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_INSIDE_RUN = re.compile(r"\s \s")
+_PLAIN = re.compile(f"[ \\n!-~{_LETTERS}]*")
+_RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \\n{_LETTERS}0-9]+|[ \\n]+(?![^ \\n])|[ \\n]+")
+# The characters by which byte-level vocabularies write bytes.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b if b in _SHOWN else 256 + n for n, b in enumerate(
+    sorted(range(256), key=lambda b: (b in _SHOWN, b)))}
 
 
 class WordEncoder:
     """Ids of texts by a byte-level BPE file, word by word through a cache.
 
-    No token of such a vocabulary spans the place before a single blank that
-    is followed by a non-blank, so a text may be cut there; further blanks of a
-    run stay with the word before. Unseen words go to the tokenizer in batches.
+    No token of such a vocabulary spans the place before a blank that starts a
+    run of white space or ends one, so a text may be cut there; what lies inside
+    a run stays with the word before. Unseen words are tokenized in batches.
     """
 
     def __init__(self, path: str):
@@ -46,41 +56,46 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}  # words that start a text
-        self.inner: dict[str, bytes] = {}  # words after a blank, kept without it
+        self.first, self.inner = Recent(CACHE), Recent(CACHE)  # words that start a text, and after a blank, without it
+        self.parts = Recent(CACHE)  # letter, digit and mark runs of words
 
     @staticmethod
     def words(text: str) -> list[str]:
         parts = text.split(" ")
-        if "  " not in text:
+        if "  " not in text and not _INSIDE_RUN.search(text):
             return parts
         out = parts[:1]
-        for p in parts[1:-1]:
-            if p:
-                out.append(p)
-            else:
-                out[-1] += " "
-        if len(parts) > 1:
-            # what ends the text: blanks belong to the word before
-            if parts[-1]:
-                out.append(parts[-1])
+        for p in parts[1:]:
+            if not p or p[0].isspace() and (not out[-1] or out[-1][-1].isspace()):
+                out[-1] += " " + p
             else:
-                out[-1] += " "
+                out.append(p)
         return out
 
-    def _known(self, cache: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
-        """The cache with all of ``words``, which one batch bounds."""
-        if len(cache) > CACHE:
-            cache.clear()
-        unseen = list(words.difference(cache))
-        for w, e in zip(unseen, self.tokenizer.encode_batch([lead + w for w in unseen], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return cache
+    def _tokenized(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes()
+                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _merged(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs that the splitting leaves whole, by the model alone."""
+        tokenize = self.tokenizer.model.tokenize
+        return [np.array([t.id for t in tokenize(r.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u4").tobytes()
+                for r in runs]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of unseen words. Words of plain Latin characters fall into the
+        runs that the vocabulary's own splitting makes, which recur more often
+        than words; other words go to the tokenizer whole."""
+        runs = [_RUNS.findall(w) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
+        ids = self.parts.known({r for rs in runs if rs for r in rs}, self._merged)
+        others = iter(self._tokenized([w for w, rs in zip(words, runs) if rs is None]))
+        return [next(others) if rs is None else b"".join([ids[r] for r in rs]) for rs in runs]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
-        inner = self._known(self.inner, {w for ws in split for w in ws[1:]}, " ").__getitem__
-        first = self._known(self.first, {ws[0] for ws in split}, "")
+        inner = self.inner.known({w for ws in split for w in ws[1:]},
+                                 lambda words: self._learn([" " + w for w in words])).__getitem__
+        first = self.first.known({ws[0] for ws in split}, self._learn)
         return [np.frombuffer(first[ws[0]] + b"".join(map(inner, ws[1:])), dtype="<u4") for ws in split]
 
 
