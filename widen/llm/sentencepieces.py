@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from widen.llm.common import slices
+from widen.llm.common import Recent, slices
 
 BLANK = "▁"
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Bound of the word cache of a task, in entries.
-CACHE = 400_000
+#: Bound of each generation of the word cache of a worker, in entries.
+CACHE = 250_000
 
 
 # ---------------------------------------------------------------------------
@@ -141,7 +141,7 @@ class Model:
         self.by_word = self.escape and not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.identity = not self.map.units and not self.strip_blanks and self.dummy_prefix and self.by_word
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache = Recent(CACHE)
 
     def _tables(self) -> None:
         """Arrays for merging many words at once: symbols of characters, and
@@ -355,9 +355,10 @@ class Model:
         order = np.argsort(owner, kind="stable")
         return symbols[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
-    def _learn(self, words: list[str]) -> None:
-        """Keep packed ids and original byte counts of words. One blank before
-        a word is understood if it is given without any."""
+    def _learn(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids and original byte counts of words. One blank before a
+        word is understood if it is given without any."""
+        out: list = [None] * len(words)
         escaped = [w if w.startswith(BLANK) else BLANK + w for w in words]
         short = [i for i, w in enumerate(escaped) if len(w) <= 200]
         symbols, at = self._merge_words([escaped[i] for i in short])
@@ -370,12 +371,13 @@ class Model:
             if odd[k]:
                 slow.add(i)
             else:
-                self.cache[words[i]] = packed[4 * at[k]:4 * at[k + 1]], sizes[4 * at[k]:4 * at[k + 1]]
+                out[i] = packed[4 * at[k]:4 * at[k + 1]], sizes[4 * at[k]:4 * at[k + 1]]
         for i in slow:
             pieces = self._pieces(escaped[i])
             # a blank is three bytes here and one in the original
-            self.cache[words[i]] = (array("i", [k for k, _ in pieces]).tobytes(),
-                                    array("i", [n - 2 * self.blanks[k] for k, n in pieces]).tobytes())
+            out[i] = (array("i", [k for k, _ in pieces]).tobytes(),
+                      array("i", [n - 2 * self.blanks[k] for k, n in pieces]).tobytes())
+        return out
 
     def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, starts, ends) of each text: spans are bytes of the original
@@ -383,18 +385,13 @@ class Model:
         plain = [self.identity and BLANK not in t for t in texts]
         words = [(_blank_runs(t) if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ")) if fast and t else []
                  for t, fast in zip(texts, plain)]
-        unseen = {w for ws in words for w in ws}.difference(self.cache)
-        if len(self.cache) + len(unseen) > CACHE:
-            self.cache.clear()
-            unseen = {w for ws in words for w in ws}
-        if unseen:
-            self._learn(list(unseen))
+        cache = self.cache.known({w for ws in words for w in ws}, self._learn)
         out = []
         for t, fast, ws in zip(texts, plain, words):
             if not fast:
                 out.append(self._encode_aligned(t))
                 continue
-            found = [self.cache[w] for w in ws]
+            found = [cache[w] for w in ws]
             ids = np.frombuffer(b"".join([f[0] for f in found]), "<i4")
             sizes = np.frombuffer(b"".join([f[1] for f in found]), "<i4").astype(np.int64)
             if len(sizes):
