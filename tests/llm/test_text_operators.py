@@ -271,6 +271,48 @@ def test_line_dedup_matches_brute_force(spark):
     assert [i for i in range(0, 100, 7) if passage[0].strip() in got[i].text] == [0]
 
 
+def later_copies(docs, least):
+    """Lines in a run of ``least`` words or more that equals an earlier run: all
+    runs of all documents, without marks or windows."""
+    seen, out = set(), defaultdict(set)
+    for i, t in docs:
+        lines = [x.strip() for x in t.split("\n") if x.strip()]
+        for a in range(len(lines)):
+            runs = [tuple(lines[a:b]) for b in range(a + 1, len(lines) + 1)]
+            for r in runs:
+                if sum(len(x.split()) for x in r) >= least:
+                    if r in seen:
+                        out[i] |= set(range(a, a + len(r)))
+                    seen.add(r)
+    return out
+
+
+def test_line_dedup_finds_every_long_run(spark):
+    def line(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    docs = []
+    for g in range(12):  # each line G stands first in a document that has nothing else of the others
+        base, run = 10 * g, [line(f"x{g}", 10), line(f"g{g}", 30), line(f"y{g}", 15)]
+        docs += [(base, "\n".join([line(f"a{g}", 40), run[1], line(f"b{g}", 40)])),
+                 (base + 1, "\n".join([line(f"c{g}", 40), *run, line(f"d{g}", 40)])),
+                 (base + 2, "\n".join([line(f"e{g}", 40), *run, line(f"f{g}", 40)]))]
+        # less than a window behind and before a long line whose first copy stands alone
+        long, beside = line(f"l{g}", 60), [line(f"u{g}", 5), line(f"v{g}", 5)]
+        docs += [(base + 3, long), (base + 4, "\n".join([beside[0], long, beside[1], line(f"h{g}", 40)])),
+                 (base + 5, "\n".join([line(f"i{g}", 40), beside[0], long, beside[1]]))]
+    rnd = random.Random(4)
+    pool = [line(f"p{k}_", rnd.choice([3, 8, 12, 30, 60])) for k in range(25)]
+    docs += [(200 + i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))) for i in range(80)]
+    rows = line_dedup.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string")).join(
+        spark.createDataFrame(docs, "id long, text string").select("id", line_dedup._key("id", "text").alias("doc")), "doc")
+    got = {r.id: {k for a, b in r.runs for k in range(a, b)} for r in rows.collect()}
+    want, short = later_copies(docs, 50), later_copies(docs, 25)
+    assert want[2] == {1, 2, 3} and want[5] == {1, 2, 3}
+    for i, _ in docs:
+        assert want[i] <= got.get(i, set()) <= short[i]
+
+
 def test_line_dedup_edges(spark, edge, nothing):
     long = "w " * 60
     more = spark.createDataFrame([(20, long + "\n" + long), (21, long), (None, long + "\nz")], "doc_id long, text string")

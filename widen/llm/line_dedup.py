@@ -1,13 +1,19 @@
 """Repeated passages of lines, found by winnowing and deleted but for the first.
 
 A gram is the shortest run of lines from a line on that has ``gram_words`` words;
-a window is the shortest one that has ``window_words``. Of each window the gram
-with the least hash is a fingerprint (the last of equals). A passage of
-``window_words`` words or more holds the whole window of its first line, so
-every copy of it has the same fingerprint: none is missed. Each fingerprint is
-joined to its first place, the match is extended line by line both ways, and the
-lines of the later run are deleted. A deleted line always equals an earlier one,
-so the first copy of everything stays.
+a window is the shortest run from a line on, or up to a line, that has
+``window_words``. Marks are all windows, and of each window from a line on the
+gram with the least hash (the last of equals). Each mark is joined to its first
+place, the match is extended line by line both ways, and the lines of the later
+run are deleted. A deleted line always equals an earlier one, so the first copy
+of everything stays.
+
+Every line of a passage of ``window_words`` words or more is in a window that the
+passage holds whole: in that from its first line on or, behind it, in the one up
+to the line itself. What a window is depends on its lines alone, so each copy of
+the passage has the same ones, and each meets an equal earlier one whichever
+document that is: no line of a later copy is missed. Of shorter passages those
+with a chosen gram on both sides are found too.
 
 Documents are ordered by id, lines by place. Lines are compared without white
 space around them; blank lines are no lines and stay where they are.
@@ -47,11 +53,15 @@ def _stretches(words: list[int], least: int) -> list[int]:
 
 
 def fingerprints(hashes: list[int], words: list[int], gram_words: int, window_words: int) -> list[tuple[int, int]]:
-    """(hash, first line) of the selected grams."""
+    """(hash, first line) of the windows and the selected grams."""
     if not hashes:
         return []
     gram_end, window_end = _stretches(words, gram_words), _stretches(words, window_words)
     raw = np.array(hashes, np.int64).tobytes()
+    total = np.r_[0, np.cumsum(words)]
+    start = np.searchsorted(total, total[1:] - window_words, side="right") - 1  # of the window up to a line
+    windows = {(s, e) for s, e in enumerate(window_end) if e} | {
+        (s, e) for e, s in enumerate(start.tolist(), 1) if s >= 0}
     grams = [xxhash.xxh3_64_intdigest(raw[8 * s:8 * e]) - (1 << 63) if e else None for s, e in enumerate(gram_end)]
     chosen = set()
     best: list[int] = []  # starts of grams that may still be least, hashes rising
@@ -68,7 +78,9 @@ def fingerprints(hashes: list[int], words: list[int], gram_words: int, window_wo
             best.pop(0)
         if best:
             chosen.add(best[0])
-    return [(grams[s], s) for s in sorted(chosen)]
+    marks = {(s, grams[s]) for s in chosen} | {
+        (s, xxhash.xxh3_64_intdigest(raw[8 * s:8 * e]) - (1 << 63)) for s, e in windows}
+    return [(h, s) for s, h in sorted(marks)]
 
 
 def extend(own: list[int], other: list[int], shift: int, starts: list[int]) -> list[tuple[int, int]]:
@@ -88,20 +100,33 @@ def extend(own: list[int], other: list[int], shift: int, starts: list[int]) -> l
     return out
 
 
-def _described(docs: DataFrame, id_col: str, text: str, gram_words: int, window_words: int) -> DataFrame:
+def _described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = [line_table(t) for t in b.column(2).to_pylist()]
-            found = [fingerprints(h, w, gram_words, window_words) for h, w in rows]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([h for h, _ in rows], pa.list_(pa.int64())),
-                 pa.array([[x for x, _ in f] for f in found], pa.list_(pa.int64())),
-                 pa.array([[s for _, s in f] for f in found], pa.list_(pa.int32()))],
-                ["doc", "id", "lines", "marks", "starts"])
+                 pa.array([w for _, w in rows], pa.list_(pa.int32()))], ["doc", "id", "lines", "words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(_key(id_col, text).alias("doc"), F.col(id_col).alias("id"), F.col(text)).mapInArrow(
-        run, f"doc long, id {kind}, lines array<long>, marks array<long>, starts array<int>")
+        run, f"doc long, id {kind}, lines array<long>, words array<int>")
+
+
+def _marks(described: DataFrame, gram_words: int, window_words: int) -> DataFrame:
+    """(doc, id, mark, at) of all documents. Made anew for each use: the marks
+    are more bytes than the lines that they come from."""
+    def run(batches):
+        for b in batches:
+            found = [fingerprints(h, w, gram_words, window_words)
+                     for h, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            row = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(row), b.column(1).take(row), pa.array([h for f in found for h, _ in f], pa.int64()),
+                 pa.array([s for f in found for _, s in f], pa.int32())], ["doc", "id", "mark", "at"])
+
+    kind = described.schema["id"].dataType.simpleString()
+    return described.select("doc", "id", "lines", "words").mapInArrow(run, f"doc long, id {kind}, mark long, at int")
 
 
 def _key(id_col: str, text: str):
@@ -116,16 +141,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", g
     from widen.session import checkpoint_dir
 
     checkpoint_dir(docs.sparkSession)
-    described = _described(docs, id_col, text, gram_words, window_words).where(F.size("lines") > 0).checkpoint()
-    marks = (described.select("doc", "id", F.explode(F.arrays_zip("marks", "starts")).alias("m"))
-             .select("doc", "id", F.col("m.marks").alias("mark"), F.col("m.starts").alias("at")).distinct())
+    # rows of equal id and text are one document
+    described = (_described(docs, id_col, text).where(F.size("lines") > 0).groupBy("doc")
+                 .agg(*[F.first(c).alias(c) for c in ("id", "lines", "words")]).checkpoint())
+    marks = _marks(described, gram_words, window_words)
     # a mark that many documents have is one row a task before the shuffle
     first = (marks.groupBy("mark").agg(F.min(F.struct("id", "doc", "at")).alias("f"), F.count("*").alias("n"))
              .where("n > 1").select("mark", F.col("f.doc").alias("other"), F.col("f.at").alias("other_at")))
     hits = (marks.join(first, "mark").where("doc <> other OR at <> other_at")
             .select("doc", "other", F.col("at"), (F.col("at") - F.col("other_at")).alias("shift")))
     runs = hits.groupBy("doc", "other", "shift").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    lines = described.groupBy("doc").agg(F.first("lines").alias("lines")).checkpoint()
+    lines = described.select("doc", "lines")
     ends = lines.select(F.col("doc").alias("other"), F.col("lines").alias("other_lines"))
     # of the other document only the lines beside this one's are kept
     low = F.greatest(F.lit(0), -F.col("shift"))
