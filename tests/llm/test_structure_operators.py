@@ -85,6 +85,32 @@ def test_extraction_of_pages_and_other_layouts(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
+def test_extraction_past_elements_without_end(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    body, main = PAGE[6:], '<div id="main">'
+    variants = [
+        PAGE.replace("Home</a>", '<svg class="icon"/><math/>Home</a>'),
+        "<html><head><title>Site</title><meta charset=utf-8><script src=a.js></script><link href=b>" + body,
+        "<html><head><title>Site</title><style>p {}</style>" + body.replace("<body>", ""),
+        PAGE.replace(main, '<iframe src="x"/><script src="y"/>' + main),
+        PAGE.replace(main, '<video src="x"><svg><path d="M0">' + main),
+        PAGE.replace(main, '<select><option>One<option>Two</select><svg><svg/><text>no</text></svg>' + main),
+    ]
+    rows = [(-k, "u", h) for k, h in enumerate([PAGE, *variants], 1)]
+    more = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages.union(more)).where("page_id < 0").collect()}
+    assert "The first paragraph" in got[-1] and set(got.values()) == {got[-1]}
+    # a text in the body ends a head too; an open script has no tags
+    assert text_of("<head><title>t</title>one<p>two") == "one\n\ntwo"
+    assert text_of("<p>one</p><script>a <p>two</p>") == "one"
+    assert text_of("<button>" * 2000 + "<p>one") == "one"
+
+
+def text_of(html):
+    nodes = html_extract.parse(html)
+    return html_extract.kept_text(nodes, [True] * len(nodes))
+
+
 def test_decoding_never_contradicts():
     rnd = random.Random(5)
     nodes = html_extract.parse(html_extract.build_layout(["one two", "three four"], ["five six", "seven"], rnd))
