@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from widen.llm.classifier import accept_quality, held_out
 from widen.llm.jaccard import jaccard_components
+from widen.llm.line_dedup import _key as row_key
 from widen.llm.line_dedup import line_dedup
 from widen.llm.packing import pack_documents, vocabulary_path
 from widen.llm.quality_rules import quality_rules
@@ -42,10 +43,18 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.8 or more on
-    five-word shingles join: the one with the least id."""
-    groups = jaccard_components(docs, n=5, num=80, den=100).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group that links of similarity 0.8 or more on five-word
+    shingles join: the one with the least id, of several with that id the one
+    with the least key of id and text; null ids come first. Rows are linked, not
+    ids: rows that share only the id are documents of their own, and of rows that
+    share id and text one stays. Texts without a word are in no group and stay."""
+    docs = docs.withColumn("__row", F.struct("doc_id", row_key("doc_id", "text").alias("key")))
+    rows = jaccard_components(docs, n=5, num=80, den=100, id_col="__row").where("n_shingles > 0")
+    marks = (rows.groupBy("__row").agg(F.count("*").alias("__n"), F.max(F.expr("component_id <> __row")).alias("__later"))
+             .where("__n > 1 OR __later").checkpoint())
+    marked = docs.join(marks, "__row", "left").where("NOT coalesce(__later, false)")
+    out = marked.where("__n IS NULL").unionByName(marked.where("__n > 1").dropDuplicates(["__row"]))
+    return out.drop("__row", "__n", "__later")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

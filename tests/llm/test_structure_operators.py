@@ -247,3 +247,21 @@ def test_pipeline_stages(spark, tmp_path):
         else:
             assert out.where("piece = 0").count() == last
         docs = out
+
+
+def test_near_duplicates_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a, "x"), (2, b, "x"), (2, b, "y"),  # id and text twice
+            (3, a + " more", "x"), (3, c, "x"),  # one id, two texts: only one is a near copy
+            (None, d, "x"), (None, d + " more", "x"), (7, d, "x"), (None, None, "x"), (8, "", "x"), (8, "", "x"), (9, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    null = [x for x in got if x[0] is None and x[1]]
+    assert len(null) == 1 and null[0][1] in (d, d + " more")  # null ids come first, the least key stays
+    assert sorted((x for x in got if x not in null), key=str) == sorted(
+        [(1, a), (2, b), (3, c), (None, None), (8, ""), (8, ""), (9, " ")], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.where("false"), SF).count() == 0
