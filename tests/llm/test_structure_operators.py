@@ -224,6 +224,48 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, n, num, block)
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root(r.doc_id))
 
 
+def test_block_of_many_small_sets_in_strips(monkeypatch):
+    import tracemalloc
+
+    # 12 words that differ in the first: 9 of 11 grams shared, no link; some of these texts have near copies
+    n = 6000
+    texts = [f"x{k} " + " ".join(f"t{j}" for j in range(11)) for k in range(n)]
+    chain = [" ".join(f"c{j}" for j in range(k, k + 60)) for k in range(0, 40)]  # each links with the next ones only
+    gram, size = jaccard.shingle_sets(texts + chain, 3)
+    sets = np.split(gram, np.cumsum(size)[:-1])
+    bound = jaccard.Bound(90, 100)
+    tracemalloc.start()
+    found = jaccard._block_links(list(range(len(sets))), size.tolist(), [2] * len(sets), sets, bound)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * n  # one array of all pairs is more than that
+    up = list(range(len(sets)))
+    for a, b in found:
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        assert a != b  # a forest
+        up[max(a, b)] = min(a, b)
+    assert len(found) == len(chain) - 1 and all(a >= n and b >= n for a, b in found)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)  # strips of one row
+    rnd = random.Random(1)
+    small = [np.unique(np.array([rnd.randrange(12) for _ in range(10)], np.uint64)) for _ in range(70)]
+    links = {(i, j) for i, j in itertools.combinations(range(70), 2)
+             if bound.linked(len(np.intersect1d(small[i], small[j])), len(small[i]), len(small[j]))}
+    keys = list(range(70))
+    forest = jaccard._block_links(keys, [len(x) for x in small], [2] * 70, small, bound)
+    assert {tuple(sorted(e)) for e in forest} <= links and groups(70, forest) == groups(70, links)
+
+
+def groups(n, edges):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
 def test_jaccard_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(df).count() == 0

@@ -15,9 +15,10 @@ follow from the set sizes keep the blocks small, and none drops a link:
   cluster is cut into bands of sizes and bands into blocks of bounded weight, and
   only blocks of equal or neighbouring bands are multiplied.
 
-A task multiplies one pair of blocks, adds up overlaps over runs of columns and
-returns a forest of the links it finds, never all pairs. Equal sets are one row
-of the matrix.
+A task multiplies one pair of blocks in strips of rows of a bounded number of
+pairs, however many small sets the blocks hold, adds up overlaps over runs of
+columns and returns a forest of the links it finds, never all pairs. Equal sets
+are one row of the matrix.
 
 Defined results: a null or empty text and one without words has an empty set
 and is linked with nothing; rows with a null id take no part in links and keep
@@ -40,8 +41,9 @@ from pyspark.sql import functions as F
 from widen.llm.common import slices
 from widen.llm.components import components
 
-#: Bound of the word cache of a task, in entries, and of a block, in members.
-CACHE, BLOCK = 500_000, 200_000
+#: Bound of the word cache of a task, in entries, of a block, in members, and of
+#: a strip of a product, in pairs of sets: that bounds memory, not the result.
+CACHE, BLOCK, PAIRS = 500_000, 200_000, 4_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -329,6 +331,7 @@ def multiply(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048, dens
         out += np.bincount(np.repeat(ra[e], t) * nb + rb[other], minlength=na * nb)
     out = out.reshape(na, nb)
     number = np.cumsum(heavy) - 1
+    columns = max(1, min(columns, int(heavy.sum()), 4 * PAIRS // max(na, nb)))
     ia, ib = np.flatnonzero(heavy[ca]), np.flatnonzero(heavy[cb])
     xa, xb = number[ca[ia]], number[cb[ib]]
     for s in range(0, int(heavy.sum()), columns):
@@ -340,23 +343,25 @@ def multiply(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048, dens
     return out
 
 
-def _forest(n: int, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what all of them join."""
-    up = list(range(n))
+class _Forest:
+    """Edges that join what all edges seen join."""
 
-    def root(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
 
-    out = []
-    for i, j in zip(rows.tolist(), cols.tolist()):
-        p, q = root(i), root(j)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((i, j))
-    return out
+    def add(self, rows: np.ndarray, cols: np.ndarray) -> None:
+        while len(rows):
+            # of the edges between two trees one is enough, and one a tree is taken at a time
+            p, q = self.up[rows], self.up[cols]
+            apart = p != q
+            rows, cols = rows[apart], cols[apart]
+            high, low = np.maximum(p, q)[apart], np.minimum(p, q)[apart]
+            tree, first = np.unique(high, return_index=True)
+            self.edges += zip(rows[first].tolist(), cols[first].tolist())
+            self.up[tree] = low[first]
+            while not np.array_equal(roots := self.up[self.up], self.up):
+                self.up = roots
 
 
 def _block_links(keys: list[int], sizes: list[int], sides: list[int], sets: list[np.ndarray], bound: Bound):
@@ -364,12 +369,17 @@ def _block_links(keys: list[int], sizes: list[int], sides: list[int], sets: list
     left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
     if not len(left) or not len(right):
         return []
-    over = multiply([sets[i] for i in left], [sets[j] for j in right]).astype(np.int64)
-    hit = bound.linked(over, sizes[left][:, None], sizes[right][None, :])
-    r, c = np.nonzero(hit)
-    r, c = left[r], right[c]
-    r, c = r[keys[r] != keys[c]], c[keys[r] != keys[c]]
-    return [(keys[i], keys[j]) for i, j in _forest(len(keys), r, c)]
+    forest = _Forest(len(keys))
+    beside = [sets[j] for j in right]
+    step = max(1, PAIRS // len(right))
+    for s in range(0, len(left), step):
+        strip = left[s:s + step]
+        over = multiply([sets[i] for i in strip], beside).astype(np.int64)
+        r, c = np.nonzero(bound.linked(over, sizes[strip][:, None], sizes[right][None, :]))
+        r, c = strip[r], right[c]
+        other = keys[r] != keys[c]
+        forest.add(r[other], c[other])
+    return [(keys[i], keys[j]) for i, j in forest.edges]
 
 
 def links(sets: DataFrame, bound: Bound) -> DataFrame:
