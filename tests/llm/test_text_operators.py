@@ -132,6 +132,18 @@ def test_language_held_out_and_edges(spark, edge, nothing):
     assert {r.lang_pred for r in language_crf.identify(edge, blank).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_by_texts(spark, monkeypatch):
+    rows = [(7, f"word{k} here", "en") for k in range(200)] + [(7, "ein wort", "de")] + [
+        (i, f"text {i}", "en") for i in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {}
+    monkeypatch.setattr(language_crf, "train", lambda texts, langs: got.update(texts=texts, langs=langs))
+    for sample in (1, 5, 50):  # a repeated id takes one place, with one text
+        language_crf.fit(docs, F.lit(True), sample=sample)
+        assert got["langs"].count("en") == min(sample, 11) and got["langs"].count("de") == 1
+        assert sum(t.startswith("word") for t in got["texts"]) <= 1
+
+
 # -- sentencepiece ----------------------------------------------------------
 
 def test_sentencepiece_equals_the_library():

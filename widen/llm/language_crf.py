@@ -280,13 +280,18 @@ def scorer(model: Field) -> Scorer:
 def fit(docs: DataFrame, learn: Column, sample: int = 250, id_col: str = "doc_id", text: str = "text",
         lang: str = "lang") -> Field:
     """Fit on at most ``sample`` texts of each language, those with the least
-    hashes of their ids, among the rows where ``learn`` holds."""
+    hashes of their ids, among the rows where ``learn`` holds. An id counts once
+    for each of its languages, with the text of the least hash, so that no more
+    than that is read however often ids repeat."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(id_col).isNotNull())
     order = W.partitionBy(lang).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
-    chosen = (rows.select(id_col, lang).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample)
-              .select(F.col(id_col).alias("__id"), F.col(lang).alias("__lang")).distinct().collect())
-    ids = [r["__id"] for r in chosen]
-    found = (rows.where(F.col(id_col).isin(ids)).select(id_col, text, lang).collect() if ids else [])
+    chosen = (rows.select(id_col, lang).distinct().withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample)
+              .select(F.col(id_col).alias("__id"), F.col(lang).alias("__lang")).collect())
+    wanted = {(r["__id"], r["__lang"]) for r in chosen}
+    one = F.min_by(text, F.xxhash64(text)).alias(text)
+    found = (rows.where(F.col(id_col).isin([i for i, _ in wanted])).groupBy(id_col, lang).agg(one).collect()
+             if wanted else [])
+    found = [r for r in found if (r[id_col], r[lang]) in wanted]
     found.sort(key=lambda r: (str(r[id_col]), str(r[text])))
     return train([r[text] for r in found], [r[lang] for r in found])
 
