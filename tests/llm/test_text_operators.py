@@ -132,6 +132,38 @@ def test_language_held_out_and_edges(spark, edge, nothing):
     assert {r.lang_pred for r in language_crf.identify(edge, blank).collect()} == {"und"}
 
 
+def test_language_runs_of_spliced_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL")
+    model = language_crf.fit(docs, ~language_crf.held_out(), sample=60)
+    pure = language_crf.identify(docs, model).join(docs.select("doc_id", "lang", "text"), "doc_id").where(
+        language_crf.held_out()).where("lang = lang_pred AND size(runs) = 1").orderBy("doc_id").collect()
+    by = defaultdict(list)
+    for r in pure:
+        if len(language_crf.words_of(r.text)) >= 40:
+            by[r.lang].append(" ".join(r.text.split()[:60]))
+    langs = sorted(k for k, v in by.items() if len(v) > 2)
+    spliced, truth = [], {}
+    for k, (a, b) in enumerate((a, b) for a in langs for b in langs if a != b):
+        parts = [(by[a][0], a), (by[b][1], b), (by[a][2], a)]
+        text = " ".join(t for t, _ in parts)
+        spliced.append((k, "\u0130 " * (k % 2) + text))  # a capital of two characters in lower case
+        truth[k] = [g for t, g in parts for _ in language_crf.words_of(t)]
+    assert len(spliced) > 2
+    right = total = 0
+    for r in language_crf.identify(spark.createDataFrame(spliced, "doc_id long, text string"), model).collect():
+        text = spliced[r.doc_id][1]
+        assert all(x.end <= y.start and x.lang != y.lang for x, y in zip(r.runs, r.runs[1:]))
+        got = [x.lang for x in r.runs for _ in language_crf.words_of(text[x.start:x.end])]
+        assert len(got) == len(language_crf.words_of(text)) and text[r.runs[-1].end - 1:r.runs[-1].end].isalpha()
+        got = got[len(got) - len(truth[r.doc_id]):]
+        right += sum(x == y for x, y in zip(got, truth[r.doc_id]))
+        total += len(got)
+    assert right > 0.95 * total
+    assert language_crf.places_of("\u0130a b") == [(0, 1), (1, 2), (3, 4)]
+    rows = language_crf.identify(spark.createDataFrame([(1, None), (2, ""), (3, "1 2")], "doc_id long, text string"), model)
+    assert [r.runs for r in rows.collect()] == [[], [], []]
+
+
 def test_language_sample_is_bounded_by_texts(spark, monkeypatch):
     rows = [(7, f"word{k} here", "en") for k in range(200)] + [(7, "ein wort", "de")] + [
         (i, f"text {i}", "en") for i in range(100, 110)]
