@@ -195,6 +195,17 @@ def head_sample(spark, sf_dir):
     return sample_rows(table(spark, sf_dir, "nation"), "n_nationkey", 3)
 
 
+@query("head_sample_orders", """
+SELECT row_number() OVER (ORDER BY o_orderkey) AS rank,
+       to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus,
+                'o_totalprice': o_totalprice, 'o_orderpriority': o_orderpriority})::VARCHAR AS row_json
+FROM orders ORDER BY o_orderkey LIMIT 3
+""")
+def head_sample_orders(spark, sf_dir):
+    # the same sample of a table that grows
+    return sample_rows(table(spark, sf_dir, "orders").drop("o_orderdate"), "o_orderkey", 3)
+
+
 @query("drop_null_target", """
 SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 WHERE l.quality IS NOT NULL

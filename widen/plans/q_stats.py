@@ -254,6 +254,28 @@ def table_overview(spark, sf_dir):
                     F.array_join("sample_rows", "\n").alias("sample_rows"))
 
 
+@query("table_overview_orders", f"""
+SELECT (SELECT count(*) FROM information_schema.columns WHERE table_name = 'orders'
+          AND column_name <> 'o_orderdate') AS n_columns,
+       (SELECT string_agg(column_name, ',' ORDER BY ordinal_position) FROM information_schema.columns
+         WHERE table_name = 'orders' AND column_name <> 'o_orderdate') AS columns,
+       (SELECT string_agg({SPARK_TYPE_SQL.format(e='data_type')}, ',' ORDER BY ordinal_position)
+          FROM information_schema.columns WHERE table_name = 'orders' AND column_name <> 'o_orderdate') AS dtypes,
+       (SELECT count(*) FROM orders) AS n_rows,
+       (SELECT string_agg(j, chr(10) ORDER BY k) FROM (
+          SELECT o_orderkey AS k,
+                 to_json({{'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus,
+                          'o_totalprice': o_totalprice, 'o_orderpriority': o_orderpriority}})::VARCHAR AS j
+          FROM orders ORDER BY o_orderkey LIMIT 3)) AS sample_rows
+""")
+def table_overview_orders(spark, sf_dir):
+    # the same overview of a table that grows
+    d = describe_table(table(spark, sf_dir, "orders").drop("o_orderdate"), "o_orderkey", 3)
+    return d.select("n_columns", F.array_join("columns", ",").alias("columns"),
+                    F.array_join("dtypes", ",").alias("dtypes"), "n_rows",
+                    F.array_join("sample_rows", "\n").alias("sample_rows"))
+
+
 # -- K4 / K5 / K6 ------------------------------------------------------------
 
 KEY_TABLES = {
