@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Cells (terms x sources) of a chunk's dense counts, which a task holds.
-CHUNK_CELLS = 2_000_000
+CHUNK_CELLS = 250_000
 #: Sources of one side of a block of pairs.
 SOURCE_BLOCK = 256
 #: Entries of a task's term counts before they are handed on.
@@ -71,15 +71,14 @@ def text_terms(raw: bytes):
 
 def _counted(batches):
     """(lang, source, term, n, docs) of the batches of a task, summed as long
-    as they fit; a null term marks that the group occurs."""
+    as they fit."""
     held: dict = {}
     size = 0
 
     def out():
-        rows = [(lang, source, None, 0, docs) for (lang, source), (docs, _, _) in held.items()]
-        rows += [(lang, source, term, n, in_docs[term]) for (lang, source), (_, counts, in_docs) in held.items()
-                 for term, n in counts.items()]
-        cols = list(zip(*rows))
+        rows = [(lang, source, term, n, in_docs[term]) for (lang, source), (counts, in_docs) in held.items()
+                for term, n in counts.items()]
+        cols = list(zip(*rows)) or [()] * 5
         kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                           ["lang", "source", "term", "n", "docs"])
@@ -89,14 +88,14 @@ def _counted(batches):
         for lang, source, text in zip(langs, sources, b.column(2)):
             group = held.get((lang, source))
             if group is None:
-                group = held[lang, source] = [0, Counter(), Counter()]
-            group[0] += 1
-            before, distinct = len(group[1]), set()
+                group = held[lang, source] = Counter(), Counter()
+            counts, in_docs = group
+            before, distinct = len(counts), set()
             for terms in text_terms(text.as_py()):
-                group[1].update(terms)
+                counts.update(terms)
                 distinct.update(terms)
-            group[2].update(distinct)
-            size += len(group[1]) - before
+            in_docs.update(distinct)
+            size += len(counts) - before
             if size > HELD_TERMS:
                 yield out()
                 held, size = {}, 0
@@ -104,14 +103,15 @@ def _counted(batches):
         yield out()
 
 
+def _filled(name: str):
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+
+
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents), partial sums of
-    the tasks; rows with a null term count the documents of a group."""
-    def col(name):
-        return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
-
-    rows = docs.select(col(lang).alias("lang"), col(source).alias("source"),
-                       col(text).cast("binary").alias("text"))
+    the tasks."""
+    rows = docs.select(_filled(lang).alias("lang"), _filled(source).alias("source"),
+                       _filled(text).cast("binary").alias("text"))
     counted = rows.mapInArrow(_counted, "lang string, source string, term binary, n long, docs long")
     return counted.withColumn("term", F.col("term").cast("string"))
 
@@ -122,7 +122,7 @@ def kept_terms(counts: DataFrame, min_docs: int = 10) -> DataFrame:
 
     One shuffle by (lang, term): both sums and the cells are made where the
     rows of a term meet. A term has one cell per source of its language."""
-    by_term = (counts.where("term IS NOT NULL").repartition("lang", "term").groupBy("lang", "term", "source")
+    by_term = (counts.repartition("lang", "term").groupBy("lang", "term", "source")
                .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     return (by_term.groupBy("lang", "term")
             .agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"),
@@ -210,12 +210,12 @@ def source_divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, lang:
     from widen.session import checkpoint_dir
 
     checkpoint_dir(docs.sparkSession)
-    counts = term_counts(docs, lang, source, text).checkpoint()
-    terms = kept_terms(counts, min_docs).checkpoint()
+    terms = kept_terms(term_counts(docs, lang, source, text), min_docs).checkpoint()
     sums = terms.select("lang", F.explode("cells").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(
         F.sum("c.n").alias("n_sum"))
     sizes = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_sum"))
-    groups = (counts.where("term IS NULL").select("lang", "source").distinct()
+    # a scan of two columns; sources without terms are groups too
+    groups = (docs.select(_filled(lang).alias("lang"), _filled(source).alias("source")).distinct()
               .join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
               .select("lang", "source", *(F.coalesce(c, F.lit(0)).cast("long").alias(c)
                                           for c in ("n_sum", "v", "lang_sum"))).checkpoint())
