@@ -64,7 +64,7 @@ def text_terms(raw: bytes):
                 cut = cut if cut < 0 else len(piece) + cut
                 piece += more
             if cut >= 0 and stop < len(raw):
-                piece, stop = piece[:cut], start + cut
+                piece, stop = piece[:cut], start + cut + 1
         yield piece.split()
         start = stop
 
