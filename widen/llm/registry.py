@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "vector_search", "classifier", "language_crf", "sentencepieces", "html_extract", "warc", "packing", "line_dedup", "jaccard", "divergence", "token_alignment"]
+MODULES = ["quality_rules", "vector_search", "classifier", "language_crf", "sentencepieces", "html_extract", "warc", "packing", "line_dedup", "jaccard", "toxicity", "divergence", "token_alignment"]
 
 
 def load():
