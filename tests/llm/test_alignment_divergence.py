@@ -5,9 +5,11 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from widen.llm import divergence, token_alignment
 
@@ -29,13 +31,14 @@ def edge(spark):
 
 def plain_alignment(texts):
     """Per text (ids A, ids B, links, groups) over the whole text, by definition."""
-    al = token_alignment.Aligner(*PATHS)
+    al, own = token_alignment.Aligner(*PATHS), Tokenizer.from_file(PATHS[0])
+    own.encode_special_tokens = True
     out = []
     for t in texts:
         if not t:
             out.append(None)
             continue
-        a = al.a.encode(" " + t, add_special_tokens=False).ids
+        a = own.encode(" " + t, add_special_tokens=False).ids
         b = al.b.encode(t)
         raw = (" " + t).encode()
         pa, pb = [al.bytes_a[i] for i in a], [al.bytes_b[i] for i in b]
@@ -135,11 +138,15 @@ def test_gallop_against_scan():
     for _ in range(300):
         n = random.randint(1, 60)
         a, b = (sorted({*random.sample(range(1, n + 1), random.randint(1, n)), n}) for _ in range(2))
-        assert token_alignment.gallop(a, b) == [next(i for i, x in enumerate(b) if x >= e) for e in a]
-        links, cuts = token_alignment.align_ends(a, b)
-        spans_a, spans_b = list(zip([0, *a], a)), list(zip([0, *b], b))
-        assert sorted(links) == [(i, j) for i, (s, e) in enumerate(spans_a) for j, (u, v) in enumerate(spans_b) if s < v and u < e]
-        assert cuts == [(a.index(e) + 1, b.index(e) + 1) for e in a if e in b]
+        # two stretches one after the other
+        aa, bb = (np.array(x + [n + e for e in x]) for x in (a, b))
+        left, right, common, rank = token_alignment.align_ends(
+            aa, np.array([0, len(a), len(aa)]), bb, np.array([0, len(b), len(bb)]))
+        assert rank.tolist() == [next(i for i, x in enumerate(bb) if x >= e) for e in aa]
+        spans_a, spans_b = (list(zip([0, *x], x)) for x in (aa.tolist(), bb.tolist()))
+        assert list(zip(left, right)) == [(i, j) for i, (s, e) in enumerate(spans_a) for j, (u, v) in enumerate(spans_b)
+                                          if s < v and u < e]
+        assert common.tolist() == [e in bb for e in aa]
 
 
 # -- divergence -------------------------------------------------------------

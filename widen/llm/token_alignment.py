@@ -7,14 +7,14 @@ tokens whose byte ranges overlap are linked. Over all documents, each pair of
 ids is counted by the documents that hold it linked.
 
 Ends are intersected by galloping: the list with fewer ends drives, and each of
-its ends is found in the longer list by steps that double from where the last
-one was found, then by halving. The rank found says where a token of the
+its ends is found in the longer list by steps that double until they pass it,
+then by halving; the ends of many stretches of text search at once. The rank found says where a token of the
 shorter list stops among those of the longer one, so differences of ranks are
 the ranges of overlapping tokens, and ranks of equal ends slice the groups.
 
 No token of either list spans a blank that starts a run of blanks and is beside
 a character that is no white space, so every such place is a common end; what
-lies between is aligned once and kept in a bounded cache.
+lies between is aligned once and, if it recurs, kept in a bounded cache.
 
 The documents are read twice: for the counts, and for the results, which need
 counts of all documents. Pair counts are bounded by the vocabularies and not by
@@ -36,7 +36,6 @@ import json
 import os
 import re
 import uuid
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -70,43 +69,49 @@ _BYTE_OF = {chr(b): b for b in _SHOWN} | {
     chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-def gallop(short: list[int], long: list[int]) -> list[int]:
-    """For each end of the shorter list the rank of the first end of the longer
-    list that is not less. Both increase and have the same last end."""
-    ranks, j, last = [], 0, len(long) - 1
-    for end in short:
-        if long[j] < end:
-            low, step = j, 1
-            while low + step < last and long[low + step] < end:
-                low += step
-                step += step
-            high = min(low + step, last)
-            while high - low > 1:
-                middle = (low + high) >> 1
-                if long[middle] < end:
-                    low = middle
-                else:
-                    high = middle
-            j = high
-        ranks.append(j)
-    return ranks
-
-
-def align_ends(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links, cuts) of two lists of ends: links are pairs of token numbers
-    that overlap, cuts the token numbers behind each common end."""
-    swap = len(a) > len(b)
-    short, long = (b, a) if swap else (a, b)
-    links, cuts, first = [], [], 0
-    for k, (end, rank) in enumerate(zip(short, gallop(short, long))):
-        links += [(k, j) for j in range(first, rank + 1)]
-        first = rank
-        if long[rank] == end:
-            first += 1
-            cuts.append((k + 1, first))
-    if swap:
-        return [(j, k) for k, j in links], [(j, k) for k, j in cuts]
-    return links, cuts
+def gallop(ends: np.ndarray, start: np.ndarray, last: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """For each of ``ends`` the place in ``long`` of the first value that is not
+    less, searched from ``start`` to ``last``, whose value never is less.
+
+    All ends search at once: steps double until they pass the end, then the
+    stretch that holds it is halved."""
+    low = start - 1  # what stands there is less
+    step = np.ones_like(low)
+    going = np.arange(len(ends))
+    while len(going):
+        probe = low[going] + step[going]
+        less = (probe < last[going]) & (long[np.minimum(probe, last[going])] < ends[going])
+        going, probe = going[less], probe[less]
+        low[going] = probe
+        step[going] *= 2
+    high = np.minimum(low + step, last)
+    going = np.flatnonzero(high - low > 1)
+    while len(going):
+        middle = (low[going] + high[going]) >> 1
+        less = long[middle] < ends[going]
+        low[going[less]] = middle[less]
+        high[going[~less]] = middle[~less]
+        going = going[high[going] - low[going] > 1]
+    return high
+
+
+def align_ends(short: np.ndarray, at_short: np.ndarray, long: np.ndarray, at_long: np.ndarray):
+    """(left, right, common) of stretches: ``short`` and ``long`` are ends that
+    increase over all stretches, ``at_short`` and ``at_long`` the places where
+    each stretch begins, and the end of the last. left and right are places in
+    both that overlap, common whether an end of ``short`` is one of ``long``,
+    with the place there."""
+    n = np.diff(at_short)
+    owner = np.repeat(np.arange(len(n)), n)
+    rank = gallop(short, at_long[:-1][owner], at_long[1:][owner] - 1, long)
+    common = long[rank] == short
+    first = np.empty_like(rank)
+    first[1:] = rank[:-1] + common[:-1]  # of a new stretch: where it begins, as stretches end together
+    first[:1] = at_long[0]
+    count = rank - first + 1  # differences of ranks are the overlapped ranges
+    left = np.repeat(np.arange(len(short)), count)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    return left, right, common, rank
 
 
 class Aligner:
@@ -114,22 +119,36 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a) as f:
-            vocabulary = json.load(f)
-        entries = dict(vocabulary["model"]["vocab"])
-        self.bytes_a = {i: byte_level_bytes(e) for e, i in entries.items() if all(c in _BYTE_OF for c in e)}
+            model = json.load(f)["model"]
+        ranks = {byte_level_bytes(e): i for e, i in model["vocab"].items() if all(c in _BYTE_OF for c in e)}
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if [model["vocab"][m] for m in merges] == list(range(len(ranks) - len(merges), len(ranks))):
+            # ids follow the order of the merges, as the faster encoder takes for granted
+            self.encode_a = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                              special_tokens={}).encode_ordinary
+        else:
+            own = Tokenizer.from_file(path_a)
+            own.encode_special_tokens = True
+            self.encode_a = lambda text: own.encode(text, add_special_tokens=False).ids
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for e, i in ranks.items():
+            self.bytes_a[i] = e
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i)
                                 else piece.replace(BLANK, " ").encode())
-        self.pair_cache = Recent(CACHE)
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in xs]) for xs in (self.bytes_a, self.bytes_b))
+        # a token as text before another of its side, before the other side, and before the next group
+        self.shown = [f"{i}{mark}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in ",|;"]
+        self.pair_cache = Kept(CACHE)
 
     @staticmethod
     def stretches(text: str) -> list[str]:
@@ -151,52 +170,124 @@ class Aligner:
                 found[k] = [self.b.piece_to_id(BLANK)]
         return found
 
-    def align(self, stretches: list[str]) -> list[tuple | None]:
-        """(ids of A, ids of B, links, cuts), or None where the bytes differ."""
-        out = []
-        encoded = self.a.encode_batch([" " + s for s in stretches], add_special_tokens=False)
-        for s, a, ids_b in zip(stretches, encoded, self.ids_b(stretches)):
-            raw, ids_a = b" " + s.encode(), a.ids
-            parts_a, parts_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-                out.append(None)
+    def align(self, stretches: list[str]):
+        """Alignment of all stretches together: (good, ids_a, at_a, ids_b, at_b,
+        links, at_links, groups), where places ``at`` begin each stretch; links
+        are packed id pairs, groups (tokens of A, tokens of B) behind each
+        common end. Stretches whose bytes a model does not keep are not good and
+        hold nothing."""
+        lists_a = [self.encode_a(" " + s) for s in stretches]
+        lists_b = self.ids_b(stretches)
+        good = np.ones(len(stretches), bool)
+        for lists, parts in ((lists_a, self.bytes_a), (lists_b, self.bytes_b)):
+            if b"".join([parts[i] for ids in lists for i in ids]) != "".join([" " + s for s in stretches]).encode():
+                for k, (s, ids) in enumerate(zip(stretches, lists)):
+                    good[k] &= b"".join([parts[i] for i in ids]) == b" " + s.encode()
+        if not good.all():
+            lists_a = [x if g else [] for x, g in zip(lists_a, good)]
+            lists_b = [x if g else [] for x, g in zip(lists_b, good)]
+        at_a, at_b = (np.cumsum([0, *map(len, x)]) for x in (lists_a, lists_b))
+        ids_a, ids_b = (np.array([i for ids in x for i in ids], np.int64) for x in (lists_a, lists_b))
+        ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+        less_a = np.diff(at_a) <= np.diff(at_b)
+        links, link_owner, group_a, group_b = [], [], [], []
+        for swap, of in ((False, good & less_a), (True, good & ~less_a)):
+            (ends_s, at_s), (ends_l, at_l) = ((ends_b, at_b), (ends_a, at_a)) if swap else ((ends_a, at_a), (ends_b, at_b))
+            own = np.flatnonzero(of)
+            if not len(own):
                 continue
-            links, cuts = align_ends(list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))))
-            out.append((ids_a, ids_b, links, cuts))
-        return out
+            place_s, place_l = _ranges(at_s[own], at_s[own + 1]), _ranges(at_l[own], at_l[own + 1])
+            left, right, common, rank = align_ends(ends_s[place_s], np.cumsum([0, *np.diff(at_s)[own]]),
+                                                   ends_l[place_l], np.cumsum([0, *np.diff(at_l)[own]]))
+            a, b = (place_l[right], place_s[left]) if swap else (place_s[left], place_l[right])
+            links.append(ids_a[a] << 32 | ids_b[b])
+            link_owner.append(np.searchsorted(at_s, place_s[left], "right") - 1)
+            ga, gb = (place_l[rank[common]], place_s[common]) if swap else (place_s[common], place_l[rank[common]])
+            group_a.append(ga)
+            group_b.append(gb)
+        empty = [np.empty(0, np.int64)]
+        links, link_owner = np.concatenate(links + empty), np.concatenate(link_owner + empty)
+        order = np.argsort(link_owner, kind="stable")
+        at_links = np.searchsorted(link_owner[order], np.arange(len(stretches) + 1))
+        groups = np.sort(np.concatenate(group_a + empty)) + 1, np.sort(np.concatenate(group_b + empty)) + 1
+        return good, ids_a, at_a, ids_b, at_b, links[order], at_links, groups
 
     def linked_pairs(self, stretches: list[str]) -> list[bytes | None]:
         """Packed id pairs of all links of each stretch."""
-        return [None if x is None else _packed(x) for x in self.align(stretches)]
+        good, *_, links, at, _ = self.align(stretches)
+        raw, cuts = links.tobytes(), (8 * at).tolist()
+        return [raw[i:j] if g else None for g, i, j in zip(good.tolist(), cuts, cuts[1:])]
 
     def described(self, stretches: list[str], scores) -> list[tuple[str, bytes, bytes] | None]:
         """(groups, packed counts, packed pairs) of each stretch. ``scores``
         gives the counts of pairs and whether they are the best of their A id."""
-        found = self.align(stretches)
-        pairs = [b"" if x is None else _packed(x) for x in found]
-        keys = np.frombuffer(b"".join(pairs), np.int64)
-        n, best = scores(keys)
-        at = np.cumsum([0, *(len(p) // 8 for p in pairs)])
+        good, ids_a, at_a, ids_b, at_b, links, at, (stop_a, stop_b) = self.align(stretches)
+        n, best = scores(links)
         count_sum, n_best = (np.concatenate([[0], np.cumsum(v, dtype=np.int64)])[at] for v in (n, best))
-        out = []
-        for k, x in enumerate(found):
-            if x is None:
-                out.append(None)
-                continue
-            a, b, links, cuts = x
-            i = j = 0
-            groups = []
-            for to_a, to_b in cuts:
-                groups.append(f"{','.join(map(str, a[i:to_a]))}|{','.join(map(str, b[j:to_b]))}")
-                i, j = to_a, to_b
-            numbers = (len(a), len(b), len(cuts), len(links), n_best[k + 1] - n_best[k], count_sum[k + 1] - count_sum[k])
-            out.append((";".join(groups), np.array(numbers, np.int64).tobytes(), pairs[k]))
-        return out
-
-
-def _packed(aligned: tuple) -> bytes:
-    a, b, links, _ = aligned
-    return np.array([a[i] << 32 | b[j] for i, j in links], np.int64).tobytes()
+        first = np.searchsorted(stop_a, at_a[:-1], "right")
+        last = np.searchsorted(stop_a, at_a[1:], "right")
+        numbers = np.stack([np.diff(at_a), np.diff(at_b), last - first, np.diff(at), np.diff(n_best), np.diff(count_sum)], 1)
+        # tokens in the order of the text of groups: A before B in each group
+        n_a, n_b = len(ids_a), len(ids_b)
+        mark_a, mark_b = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
+        mark_a[stop_a - 1], mark_b[stop_b - 1] = 1, 2
+        group_of_a = np.searchsorted(stop_a, np.arange(n_a), "right")
+        group_of_b = np.searchsorted(stop_b, np.arange(n_b), "right")
+        before = np.concatenate([[0], stop_b])  # tokens of B before each group
+        text = np.empty(n_a + n_b, np.int64)
+        text[np.arange(n_a) + before[group_of_a]] = 3 * ids_a + mark_a
+        text[np.arange(n_b) + np.append(stop_a, n_a)[group_of_b]] = 3 * ids_b + mark_b
+        shown = [self.shown[i] for i in text.tolist()]
+        raw, raw_pairs = np.ascontiguousarray(numbers, np.int64).tobytes(), links.tobytes()
+        size, cuts, pair_cuts = 8 * len(COUNTS), (at_a + at_b).tolist(), (8 * at).tolist()
+        return [("".join(shown[i:j])[:-1], raw[k * size:k * size + size], raw_pairs[pi:pj]) if g else None
+                for k, (g, i, j, pi, pj) in enumerate(zip(good.tolist(), cuts, cuts[1:], pair_cuts, pair_cuts[1:]))]
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    n = stop - start
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+
+
+class Kept:
+    """A cache of stretches that were asked for at least twice: a table of
+    hashes tells which were asked for before, so that the many that stand in one
+    place only do not crowd out the others."""
+
+    def __init__(self, bound: int, bits: int = 24):
+        self.recent, self.seen, self.mask = Recent(bound), np.zeros(1 << bits, bool), (1 << bits) - 1
+
+    def lookup(self, keys: set[str], learn):
+        """Function from key to value; ``learn`` gives values of unknown ones."""
+        known, old = self.recent.young, self.recent.old
+        if len(known) > self.recent.bound:
+            self.recent.old, self.recent.young = known, {}
+            known, old = self.recent.young, self.recent.old
+        unseen = []
+        for k in keys.difference(known):
+            v = old.get(k, known)
+            if v is known:
+                unseen.append(k)
+            else:
+                known[k] = v
+        if not unseen:
+            return known.__getitem__
+        own = dict(zip(unseen, learn(unseen)))
+        if len(unseen) == len(keys):
+            get = own.__getitem__
+        else:
+            both = known  # a key is in one of the two only
+
+            def get(k):
+                return both[k] if k in both else own[k]
+        marks = np.fromiter((hash(k) & self.mask for k in unseen), np.int64, len(unseen))
+        again = self.seen[marks]
+        self.seen[marks] = True
+        for k, a in zip(unseen, again.tolist()):
+            if a and len(k) <= CACHED_CHARS:
+                known[k] = own[k]
+        return get
 
 
 @functools.lru_cache(maxsize=1)
@@ -206,19 +297,9 @@ def shared_aligner(path_a: str, path_b: str) -> Aligner:
 
 
 @functools.lru_cache(maxsize=1)
-def _shared_cache(run: str) -> Recent:
+def _shared_cache(run: str) -> Kept:
     """One cache of described stretches for all tasks of a run in a worker."""
-    return Recent(CACHE)
-
-
-def _lookup(cache: Recent, keys: set[str], learn):
-    """Function from stretch to value; long stretches are not kept."""
-    long = [k for k in keys if len(k) > CACHED_CHARS]
-    if not long:
-        return cache.known(keys, learn).__getitem__
-    known = cache.known(keys.difference(long), learn)
-    own = dict(zip(long, learn(long)))
-    return lambda k: own[k] if k in own else known[k]
+    return Kept(CACHE)
 
 
 def _summed(parts: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +321,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text",
             texts = b.column(0).to_pylist()
             for start, stop in slices(texts, batch_chars):
                 split = [set(aligner.stretches(t)) for t in texts[start:stop] if t]
-                get = _lookup(aligner.pair_cache, set().union(*split), aligner.linked_pairs)
+                get = aligner.pair_cache.lookup(set().union(*split), aligner.linked_pairs)
                 for keys in split:
                     found = list(map(get, keys))
                     if None not in found:
@@ -306,7 +387,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text",
             texts = b.column(1).to_pylist()
             for start, stop in slices(texts, batch_chars):
                 split = [aligner.stretches(t) if t else [] for t in texts[start:stop]]
-                get = _lookup(cache, {s for own in split for s in own}, lambda keys: aligner.described(keys, scores))
+                get = cache.lookup({s for own in split for s in own}, lambda keys: aligner.described(keys, scores))
                 groups, numbers, pairs = [], [], []
                 for own in split:
                     found = list(map(get, own))
