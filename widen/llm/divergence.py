@@ -39,7 +39,7 @@ CHUNK_CELLS = 250_000
 #: Sources of one side of a block of pairs.
 SOURCE_BLOCK = 256
 #: Entries of a task's term counts before they are handed on.
-HELD_TERMS = 400_000
+HELD_TERMS = 150_000
 #: Bytes of a text that are split at a time.
 TEXT_BYTES = 4_000_000
 BILLION = 1_000_000_000
@@ -76,12 +76,13 @@ def _counted(batches):
     size = 0
 
     def out():
-        rows = [(lang, source, term, n, in_docs[term]) for (lang, source), (counts, in_docs) in held.items()
-                for term, n in counts.items()]
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                          ["lang", "source", "term", "n", "docs"])
+        for (lang, source), (counts, in_docs) in held.items():
+            n = len(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(counts, pa.binary(), size=n),
+                 pa.array(counts.values(), pa.int64(), size=n), pa.array(map(in_docs.__getitem__, counts), pa.int64(), size=n)],
+                ["lang", "source", "term", "n", "docs"])
+            counts.clear()
 
     for b in batches:
         langs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -97,10 +98,9 @@ def _counted(batches):
             in_docs.update(distinct)
             size += len(counts) - before
             if size > HELD_TERMS:
-                yield out()
+                yield from out()
                 held, size = {}, 0
-    if held:
-        yield out()
+    yield from out()
 
 
 def _filled(name: str):

@@ -42,6 +42,7 @@ import math
 import re
 import uuid
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -216,14 +217,16 @@ def _grams(word: str) -> list[str]:
     return [word[i:i + 4] for i in range(max(1, len(word) - 3))]
 
 
-def _telling(plain: list[str], texts: list[tuple[int, set[str]]]) -> np.ndarray:
+def _telling(plain: list[str], plain_of: np.ndarray, labels: np.ndarray, sentences: list[np.ndarray],
+             text_of: np.ndarray) -> np.ndarray:
     """How far a word tells of toxic texts: the largest, among its runs of four
     characters, of the log of how many times the share of toxic texts that hold
     the run is that of others, less one standard error."""
-    n, holds = [0, 0], [Counter(), Counter()]
-    for k, words in texts:
-        n[k] += 1
-        holds[k].update({g for w in words for g in _grams(w)})
+    n, holds = np.bincount(labels, minlength=2), [Counter(), Counter()]
+    starts = np.searchsorted(text_of, np.arange(len(labels) + 1))
+    for t, k in enumerate(labels.tolist()):
+        own = np.unique(np.concatenate([np.empty(0, np.int64), *(plain_of[s] for s in sentences[starts[t]:starts[t + 1]])]))
+        holds[k].update({g for i in own.tolist() if i >= 0 for g in _grams(plain[i])})
     ratio = n[0] / n[1]
     told = {g: math.log(ratio * (c + 0.5) / (holds[0][g] + 0.5)) - math.sqrt(1 / (c + 0.5) + 1 / (holds[0][g] + 0.5))
             for g, c in holds[1].items()}
@@ -250,7 +253,8 @@ def _landmarks(words: list[str], told: np.ndarray, many: int) -> list[str]:
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss by Newton steps;
-    the last column of x is 1 and its weight is hardly shrunk."""
+    the last column of x is 1 and its weight is hardly shrunk. Rows with weight
+    0 take no part."""
     ridge = np.full(x.shape[1], 1.0)
     ridge[-1] = 1e-3
     w = np.zeros(x.shape[1])
@@ -260,10 +264,13 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> t
 
     now = loss(w)
     for _ in range(30):
-        active = y * (x @ w) < 1
-        xa, wa = x[active], weight[active]
-        grad = ridge * w - 2 * cost * xa.T @ (wa * (y[active] - xa @ w))
-        step = np.linalg.solve(2 * cost * (xa.T * wa) @ xa + np.diag(ridge), grad)
+        grad, curve = ridge * w, np.diag(ridge)
+        for i in range(0, len(x), 4096):  # no copy of all active rows
+            b = x[i:i + 4096].astype(np.float64)
+            own = np.where(y[i:i + 4096] * (b @ w) < 1, weight[i:i + 4096], 0.0)
+            grad -= 2 * cost * b.T @ (own * (y[i:i + 4096] - b @ w))
+            curve += 2 * cost * (b.T * own) @ b
+        step = np.linalg.solve(curve, grad)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > now:
             size /= 2
@@ -274,53 +281,55 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> t
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[tuple[int, list[list[str]]]], landmarks: int = 256, rounds: int = 3, cost: float = 3.0) -> Model:
-    """Fit on (label, sentences of words) of the sampled texts."""
-    labels = np.array([k for k, _ in texts], np.int64)
+def fit(texts: Iterable[tuple[int, list[list[str]]]], landmarks: int = 256, rounds: int = 3, cost: float = 3.0) -> Model:
+    """Fit on (label, sentences of words) of the sampled texts, which are read
+    once and kept as numbers of words."""
+    number_of: dict[str, int] = {}
+    labels, sentences, text_of = [], [], []
+    for k, own in texts:
+        for s in own:
+            if s:
+                sentences.append(np.unique([number_of.setdefault(w, len(number_of)) for w in s]))
+                text_of.append(len(labels))
+        labels.append(k)
+    labels, text_of, words = np.array(labels, np.int64), np.array(text_of, np.int64), list(number_of)
     if len(set(labels.tolist())) < 2:
         share = 0.5 if not len(labels) else float(labels.mean())
         return Model(Landmarks([]), np.empty(0), constant=share)
-    folded = {w: _folded(w) for _, sentences in texts for s in sentences for w in s}
-    plain = sorted({f for f in folded.values() if len(f) > 2})
-    number = {f: i for i, f in enumerate(plain)}
+    folds = [_folded(w) for w in words]
+    plain = sorted({f for f in folds if len(f) > 2})
     if not plain:
         return Model(Landmarks([]), np.empty(0), constant=float(labels.mean()))
-    told = _telling(plain, [(k, {folded[w] for s in own for w in s if folded[w] in number}) for k, own in texts])
+    place = {f: i for i, f in enumerate(plain)}
+    plain_of = np.array([place.get(f, -1) for f in folds])
+    told = _telling(plain, plain_of, labels, sentences, text_of)
     marks = _landmarks(plain, told, landmarks)
     table = Landmarks(marks)
-
-    def dense(words):
-        i, j, k = table.kernels(words)
-        out = np.zeros((len(words), len(marks)))
-        out[i, j] = k
-        return out
-
-    values, vectors = np.linalg.eigh(dense(marks))
+    i, j, k = table.kernels(marks)
+    own = np.zeros((len(marks), len(marks)))
+    own[i, j] = k
+    values, vectors = np.linalg.eigh(own)
     good = values > 1e-3 * values.max()
     white = vectors[:, good] / np.sqrt(values[good])
 
-    sentences = [s for _, own in texts for s in own if s]
-    text_of = np.array([t for t, (_, own) in enumerate(texts) for s in own if s], np.int64)
-    words = sorted(folded)
-    at = {w: i for i, w in enumerate(words)}
     word, mark, k = table.kernels(words)
     first = np.searchsorted(word, np.arange(len(words) + 1))
-    x = np.zeros((len(sentences), len(marks)))
+    x = np.ones((len(sentences), white.shape[1] + 1), np.float32)
     for i, s in enumerate(sentences):
-        r = np.concatenate([np.arange(first[j], first[j + 1]) for j in map(at.__getitem__, set(s))])
-        x[i] = np.bincount(mark[r], k[r], minlength=len(marks))
-    x = np.c_[x @ white, np.ones(len(x))]
+        r = np.concatenate([np.arange(first[w], first[w + 1]) for w in s])
+        x[i, :-1] = np.bincount(mark[r], k[r], minlength=len(marks)) @ white
     toxic = labels[text_of] == 1
+    y = np.where(toxic, 1.0, -1.0)
     # a toxic text starts with the sentences whose best word tells about as much as any
-    telling = np.array([max((told[number[folded[w]]] for w in s if folded[w] in number), default=0.0) for s in sentences])
-    use = ~toxic | (telling >= 0.75 * _greatest(telling, text_of, len(texts), 0.0)[text_of])
-    for k in range(rounds):
-        y = np.where(toxic, 1.0, -1.0)[use]
+    word_told = np.where(plain_of >= 0, told[plain_of], 0.0)
+    telling = np.array([word_told[s].max() for s in sentences])
+    use = ~toxic | (telling >= 0.75 * _greatest(telling, text_of, len(labels), 0.0)[text_of])
+    for _ in range(rounds):
         # both classes weigh the same, however many sentences they have
-        weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * min(len(y), 2_000)
-        w, bias = _machine(x[use], y, weight, cost)
+        weight = use * np.where(toxic, 0.5 / max(1, (use & toxic).sum()), 0.5 / max(1, (use & ~toxic).sum()))
+        w, bias = _machine(x, y, weight * min(use.sum(), 2_000), cost)
         found = x[:, :-1] @ w + bias
-        worst = _greatest(found, text_of, len(texts), bias)
+        worst = _greatest(found, text_of, len(labels), bias)
         use = ~toxic | (found > 0) | (found >= worst[text_of])
     slope, offset = _logistic(worst, labels)
     return Model(table, white @ w, bias, slope, offset)
@@ -356,7 +365,7 @@ def _logistic(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 # ---------------------------------------------------------------------------
 
 def training_sentences(docs: DataFrame, labels: DataFrame, learn: Column, label: str, id_col: str, text: str,
-                       sample_texts: int, sample_sentences: int) -> list[tuple[int, list[list[str]]]]:
+                       sample_texts: int, sample_sentences: int) -> Iterator[tuple[int, list[list[str]]]]:
     """(label, sentences) of the sampled texts: at most ``sample_texts`` a class."""
     rows = (labels.where(learn).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("label"))
             .where("label IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.max("label").cast("int").alias("label")))
@@ -385,8 +394,8 @@ def training_sentences(docs: DataFrame, labels: DataFrame, learn: Column, label:
     schema = f"id {drawn.schema['id'].dataType.simpleString()}, label int, sentences array<string>"
     found = own.mapInArrow(cut, schema).collect()  # sample_texts x sample_sentences x SAMPLED_CHARS at most
     found.sort(key=lambda r: (r.label, repr(r.id)))
-    return [(k, [text_words(s) for s in r.sentences]) for k in (0, 1)
-            for r in [r for r in found if r.label == k][:sample_texts]]
+    return ((k, [text_words(s) for s in r.sentences]) for k in (0, 1)
+            for r in [r for r in found if r.label == k][:sample_texts])
 
 
 def text_words(sentence: str) -> list[str]:
@@ -456,7 +465,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.5, id_col: str = "doc_id",
-                      text: str = "text", label: str = "toxic", sample_texts: int = 600, sample_sentences: int = 100,
+                      text: str = "text", label: str = "toxic", sample_texts: int = 400, sample_sentences: int = 60,
                       landmarks: int = 256) -> DataFrame:
     """Score every text, learning from labels only where ``learn`` (an
     expression over the id) holds."""
