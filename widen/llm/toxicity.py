@@ -20,15 +20,15 @@ are not toxic are negative; of a toxic text, after a first round, those that
 the machine finds toxic, and at least its worst. A text is as toxic as its
 worst sentence, on a logistic scale fitted on the training texts.
 
-Fitting uses a bounded sample of labelled rows: ``sample_texts`` texts a class,
-drawn by a hash share, one row an id, and of each at most ``sample_sentences``
+Fitting uses a bounded sample of labelled rows: ``sample_texts`` toxic texts and
+three times as many others, drawn by a hash share, one row an id, and of each at most ``sample_sentences``
 sentences of at most ``SAMPLED_CHARS`` characters, drawn by hash. Scoring reads
 whole texts.
 
 Defined results: null and empty texts, and texts without words of three letters,
 get the score of a sentence without any; repeated rows get equal scores; very
 long texts are scored sentence by sentence, a sentence being cut every
-``WINDOW`` words; an empty table gives an empty result; without both classes
+``WINDOW`` words and a word every ``WORD_CHARS`` characters; an empty table gives an empty result; without both classes
 among the learned rows every score is the share of label 1 (0.5 without any).
 Rows with a label other than 0 and 1 are not learned from. Other columns are
 kept, whatever their names; one that has the name of a result column is
@@ -62,9 +62,15 @@ SPAN = 7
 WINDOW = 24
 SAMPLED_CHARS = 1_000
 #: Bound of each generation of the word cache of a worker, in words.
-CACHE = 300_000
+CACHE = 250_000
 #: Longer words are scored but not kept.
 CACHED_CHARS = 64
+#: Longer words are cut.
+WORD_CHARS = 400
+#: Characters of words whose subsequences are listed at a time.
+AT_A_TIME = 100_000
+#: Least log ratio of shares, less its errors, by which a word tells of toxic texts.
+TELLING = 1.5
 RESULT = ("score", "predicted", "worst")
 _ENDS = (".", "!", "?", "…")
 _ALONE = re.compile(r"\W*\w\W*")
@@ -117,6 +123,13 @@ class Landmarks:
 
     def kernels(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word number, landmark, kernel) where the kernel is not 0."""
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for start, stop in slices(words, AT_A_TIME):
+            owner, landmark, k = self._kernels(words[start:stop])
+            parts.append((owner + start, landmark, k))
+        return tuple(map(np.concatenate, zip(*parts)))
+
+    def _kernels(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owner, code, value = subsequences(words)
         if not len(code) or not len(self.codes):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -192,9 +205,17 @@ def lone_letters(words: list[str], flags: np.ndarray) -> list[tuple[int, str]]:
     return [(i, " ".join(words[i:j])) for i, j in zip(np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)) if j - i > 2]
 
 
+def split_words(text: str | None) -> list[str]:
+    """Words between white space, very long ones cut."""
+    words = (text or "").split()
+    if len(text or "") > WORD_CHARS and max(map(len, words), default=0) > WORD_CHARS:
+        return [w[i:i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
+    return words
+
+
 def text_sentences(text: str | None) -> list[list[str]]:
     """Sentences as lists of words, runs of lone letters added."""
-    words = (text or "").split()
+    words = split_words(text)
     if not words:
         return []
     flags = np.array([word_flags(w) for w in words], np.int64)
@@ -221,14 +242,14 @@ def _telling(plain: list[str], plain_of: np.ndarray, labels: np.ndarray, sentenc
              text_of: np.ndarray) -> np.ndarray:
     """How far a word tells of toxic texts: the largest, among its runs of four
     characters, of the log of how many times the share of toxic texts that hold
-    the run is that of others, less one standard error."""
+    the run is that of others, less two standard errors."""
     n, holds = np.bincount(labels, minlength=2), [Counter(), Counter()]
     starts = np.searchsorted(text_of, np.arange(len(labels) + 1))
     for t, k in enumerate(labels.tolist()):
         own = np.unique(np.concatenate([np.empty(0, np.int64), *(plain_of[s] for s in sentences[starts[t]:starts[t + 1]])]))
         holds[k].update({g for i in own.tolist() if i >= 0 for g in _grams(plain[i])})
     ratio = n[0] / n[1]
-    told = {g: math.log(ratio * (c + 0.5) / (holds[0][g] + 0.5)) - math.sqrt(1 / (c + 0.5) + 1 / (holds[0][g] + 0.5))
+    told = {g: math.log(ratio * (c + 0.5) / (holds[0][g] + 0.5)) - 2 * math.sqrt(1 / (c + 0.5) + 1 / (holds[0][g] + 0.5))
             for g, c in holds[1].items()}
     return np.array([max(told.get(g, 0.0) for g in _grams(w)) for w in plain])
 
@@ -320,17 +341,25 @@ def fit(texts: Iterable[tuple[int, list[list[str]]]], landmarks: int = 256, roun
         x[i, :-1] = np.bincount(mark[r], k[r], minlength=len(marks)) @ white
     toxic = labels[text_of] == 1
     y = np.where(toxic, 1.0, -1.0)
-    # a toxic text starts with the sentences whose best word tells about as much as any
+    # a toxic text starts with the sentences whose best word tells about as much as any;
+    # texts without a telling word, whose label may be wrong, wait for the first machine
     word_told = np.where(plain_of >= 0, told[plain_of], 0.0)
     telling = np.array([word_told[s].max() for s in sentences])
-    use = ~toxic | (telling >= 0.75 * _greatest(telling, text_of, len(labels), 0.0)[text_of])
+    best = _greatest(telling, text_of, len(labels), 0.0)
+    chosen = toxic & (telling >= 0.75 * best[text_of])
+    if (chosen & (telling >= TELLING)).any():
+        chosen &= telling >= TELLING
+    # of texts that are not toxic every third sentence is used, as they are more
+    use = chosen | ~toxic & (np.arange(len(toxic)) % 3 == 0)
     for _ in range(rounds):
         # both classes weigh the same, however many sentences they have
         weight = use * np.where(toxic, 0.5 / max(1, (use & toxic).sum()), 0.5 / max(1, (use & ~toxic).sum()))
         w, bias = _machine(x, y, weight * min(use.sum(), 2_000), cost)
         found = x[:, :-1] @ w + bias
         worst = _greatest(found, text_of, len(labels), bias)
-        use = ~toxic | (found > 0) | (found >= worst[text_of])
+        if not (toxic & (found > 0)).any():
+            break
+        use = ~toxic & use | toxic & (found > 0)
     slope, offset = _logistic(worst, labels)
     return Model(table, white @ w, bias, slope, offset)
 
@@ -366,16 +395,18 @@ def _logistic(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def training_sentences(docs: DataFrame, labels: DataFrame, learn: Column, label: str, id_col: str, text: str,
                        sample_texts: int, sample_sentences: int) -> Iterator[tuple[int, list[list[str]]]]:
-    """(label, sentences) of the sampled texts: at most ``sample_texts`` a class."""
+    """(label, sentences) of the sampled texts: at most ``sample_texts`` toxic
+    ones and three times as many others."""
+    most = {1: sample_texts, 0: 3 * sample_texts}
     rows = (labels.where(learn).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("label"))
             .where("label IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.max("label").cast("int").alias("label")))
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
     share = F.lit(0.0)
     for k, n in sizes.items():  # a little more than wanted is drawn, so that the share is seldom short
-        share = F.when(F.col("label") == k, min(1.0, 1.2 * sample_texts / n + 20 / n)).otherwise(share)
+        share = F.when(F.col("label") == k, min(1.0, (1.2 * most[k] + 20) / n)).otherwise(share)
     drawn = rows.where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * share))
     own = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-           .join(F.broadcast(drawn), "id")  # about 1.2 x sample_texts rows a class
+           .join(F.broadcast(drawn), "id")  # about 5 x sample_texts rows
            .groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
     def cut(batches):
@@ -392,10 +423,10 @@ def training_sentences(docs: DataFrame, labels: DataFrame, learn: Column, label:
                                               pa.array(out, pa.list_(pa.string()))], ["id", "label", "sentences"])
 
     schema = f"id {drawn.schema['id'].dataType.simpleString()}, label int, sentences array<string>"
-    found = own.mapInArrow(cut, schema).collect()  # sample_texts x sample_sentences x SAMPLED_CHARS at most
+    found = own.mapInArrow(cut, schema).collect()  # 5 x sample_texts x sample_sentences x SAMPLED_CHARS at most
     found.sort(key=lambda r: (r.label, repr(r.id)))
     return ((k, [text_words(s) for s in r.sentences]) for k in (0, 1)
-            for r in [r for r in found if r.label == k][:sample_texts])
+            for r in [r for r in found if r.label == k][:most[k]])
 
 
 def text_words(sentence: str) -> list[str]:
@@ -411,7 +442,7 @@ def _shared_cache(run: str) -> Recent:
 
 
 def score_texts(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text",
-                batch_chars: int = 2_000_000) -> DataFrame:
+                batch_chars: int = 1_000_000) -> DataFrame:
     """Input columns, score, predicted and worst: the sentence that decides."""
     low = {*RESULT}
     kept = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in low]
@@ -431,7 +462,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
         for b in batches:
             texts = b.column(1).to_pylist()
             for start, stop in slices(texts, batch_chars):
-                split = [(t or "").split() for t in texts[start:stop]]
+                split = [split_words(t) for t in texts[start:stop]]
                 asked = {w for own in split for w in own}
                 long = [w for w in asked if len(w) > CACHED_CHARS]
                 known = cache.known(asked.difference(long), learned)
@@ -465,7 +496,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.5, id_col: str = "doc_id",
-                      text: str = "text", label: str = "toxic", sample_texts: int = 400, sample_sentences: int = 60,
+                      text: str = "text", label: str = "toxic", sample_texts: int = 400, sample_sentences: int = 50,
                       landmarks: int = 256) -> DataFrame:
     """Score every text, learning from labels only where ``learn`` (an
     expression over the id) holds."""
