@@ -120,7 +120,7 @@ def test_edge_rows_names_and_empty_tables(spark):
 
 def test_sentences_are_cut_and_lone_letters_joined():
     assert sentences("One two. Three four! five") == [["One", "two."], ["Three", "four!"], ["five"]]
-    assert [len(s) for s in sentences("w " * 50)] == [24, 24, 2]
+    assert [len(s) for s in sentences("word " * 50)] == [24, 24, 2]
     assert sentences("so a b c d now") == [["so", "a", "b", "c", "d", "now", "a b c d"]]
     values, starts = np.array([1.0, 1.0, 2.0, 1.0]), np.array([0, 3])
     assert toxicity.distinct_sums(values, starts).tolist() == [3.0, 1.0]
