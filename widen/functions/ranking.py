@@ -46,36 +46,13 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
 def exact_medians(df: DataFrame, columns, partitions: int | None = None) -> DataFrame:
     """Exact interpolated median of each numeric column: ``(column, median)``.
 
-    A global ``median()`` keeps every distinct value of a column in one
-    task's buffer. Here values are first counted per ``(column, x)`` (a value
-    held by a third of the rows becomes one weighted row, map-side), the
-    distinct values are range-partitioned and checkpointed, cumulative
-    weights inside each partition are shifted by the per-column totals of
-    earlier partitions (a ``partitions x columns`` table), and only the one or
-    two values covering the middle ranks are kept and averaged. Columns with no
-    value get a null median. Runs one job at call time.
+    A global ``median()`` keeps every distinct value of a column in one task's
+    buffer; here the middle ranks are found by histograms (see
+    :mod:`widen.functions.selection`). Columns with no value get a null median.
+    Runs jobs at call time; the result has one row per column. ``partitions``
+    is kept for its callers: nothing is partitioned anew.
     """
-    columns = list(columns)
-    n_parts = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = [F.struct(F.lit(c).alias("column"), F.col("`" + c.replace("`", "``") + "`").cast("double").alias("x"))
-            for c in columns]
-    lf = df.select(F.inline(F.array(*rows))).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    vc = lf.groupBy("column", "x").agg(F.count(F.lit(1)).alias("__w"))
-    ranged = materialised(vc.repartitionByRange(n_parts, "column", "x").withColumn("__p", F.spark_partition_id()))
-    inside = Window.partitionBy("__p", "column").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("__cum", F.sum("__w").over(inside))
-    sizes = local.groupBy("__p", "column").agg(F.sum("__w").alias("__n"))
-    w = Window.partitionBy("column").orderBy("__p")
-    offsets = sizes.select("__p", "column", (F.sum("__n").over(w) - F.col("__n")).alias("__off"),
-                           F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-                           .alias("__total"))
-    ranked = (local.join(F.broadcast(offsets), ["__p", "column"])
-              .withColumn("__hi", F.col("__off") + F.col("__cum"))
-              .withColumn("__lo", F.col("__hi") - F.col("__w") + 1))
-    lo = F.floor((F.col("__total") + 1) / 2)
-    hi = F.ceil((F.col("__total") + 1) / 2)
-    covers = ((F.col("__lo") <= lo) & (lo <= F.col("__hi"))) | ((F.col("__lo") <= hi) & (hi <= F.col("__hi")))
-    got = ranked.filter(covers).groupBy("column").agg(
-        (F.min("x") + (F.max("x") - F.min("x")) * 0.5).alias("median"))
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(got, "column", "left")
+    from widen.functions.selection import medians
+
+    got = medians(df, {c: F.col("`" + c.replace("`", "``") + "`") for c in columns})
+    return df.sparkSession.createDataFrame(list(got.items()), "column string, median double")

@@ -149,8 +149,8 @@ def min_max(df: DataFrame, columns=None) -> DataFrame:
 def medians(df: DataFrame, columns=None, exact: bool = True) -> DataFrame:
     """Interpolated median per numeric column (nulls ignored): ``(column, median)``.
 
-    Exact mode ranks values across range partitions (no column is gathered
-    into one task); ``exact=False`` uses ``percentile_approx`` in one pass
+    Exact mode closes in on the middle ranks by histograms (no column is sorted
+    or gathered into one task); ``exact=False`` uses ``percentile_approx`` in one pass
     (not interpolated, bounded memory).
     """
     types = field_types(df)

@@ -17,7 +17,8 @@ from widen.functions.columns import (
     hash_bucket,
     hash_order,
 )
-from widen.functions.ranking import exact_medians, global_rank, materialised
+from widen.functions.ranking import global_rank, materialised
+from widen.functions.selection import medians, smallest_by_hash
 
 # Fixed values that must equal the reference's.
 MISSING_TOKEN = "MISSING"
@@ -25,17 +26,17 @@ LOW_VARIANCE = 0.1
 
 
 def column_medians(df: DataFrame, columns) -> dict[str, float | None]:
-    """Exact interpolated medians of numeric columns (distributed ranking);
-    one row per column comes back to the driver."""
+    """Exact interpolated medians of numeric columns, by histograms that close
+    in on the middle ranks; the cells of a pass come back to the driver."""
     columns = as_list(columns)
     if not columns:
         return {}
     types = field_types(df)
-    # the ranking scans its input several times (range bounds, ranks, sizes);
-    # keep the projected columns for the length of this one eager call
+    # every pass scans its input; keep the projected columns for the length of
+    # this one eager call
     src = df.select(*[as_double(c, types[c]).alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return {r["column"]: r["median"] for r in exact_medians(src, columns).collect()}
+        return medians(src, {c: col(c) for c in columns})
     finally:
         src.unpersist()
 
@@ -187,8 +188,9 @@ def balance(df: DataFrame, target: str, key, major=0, n: int | None = None, seed
     smallest other class), chosen by md5(seed:key); every other class is kept
     whole.
 
-    The ranking of the major class is a distributed global rank, so the class
-    is never gathered into one task.
+    The cut-off is the n-th smallest hash, found by histograms: the class is
+    neither sorted nor shuffled. Rows that share a key share its hash; of those
+    at the cut-off as many stay as are wanted.
     """
     keys = as_list(key)
     k = col(keys[0]).cast("string") if len(keys) == 1 else F.concat_ws("|", *[col(x).cast("string") for x in keys])
@@ -198,8 +200,7 @@ def balance(df: DataFrame, target: str, key, major=0, n: int | None = None, seed
         n = int(row["m"] or 0)
     maj = df.filter(col(target) == F.lit(major))
     rest = df.filter(~(col(target) == F.lit(major)) | col(target).isNull())
-    picked = global_rank(maj, [hash_order(seed, k), *[col(x) for x in keys]], "__r")
-    return picked.filter(F.col("__r") <= n).drop("__r").unionByName(rest)
+    return smallest_by_hash(maj, hash_order(seed, k), n).unionByName(rest)
 
 
 def assemble(df: DataFrame, features, output: str = "features") -> DataFrame:

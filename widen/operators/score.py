@@ -73,9 +73,10 @@ def _finite(x: Column) -> Column:
 def numeric_bins(df: DataFrame, features, bins: int = 16, fill_median: bool = True) -> dict[str, Column]:
     """Equal-width bin expressions ``least(floor((x-min)/(max-min)*B), B-1)``.
 
-    Min, max and median come from one aggregation (one row to the driver);
-    infinities count as 0 and NaN as null; nulls are filled with the median
-    first (or stay null), constant columns fall in bin 0.
+    Min, max and the number of nulls come from one aggregation (one row to the
+    driver); infinities count as 0 and NaN as null; nulls are filled with the
+    median first (or stay null), so only columns that have nulls are searched
+    for their median; constant columns fall in bin 0.
     """
     types = field_types(df)
     features = as_list(features)
@@ -84,14 +85,16 @@ def numeric_bins(df: DataFrame, features, bins: int = 16, fill_median: bool = Tr
     aggs = []
     finite = {c: _finite(as_double(c, types[c])) for c in features}
     for i, c in enumerate(features):
-        aggs += [F.min(finite[c]).alias(f"__lo{i}"), F.max(finite[c]).alias(f"__hi{i}")]
+        aggs += [F.min(finite[c]).alias(f"__lo{i}"), F.max(finite[c]).alias(f"__hi{i}"),
+                 F.count_if(finite[c].isNull()).alias(f"__na{i}")]
     r = df.agg(*aggs).first()
-    med = column_medians(df.select(*[finite[c].alias(c) for c in features]), features) if fill_median else {}
+    holes = [c for i, c in enumerate(features) if r[f"__na{i}"]] if fill_median else []
+    med = column_medians(df.select(*[finite[c].alias(c) for c in holes]), holes)
     out = {}
     for i, c in enumerate(features):
         lo, hi, md = r[f"__lo{i}"], r[f"__hi{i}"], med.get(c)
         x = finite[c]
-        if fill_median:
+        if c in holes:
             x = F.coalesce(x, F.lit(0.0 if md is None else float(md)))
         if lo is None or hi is None or hi == lo:
             b = F.when(x.isNotNull(), F.lit(0))
