@@ -55,7 +55,9 @@ BROADCAST_PAIRS = 4_000_000
 #: Pairs that a task sums before it hands them on.
 HELD_PAIRS = 2_000_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-_ODD_BLANKS = re.compile(r"  |\s \s|\s $|^ ")
+#: Characters of stretches that are encoded by one call.
+BLOCK_CHARS = 20_000
+_ODD_BLANK = re.compile(r" \s")
 # Bytes that byte-level vocabularies show as themselves; the others follow from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -153,7 +155,7 @@ class Aligner:
     @staticmethod
     def stretches(text: str) -> list[str]:
         """Stretches of a blank and the text, each without its first blank."""
-        if not _ODD_BLANKS.search(text):
+        if text[0] != " " and text[-1] != " " and not _ODD_BLANK.search(text):
             return text.split(" ")
         whole, cuts = " " + text, [0]
         for m in re.finditer(r"(?<! ) ", whole):
@@ -170,24 +172,57 @@ class Aligner:
                 found[k] = [self.b.piece_to_id(BLANK)]
         return found
 
+    def _plain(self, s: str) -> bool:
+        """Whether no token goes beyond the stretch in a row of such stretches."""
+        return bool(s) and not s[0].isspace() and not s[-1].isspace() and BLANK not in s
+
+    def _encoded(self, stretches: list[str]):
+        """(good, ids_a, at_a, ids_b, at_b) of stretches one by one."""
+        lists_a = [self.encode_a(" " + s) for s in stretches]
+        lists_b = self.ids_b(stretches)
+        good = [all(b"".join([parts[i] for i in ids]) == b" " + s.encode()
+                    for ids, parts in ((a, self.bytes_a), (b, self.bytes_b)))
+                for s, a, b in zip(stretches, lists_a, lists_b)]
+        flat, at = [], []
+        for lists in (lists_a, lists_b):
+            own = [x if g else [] for x, g in zip(lists, good)]
+            flat.append(np.array([i for x in own for i in x], np.int64))
+            at.append(np.array([len(x) for x in own], np.int64))
+        return np.array(good, bool), flat[0], at[0], flat[1], at[1]
+
+    def _encoded_row(self, stretches: list[str]):
+        """The same for plain stretches, by one call for all of them."""
+        row = " ".join(stretches)
+        raw = (" " + row).encode()
+        ids_a, ids_b = self.encode_a(" " + row), self.b.encode(row)
+        if any(b"".join([parts[i] for i in ids]) != raw for ids, parts in ((ids_a, self.bytes_a), (ids_b, self.bytes_b))):
+            return self._encoded(stretches)
+        stops = np.cumsum(np.array([len(s.encode()) + 1 for s in stretches]))
+        out = []
+        for ids, sizes in ((np.array(ids_a, np.int64), self.sizes_a), (np.array(ids_b, np.int64), self.sizes_b)):
+            at = np.searchsorted(np.cumsum(sizes[ids]), stops) + 1
+            out += [ids, np.diff(np.append(0, at))]
+        return np.ones(len(stretches), bool), *out
+
     def align(self, stretches: list[str]):
         """Alignment of all stretches together: (good, ids_a, at_a, ids_b, at_b,
         links, at_links, groups), where places ``at`` begin each stretch; links
         are packed id pairs, groups (tokens of A, tokens of B) behind each
         common end. Stretches whose bytes a model does not keep are not good and
         hold nothing."""
-        lists_a = [self.encode_a(" " + s) for s in stretches]
-        lists_b = self.ids_b(stretches)
-        good = np.ones(len(stretches), bool)
-        for lists, parts in ((lists_a, self.bytes_a), (lists_b, self.bytes_b)):
-            if b"".join([parts[i] for ids in lists for i in ids]) != "".join([" " + s for s in stretches]).encode():
-                for k, (s, ids) in enumerate(zip(stretches, lists)):
-                    good[k] &= b"".join([parts[i] for i in ids]) == b" " + s.encode()
-        if not good.all():
-            lists_a = [x if g else [] for x, g in zip(lists_a, good)]
-            lists_b = [x if g else [] for x, g in zip(lists_b, good)]
-        at_a, at_b = (np.cumsum([0, *map(len, x)]) for x in (lists_a, lists_b))
-        ids_a, ids_b = (np.array([i for ids in x for i in ids], np.int64) for x in (lists_a, lists_b))
+        parts, start = [], 0
+        while start < len(stretches):
+            stop, chars = start, 0
+            plain = self._plain(stretches[start])
+            while stop < len(stretches) and (stop == start or chars < BLOCK_CHARS and self._plain(stretches[stop]) == plain):
+                chars += len(stretches[stop])
+                stop += 1
+            parts.append((self._encoded_row if plain else self._encoded)(stretches[start:stop]))
+            start = stop
+        if not parts:
+            parts = [self._encoded([])]
+        good, ids_a, n_a, ids_b, n_b = map(np.concatenate, zip(*parts))
+        at_a, at_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
         ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
         less_a = np.diff(at_a) <= np.diff(at_b)
         links, link_owner, group_a, group_b = [], [], [], []
