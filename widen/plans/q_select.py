@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from widen.operators.join import augment
 from widen.operators.score import cramers_v, missing_ratios, mutual_info, pearson
 from widen.operators.select import chosen, leak_scan, select_all, select_filter, select_mutual_info, select_random
+from widen.operators.wrapper import select_forward
 from widen.plans.registry import query, table
 from widen.plans.sqlgen import augment_sql, union_all
 from widen.sources.tables import TableRef
@@ -237,3 +238,63 @@ FROM ({cramers_sql(WIDE, _LEAK_EXPRS, "o_orderstatus::VARCHAR")})
 def leak_scan_q(spark, sf_dir):
     out = leak_scan(table(spark, sf_dir, "orders"), _lineitem(spark, sf_dir), "o_orderstatus")
     return out.withColumn("score", F.round("score", 6)).withColumn("flagged", F.col("score") >= 0.5)
+
+# -- F11: forward selection by the held-out error of least squares ---------------
+# The first two picks in closed form: slopes from variances and covariances of the
+# training rows, errors summed over the held-out rows (and over classes).
+
+
+def forward_sql(wide: str, key: str, target: str, feats, by_class: bool) -> str:
+    filled = ", ".join(f"coalesce({f}, (SELECT median({f}) FROM wide)) AS {f}" for f in feats)
+    y = (f"SELECT w.k, w.is_test, c.c, (w.t = c.c)::INT::DOUBLE AS y FROM w, (SELECT DISTINCT t AS c FROM w) c" if by_class
+         else "SELECT k, is_test, 0 AS c, t::DOUBLE AS y FROM w")
+    return f"""
+WITH wide AS ({wide}),
+w AS (SELECT {key} AS k, {target} AS t, {filled},
+             (('0x' || substr(md5('1:' || {key}::VARCHAR), 1, 8))::BIGINT % 100) < 33 AS is_test
+      FROM wide WHERE {target} IS NOT NULL),
+l AS ({union_all(f"SELECT k, '{f}' AS feature, {f}::DOUBLE AS x FROM w" for f in feats)}),
+y AS ({y}),
+my AS (SELECT c, avg(y) AS m FROM y WHERE NOT is_test GROUP BY c),
+base AS (SELECT sum((y.y - my.m) * (y.y - my.m)) AS e FROM y JOIN my ON y.c = my.c WHERE y.is_test),
+s1 AS (SELECT c, feature, covar_pop(y, x) / var_pop(x) AS b, avg(x) AS mx, avg(y) AS m
+       FROM y JOIN l ON y.k = l.k WHERE NOT is_test GROUP BY c, feature HAVING var_pop(x) > 0),
+e1 AS (SELECT l.feature, 1 - sum((y - m - b * (x - mx)) * (y - m - b * (x - mx))) / (SELECT e FROM base) AS score
+       FROM y JOIN l ON y.k = l.k JOIN s1 ON s1.c = y.c AND s1.feature = l.feature WHERE is_test GROUP BY l.feature),
+p1 AS (SELECT feature, score FROM e1 ORDER BY score DESC, feature LIMIT 1),
+z AS (SELECT y.*, a.x AS x1, l.feature, l.x AS x2 FROM y JOIN l a ON a.k = y.k AND a.feature = (SELECT feature FROM p1)
+      JOIN l ON l.k = y.k AND l.feature <> a.feature),
+s2 AS (SELECT c, feature, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS m, var_pop(x1) AS v1, var_pop(x2) AS v2,
+              covar_pop(x1, x2) AS v12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2
+       FROM z WHERE NOT is_test GROUP BY c, feature),
+b2 AS (SELECT *, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS b1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS b2
+       FROM s2 WHERE v1 * v2 - v12 * v12 > 1e-9 * v1 * v2),
+r2 AS (SELECT z.feature, y - m - b1 * (x1 - m1) - b2 * (x2 - m2) AS r FROM z
+       JOIN b2 ON b2.c = z.c AND b2.feature = z.feature WHERE is_test),
+e2 AS (SELECT feature, 1 - sum(r * r) / (SELECT e FROM base) AS score FROM r2 GROUP BY feature),
+p2 AS (SELECT feature, score FROM e2 ORDER BY score DESC, feature LIMIT 1)
+SELECT 1::INTEGER AS step, 'pick' AS action, feature, round(score, 6) AS score, round(score, 6) AS gain FROM p1 WHERE score > 0
+UNION ALL
+SELECT 2, 'pick', p2.feature, round(p2.score, 6), round(p2.score - p1.score, 6) FROM p2, p1 WHERE p2.score > p1.score AND p1.score > 0"""
+
+
+@query("select_forward", forward_sql(WIDE, "o_orderkey", "o_totalprice", NUMS, False))
+def select_forward_q(spark, sf_dir):
+    wide = _wide(spark, sf_dir).drop("o_orderstatus")
+    return _r6(select_forward(wide, "o_totalprice", "o_orderkey", "regression", NUMS, k=2), "score", "gain")
+
+
+_LETTERS = "aehos"
+_DOCS = ("SELECT doc_id, lang, n_chars, " + ", ".join(
+    f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE / greatest(length(text), 1) AS share_{c}" for c in _LETTERS)
+    + " FROM documents")
+_DOC_FEATS = ["n_chars", *(f"share_{c}" for c in _LETTERS)]
+
+
+@query("select_forward_class", forward_sql(_DOCS, "doc_id", "lang", _DOC_FEATS, True))
+def select_forward_class(spark, sf_dir):
+    """Classes: documents by language, from their length and shares of letters."""
+    shares = [((F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")
+               / F.greatest(F.length("text"), F.lit(1))).alias(f"share_{c}") for c in _LETTERS]
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", *shares)
+    return _r6(select_forward(rows, "lang", "doc_id", "classification", _DOC_FEATS, k=2), "score", "gain")
