@@ -101,3 +101,13 @@ def test_text_and_missing_columns_are_prepared(spark):
     df = spark.createDataFrame(out, "id int, s string, x double, y double")
     steps = select_forward(df, "y", "id", "regression").orderBy("step").collect()
     assert [r.feature for r in steps] == ["s", "x"] and steps[-1].score > 0.5
+
+
+def test_preparation_without_text_columns_leaves_the_key(spark):
+    # no text and no numeric features must not mean "all columns"
+    from widen.operators.prep import clean_inf, encode, impute_median, model_frame
+
+    df = spark.createDataFrame([("k9", 1.0, "b"), ("k1", None, "a"), ("k5", 3.0, "b")], "key string, x double, y string")
+    out, _ = model_frame(df, "y", "classification", passthrough=["key"])
+    assert {(r.key, r.x, r.y) for r in out.collect()} == {("k9", 1.0, 1), ("k1", 2.0, 0), ("k5", 3.0, 1)}
+    assert encode(df, []).collect() == impute_median(df, []).collect() == clean_inf(df, []).collect() == df.collect()

@@ -44,7 +44,7 @@ def column_medians(df: DataFrame, columns) -> dict[str, float | None]:
 def impute_median(df: DataFrame, columns=None, exclude=()) -> DataFrame:
     """Numeric null -> column median; a column with no value at all -> 0."""
     kinds = classes(df)
-    columns = [c for c in (as_list(columns) or df.columns) if kinds[c] == NUMERIC and c not in exclude]
+    columns = [c for c in (df.columns if columns is None else as_list(columns)) if kinds[c] == NUMERIC and c not in exclude]
     med = column_medians(df, columns)
     types = field_types(df)
     repl = {c: F.coalesce(as_double(c, types[c]), F.lit(0.0 if med[c] is None else float(med[c]))).alias(c)
@@ -90,7 +90,8 @@ def encode(df: DataFrame, columns=None, null_code: int = -1, exclude=()) -> Data
     measured size (broadcast when small).
     """
     kinds = classes(df)
-    columns = [c for c in (as_list(columns) or [c for c in df.columns if kinds[c] == STRING]) if c not in exclude]
+    columns = [c for c in ([c for c in df.columns if kinds[c] == STRING] if columns is None else as_list(columns))
+               if c not in exclude]
     if not columns:
         return df
     # one pass for all columns: distinct (column, value) pairs, one global rank,
@@ -118,7 +119,7 @@ def clean_inf(df: DataFrame, columns=None) -> DataFrame:
     """E5: +inf, -inf and NaN -> 0.0, then nulls -> 0.0 (numeric columns)."""
     types = field_types(df)
     kinds = classes(df)
-    cs = set(as_list(columns) or [c for c in df.columns if kinds[c] == NUMERIC])
+    cs = set([c for c in df.columns if kinds[c] == NUMERIC] if columns is None else as_list(columns))
     out = []
     for c in df.columns:
         if c in cs:
