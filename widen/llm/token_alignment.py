@@ -47,7 +47,7 @@ from widen.llm.common import Recent, slices
 
 BLANK = "▁"
 #: Bound of each generation of the caches of a worker, in stretches.
-CACHE = 200_000
+CACHE = 250_000
 #: Longer stretches are aligned but not kept.
 CACHED_CHARS = 64
 #: Most pairs of ids whose counts are broadcast (24 bytes each).
@@ -294,7 +294,8 @@ class Kept:
         self.recent, self.seen, self.mask = Recent(bound), np.zeros(1 << bits, bool), (1 << bits) - 1
 
     def lookup(self, keys: set[str], learn):
-        """Function from key to value; ``learn`` gives values of unknown ones."""
+        """Two dicts, of which the first or the second has each key; ``learn``
+        gives values of unknown ones."""
         known, old = self.recent.young, self.recent.old
         if len(known) > self.recent.bound:
             self.recent.old, self.recent.young = known, {}
@@ -307,22 +308,15 @@ class Kept:
             else:
                 known[k] = v
         if not unseen:
-            return known.__getitem__
+            return known, known
         own = dict(zip(unseen, learn(unseen)))
-        if len(unseen) == len(keys):
-            get = own.__getitem__
-        else:
-            both = known  # a key is in one of the two only
-
-            def get(k):
-                return both[k] if k in both else own[k]
         marks = np.fromiter((hash(k) & self.mask for k in unseen), np.int64, len(unseen))
         again = self.seen[marks]
         self.seen[marks] = True
         for k, a in zip(unseen, again.tolist()):
             if a and len(k) <= CACHED_CHARS:
                 known[k] = own[k]
-        return get
+        return known, own
 
 
 @functools.lru_cache(maxsize=1)
@@ -356,9 +350,9 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text",
             texts = b.column(0).to_pylist()
             for start, stop in slices(texts, batch_chars):
                 split = [set(aligner.stretches(t)) for t in texts[start:stop] if t]
-                get = aligner.pair_cache.lookup(set().union(*split), aligner.linked_pairs)
+                known, new = aligner.pair_cache.lookup(set().union(*split), aligner.linked_pairs)
                 for keys in split:
-                    found = list(map(get, keys))
+                    found = [known[k] if k in known else new[k] for k in keys]
                     if None not in found:
                         parts.append(np.unique(np.frombuffer(b"".join(found), np.int64)))
                         weights.append(np.ones(len(parts[-1]), np.int64))
@@ -422,10 +416,10 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text",
             texts = b.column(1).to_pylist()
             for start, stop in slices(texts, batch_chars):
                 split = [aligner.stretches(t) if t else [] for t in texts[start:stop]]
-                get = cache.lookup({s for own in split for s in own}, lambda keys: aligner.described(keys, scores))
+                known, new = cache.lookup(set().union(*split), lambda keys: aligner.described(keys, scores))
                 groups, numbers, pairs = [], [], []
                 for own in split:
-                    found = list(map(get, own))
+                    found = [known[s] if s in known else new[s] for s in own]
                     if None in found:
                         found = []
                     groups.append(";".join([f[0] for f in found]))
