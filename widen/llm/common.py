@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,37 @@ class Recent:
         if unseen:
             self.young.update(zip(unseen, learn(unseen)))
         return self.young
+
+
+class Kept:
+    """A cache of texts of at most ``longest`` characters that were asked for at
+    least twice: a table of hashes tells which were asked for before, so that the
+    many that stand in one place only do not crowd out the others."""
+
+    def __init__(self, bound: int, longest: int, bits: int = 24):
+        self.longest, self.recent, self.seen, self.mask = longest, Recent(bound), np.zeros(1 << bits, bool), (1 << bits) - 1
+
+    def lookup(self, keys: set[str], learn):
+        """Two dicts, of which the first or the second has each key; ``learn``
+        gives values of unknown ones."""
+        known, old = self.recent.young, self.recent.old
+        if len(known) > self.recent.bound:
+            self.recent.old, self.recent.young = known, {}
+            known, old = self.recent.young, self.recent.old
+        unseen = []
+        for k in keys.difference(known):
+            v = old.get(k, known)
+            if v is known:
+                unseen.append(k)
+            else:
+                known[k] = v
+        if not unseen:
+            return known, known
+        own = dict(zip(unseen, learn(unseen)))
+        marks = np.fromiter((hash(k) & self.mask for k in unseen), np.int64, len(unseen))
+        again = self.seen[marks]
+        self.seen[marks] = True
+        for k, a in zip(unseen, again.tolist()):
+            if a and len(k) <= self.longest:
+                known[k] = own[k]
+        return known, own

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from widen.llm.common import Recent, slices
+from widen.llm.common import Kept, slices
 
 BLANK = "▁"
 #: Bound of each generation of the caches of a worker, in stretches.
@@ -150,7 +150,7 @@ class Aligner:
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in xs]) for xs in (self.bytes_a, self.bytes_b))
         # a token as text before another of its side, before the other side, and before the next group
         self.shown = [f"{i}{mark}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in ",|;"]
-        self.pair_cache = Kept(CACHE)
+        self.pair_cache = Kept(CACHE, CACHED_CHARS)
 
     @staticmethod
     def stretches(text: str) -> list[str]:
@@ -285,40 +285,6 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
 
 
-class Kept:
-    """A cache of stretches that were asked for at least twice: a table of
-    hashes tells which were asked for before, so that the many that stand in one
-    place only do not crowd out the others."""
-
-    def __init__(self, bound: int, bits: int = 24):
-        self.recent, self.seen, self.mask = Recent(bound), np.zeros(1 << bits, bool), (1 << bits) - 1
-
-    def lookup(self, keys: set[str], learn):
-        """Two dicts, of which the first or the second has each key; ``learn``
-        gives values of unknown ones."""
-        known, old = self.recent.young, self.recent.old
-        if len(known) > self.recent.bound:
-            self.recent.old, self.recent.young = known, {}
-            known, old = self.recent.young, self.recent.old
-        unseen = []
-        for k in keys.difference(known):
-            v = old.get(k, known)
-            if v is known:
-                unseen.append(k)
-            else:
-                known[k] = v
-        if not unseen:
-            return known, known
-        own = dict(zip(unseen, learn(unseen)))
-        marks = np.fromiter((hash(k) & self.mask for k in unseen), np.int64, len(unseen))
-        again = self.seen[marks]
-        self.seen[marks] = True
-        for k, a in zip(unseen, again.tolist()):
-            if a and len(k) <= CACHED_CHARS:
-                known[k] = own[k]
-        return known, own
-
-
 @functools.lru_cache(maxsize=1)
 def shared_aligner(path_a: str, path_b: str) -> Aligner:
     """One aligner for all tasks that a worker runs."""
@@ -328,7 +294,7 @@ def shared_aligner(path_a: str, path_b: str) -> Aligner:
 @functools.lru_cache(maxsize=1)
 def _shared_cache(run: str) -> Kept:
     """One cache of described stretches for all tasks of a run in a worker."""
-    return Kept(CACHE)
+    return Kept(CACHE, CACHED_CHARS)
 
 
 def _summed(parts: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

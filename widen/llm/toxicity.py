@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from widen.llm.common import Recent, slices
+from widen.llm.common import Kept, slices
 
 DECAY = 0.6
 #: Power of the word kernel.
@@ -68,11 +68,12 @@ CACHED_CHARS = 64
 #: Longer words are cut.
 WORD_CHARS = 400
 #: Characters of words whose subsequences are listed at a time.
-AT_A_TIME = 100_000
+AT_A_TIME = 60_000
 #: Least log ratio of shares, less its errors, by which a word tells of toxic texts.
 TELLING = 1.5
 RESULT = ("score", "predicted", "worst")
 _ENDS = (".", "!", "?", "…")
+_SIGNS = re.compile(r"[\W_]+")
 _ALONE = re.compile(r"\W*\w\W*")
 
 
@@ -85,6 +86,8 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     kinds, at = np.unique(letters, return_inverse=True)
     counts = np.array([chr(k).isalnum() for k in kinds.tolist()])[at]
+    narrow = np.zeros(int(kinds[-1]) + 1, np.int64)
+    narrow[kinds] = np.arange(len(kinds))
     owner = np.cumsum(letters == 10)  # words hold no line ends
     owners, codes, weights = [], [], []
     for j in range(2, SPAN):
@@ -99,7 +102,15 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not owners:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     owner, code, weight = map(np.concatenate, (owners, codes, weights))
-    order = np.lexsort((code, owner))
+    # numbers of characters are shorter than characters: word and code fit one key
+    bits = max(1, int(len(kinds) - 1).bit_length())
+    if 3 * bits + len(words).bit_length() < 63:
+        small = owner
+        for shift in (42, 21, 0):
+            small = small << bits | narrow[code >> shift & 0x1FFFFF]
+        order = np.argsort(small)
+    else:
+        order = np.lexsort((code, owner))
     owner, code, weight = owner[order], code[order], weight[order]
     starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])]) if len(owner) else []
     if not len(starts):
@@ -121,28 +132,31 @@ class Landmarks:
         self.starts = np.append(self.starts, len(code))
         self.owners, self.values = owner[order], value[order]
 
+    def blocks(self, words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the first word, words x landmarks kernels), block by block."""
+        for start, stop in slices(words, AT_A_TIME):
+            n = stop - start
+            owner, code, value = subsequences(words[start:stop])
+            if len(self.codes):
+                at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                hit = self.codes[at] == code
+                owner, value, at = owner[hit], value[hit], at[hit]
+                sizes = self.starts[at + 1] - self.starts[at]
+                inner = np.repeat(self.starts[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                cells = np.repeat(owner, sizes) * self.many + self.owners[inner]
+                k = np.bincount(cells, np.repeat(value, sizes) * self.values[inner], minlength=n * self.many)
+            else:
+                k = np.zeros(n * self.many)
+            yield start, k.reshape(n, self.many) ** POWER
+
     def kernels(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word number, landmark, kernel) where the kernel is not 0."""
         parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for start, stop in slices(words, AT_A_TIME):
-            owner, landmark, k = self._kernels(words[start:stop])
-            parts.append((owner + start, landmark, k))
+        for start, k in self.blocks(words):
+            word, landmark = np.nonzero(k)
+            parts.append((word + start, landmark, k[word, landmark]))
         return tuple(map(np.concatenate, zip(*parts)))
 
-    def _kernels(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        owner, code, value = subsequences(words)
-        if not len(code) or not len(self.codes):
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        hit = self.codes[at] == code
-        owner, value, at = owner[hit], value[hit], at[hit]
-        sizes = self.starts[at + 1] - self.starts[at]
-        inner = np.repeat(self.starts[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        cell = np.repeat(owner, sizes) * self.many + self.owners[inner]
-        cells, back = np.unique(cell, return_inverse=True)
-        k = np.bincount(back, np.repeat(value, sizes) * self.values[inner], minlength=len(cells))
-        return cells // self.many, cells % self.many, k ** POWER
-
 
 @dataclass(frozen=True)
 class Model:
@@ -157,8 +171,7 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """What each word adds to its sentence."""
-        owner, landmark, k = self.landmarks.kernels(words)
-        return np.bincount(owner, k * self.weights[landmark], minlength=len(words))
+        return np.concatenate([np.empty(0), *(k @ self.weights for _, k in self.landmarks.blocks(words))])
 
     def score(self, worst: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -177,6 +190,12 @@ def word_flags(word: str) -> int:
     return ENDS_SENTENCE * word.endswith(_ENDS) + STANDS_ALONE * bool(len(word) < 4 and _ALONE.fullmatch(word))
 
 
+def folded(word: str) -> str:
+    """What the kernel sees of a word: lower case, without signs around it, a
+    row of signs inside as one."""
+    return word.lower() if word.isalnum() else _SIGNS.sub("-", word.lower()).strip("-")
+
+
 def sentence_starts(flags: np.ndarray) -> np.ndarray:
     """Numbers of the words that start a sentence, or a part of a long one."""
     n = len(flags)
@@ -230,7 +249,7 @@ def text_sentences(text: str | None) -> list[list[str]]:
 # fitting, on the driver over a bounded sample
 # ---------------------------------------------------------------------------
 
-def _folded(word: str) -> str:
+def _letters(word: str) -> str:
     return "".join(filter(str.isalnum, word.lower()))
 
 
@@ -310,14 +329,14 @@ def fit(texts: Iterable[tuple[int, list[list[str]]]], landmarks: int = 256, roun
     for k, own in texts:
         for s in own:
             if s:
-                sentences.append(np.unique([number_of.setdefault(w, len(number_of)) for w in s]))
+                sentences.append(np.unique([number_of.setdefault(folded(w), len(number_of)) for w in s]))
                 text_of.append(len(labels))
         labels.append(k)
     labels, text_of, words = np.array(labels, np.int64), np.array(text_of, np.int64), list(number_of)
     if len(set(labels.tolist())) < 2:
         share = 0.5 if not len(labels) else float(labels.mean())
         return Model(Landmarks([]), np.empty(0), constant=share)
-    folds = [_folded(w) for w in words]
+    folds = [_letters(w) for w in words]
     plain = sorted({f for f in folds if len(f) > 2})
     if not plain:
         return Model(Landmarks([]), np.empty(0), constant=float(labels.mean()))
@@ -437,8 +456,8 @@ def text_words(sentence: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=1)
-def _shared_cache(run: str) -> Recent:
-    return Recent(CACHE)
+def _shared_cache(run: str) -> Kept:
+    return Kept(CACHE, CACHED_CHARS)
 
 
 def score_texts(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text",
@@ -453,7 +472,10 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
 
     def learned(words):
         out = np.empty(len(words), kind)
-        out["value"], out["flags"] = model.words(words), [word_flags(w) for w in words]
+        folds = [folded(w) for w in words]
+        distinct = {w: i for i, w in enumerate(dict.fromkeys(folds))}
+        out["value"] = model.words(list(distinct))[[distinct[w] for w in folds]] if words else 0
+        out["flags"] = [word_flags(w) for w in words]
         raw = out.tobytes()
         return [raw[i:i + kind.itemsize] for i in range(0, len(raw), kind.itemsize)]
 
@@ -463,24 +485,20 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
             texts = b.column(1).to_pylist()
             for start, stop in slices(texts, batch_chars):
                 split = [split_words(t) for t in texts[start:stop]]
-                asked = {w for own in split for w in own}
-                long = [w for w in asked if len(w) > CACHED_CHARS]
-                known = cache.known(asked.difference(long), learned)
-                extra = dict(zip(long, learned(long)))
-                get = (lambda w: extra[w] if w in extra else known[w]) if extra else known.__getitem__
+                known, new = cache.lookup(set().union(*split), learned)
                 worst, told = [], []
                 for own in split:
                     if not own:
                         worst.append(model.bias)
                         told.append("")
                         continue
-                    found = np.frombuffer(b"".join(map(get, own)), kind)
+                    found = np.frombuffer(b"".join([known[w] if w in known else new[w] for w in own]), kind)
                     values, flags = found["value"].astype(np.float64), found["flags"]
                     starts = sentence_starts(flags)
                     sums = distinct_sums(values, starts)
                     if (flags & STANDS_ALONE).sum() > 2:
                         runs = lone_letters(own, flags)
-                        for (i, _), v in zip(runs, model.words([r for _, r in runs])):
+                        for (i, _), v in zip(runs, model.words([folded(r) for _, r in runs])):
                             sums[np.searchsorted(starts, i, "right") - 1] += v
                     k = int(sums.argmax())
                     worst.append(model.bias + sums[k])
