@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widen.functions.columns import col
+from widen.operators.boost import fit_boosted
 from widen.operators.metrics import binary_f1, macro_f1, mae
 from widen.operators.prep import assemble, balance, impute_constant, low_variance, model_frame, split
 from widen.operators.profile import task_of
@@ -50,42 +51,48 @@ def _prepared(df: DataFrame, target: str, key: str, task: str, test: float, spli
     return assemble(prepared, feats).persist(StorageLevel.MEMORY_AND_DISK), feats
 
 
+def _mean(values) -> float | None:
+    """Mean over seeds; None where nothing was held out."""
+    return None if None in values or not values else sum(values) / len(values)
+
+
 def score_rf(df: DataFrame, target: str, key: str, seeds=(42,), num_trees: int = 100, max_depth: int = 10,
              test: float = 0.2, split_seed: int = 1) -> Score:
     """M1 (+M9): random-forest classifier, macro-F1 on the held-out part, mean over seeds."""
     from pyspark.ml.classification import RandomForestClassifier
 
     data, _ = _prepared(df, target, key, "classification", test, split_seed)
-    train, hold = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
-    vals = []
-    for s in seeds:
-        m = RandomForestClassifier(labelCol=target, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
-                                   featureSubsetStrategy="sqrt", seed=s).fit(train)
-        pred = m.transform(hold).select(col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
-        vals.append(macro_f1(pred, "y", "yhat").first()["macro_f1"])
-    data.unpersist()
-    return Score(sum(vals) / len(vals), True, "macro_f1")
+    try:
+        train, hold = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
+        vals = []
+        for s in seeds:
+            m = RandomForestClassifier(labelCol=target, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
+                                       featureSubsetStrategy="sqrt", seed=s).fit(train)
+            pred = m.transform(hold).select(col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
+            vals.append(macro_f1(pred, "y", "yhat").first()["macro_f1"])
+        return Score(_mean(vals), True, "macro_f1")
+    finally:
+        data.unpersist()
 
 
 def score_boosted(df: DataFrame, target: str, key: str, seeds=(42,), max_iter: int = 50, test: float = 0.33,
                   split_seed: int = 1) -> Score:
-    """M2: boosted stumps on a training part balanced by E11 (binary targets)."""
-    from pyspark.ml.classification import GBTClassifier
-
-    data, _ = _prepared(df, target, key, "classification", test, split_seed)
-    train, hold = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
-    counts = {r[0]: r[1] for r in train.groupBy(target).count().collect()}  # class counts: tiny
-    if len(counts) != 2:
-        raise ValueError(f"boosted scorer needs a binary target, got {len(counts)} classes")
-    major = max(counts, key=counts.get)
-    train = balance(train, target, "__key", major=major, seed=seeds[0])
-    vals = []
-    for s in seeds:
-        m = GBTClassifier(labelCol=target, featuresCol="features", maxDepth=1, maxIter=max_iter, seed=s).fit(train)
-        pred = m.transform(hold).select(col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
-        vals.append(macro_f1(pred, "y", "yhat").first()["macro_f1"])
-    data.unpersist()
-    return Score(sum(vals) / len(vals), True, "macro_f1")
+    """M2: boosted stumps (SAMME) on a training part balanced by E11, macro-F1 on
+    the held-out part, mean over seeds of the balancing. Any number of classes."""
+    data, feats = _prepared(df, target, key, "classification", test, split_seed)
+    try:
+        train, hold = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
+        counts = {r[0]: r[1] for r in train.groupBy(target).count().collect()}  # class counts: tiny
+        major = max(counts, key=lambda c: (counts[c], -c)) if counts else None
+        vals = []
+        for s in seeds:
+            part = balance(train, target, "__key", major=major, seed=s) if len(counts) > 1 else train
+            pred = fit_boosted(part, feats, target, max_iter).predict(hold)
+            one = macro_f1(pred.select(col(target).cast("string").alias("y"), F.col("prediction").alias("yhat")), "y", "yhat")
+            vals.append(one.first()["macro_f1"])
+        return Score(_mean(vals), True, "macro_f1")
+    finally:
+        data.unpersist()
 
 
 def score_rf_reg(df: DataFrame, target: str, key: str, seeds=(42,), num_trees: int = 100, max_depth: int = 10,
@@ -94,15 +101,17 @@ def score_rf_reg(df: DataFrame, target: str, key: str, seeds=(42,), num_trees: i
     from pyspark.ml.regression import RandomForestRegressor
 
     data, _ = _prepared(df, target, key, "regression", test, split_seed)
-    train, hold = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
-    vals = []
-    for s in seeds:
-        m = RandomForestRegressor(labelCol=target, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
-                                  featureSubsetStrategy="all", seed=s).fit(train)
-        pred = m.transform(hold).select(col(target).alias("y"), F.col("prediction").alias("yhat"))
-        vals.append(mae(pred, "y", "yhat").first()["mae"])
-    data.unpersist()
-    return Score(sum(vals) / len(vals), False, "mae")
+    try:
+        train, hold = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
+        vals = []
+        for s in seeds:
+            m = RandomForestRegressor(labelCol=target, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
+                                      featureSubsetStrategy="all", seed=s).fit(train)
+            pred = m.transform(hold).select(col(target).alias("y"), F.col("prediction").alias("yhat"))
+            vals.append(mae(pred, "y", "yhat").first()["mae"])
+        return Score(_mean(vals), False, "mae")
+    finally:
+        data.unpersist()
 
 
 def score_search(df: DataFrame, target: str, key: str, seed: int = 42, folds: int = 3, test: float = 0.33,
@@ -115,33 +124,36 @@ def score_search(df: DataFrame, target: str, key: str, seed: int = 42, folds: in
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     base = impute_constant(df)
-    data, feats = _prepared(base, target, key, "classification", test, split_seed)
-    low = set(low_variance(data, feats))
-    keep = [f for f in feats if f not in low] or feats
-    prepared = data
-    data = assemble(data.drop("features"), keep).persist(StorageLevel.MEMORY_AND_DISK)
-    prepared.unpersist()
-    train, hold = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
-    ev = MulticlassClassificationEvaluator(labelCol=target, metricName="fMeasureByLabel", metricLabel=1.0)
-    best, best_metric = None, None
-    lr = LogisticRegression(labelCol=target, featuresCol="features")
-    rf = RandomForestClassifier(labelCol=target, featuresCol="features", seed=seed)
-    gbt = GBTClassifier(labelCol=target, featuresCol="features", seed=seed)
-    grids = [
-        (lr, ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build()),
-        (rf, ParamGridBuilder().addGrid(rf.numTrees, [20, 50]).addGrid(rf.maxDepth, [5, 10]).build()),
-        (gbt, ParamGridBuilder().addGrid(gbt.maxDepth, [2, 4]).build()),
-    ]
-    for est, grid in grids:
-        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, seed=seed,
-                            parallelism=parallelism).fit(train)
-        m = max(cv.avgMetrics)
-        if best_metric is None or m > best_metric:
-            best, best_metric = cv.bestModel, m
-    pred = best.transform(hold).select(col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
-    f1 = binary_f1(pred, "y", "yhat", positive=1.0).first()["f1"]
-    data.unpersist()
-    return Score(f1 if f1 is not None else 0.0, True, "binary_f1")
+    prepared, feats = _prepared(base, target, key, "classification", test, split_seed)
+    data = None
+    try:
+        low = set(low_variance(prepared, feats))
+        keep = [f for f in feats if f not in low] or feats
+        data = assemble(prepared.drop("features"), keep).persist(StorageLevel.MEMORY_AND_DISK)
+        train, hold = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
+        ev = MulticlassClassificationEvaluator(labelCol=target, metricName="fMeasureByLabel", metricLabel=1.0)
+        best, best_metric = None, None
+        lr = LogisticRegression(labelCol=target, featuresCol="features")
+        rf = RandomForestClassifier(labelCol=target, featuresCol="features", seed=seed)
+        gbt = GBTClassifier(labelCol=target, featuresCol="features", seed=seed)
+        grids = [
+            (lr, ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build()),
+            (rf, ParamGridBuilder().addGrid(rf.numTrees, [20, 50]).addGrid(rf.maxDepth, [5, 10]).build()),
+            (gbt, ParamGridBuilder().addGrid(gbt.maxDepth, [2, 4]).build()),
+        ]
+        for est, grid in grids:
+            cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, seed=seed,
+                                parallelism=parallelism).fit(train)
+            m = max(cv.avgMetrics)
+            if best_metric is None or m > best_metric:
+                best, best_metric = cv.bestModel, m
+        pred = best.transform(hold).select(col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
+        f1 = binary_f1(pred, "y", "yhat", positive=1.0).first()["f1"]
+        return Score(f1 if f1 is not None else 0.0, True, "binary_f1")
+    finally:
+        prepared.unpersist()
+        if data is not None:
+            data.unpersist()
 
 
 def default_scorer(df: DataFrame, target: str):
@@ -161,8 +173,10 @@ def select_importance(df: DataFrame, target: str, key: str, k: int | None = None
     data, feats = _prepared(df, target, key, task, 0.0, 1)
     est = (RandomForestClassifier if task == "classification" else RandomForestRegressor)(
         labelCol=target, featuresCol="features", numTrees=num_trees, maxDepth=max_depth, seed=seed)
-    imp = est.fit(data).featureImportances.toArray().tolist()  # one number per feature
-    data.unpersist()
+    try:
+        imp = est.fit(data).featureImportances.toArray().tolist()  # one number per feature
+    finally:
+        data.unpersist()
     k = len(feats) // 2 if k is None else k
     spark = df.sparkSession
     rows = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)], "feature string, importance double")

@@ -11,10 +11,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from widen.operators.aggregate import distinct_counts
+from widen.operators.boost import fit_boosted, stump_table
 from widen.operators.join import augment
+from widen.operators.metrics import confusion
 from widen.operators.project import drop_null_target
 from widen.plans.evaluate import score_boosted, score_rf, score_rf_reg, score_search, select_importance
 from widen.plans.loop import METHODS, RECOMMENDED, accept_history, best, compare, method_status, run
+from widen.plans.q_select import DOC_SHARES, DOC_SHARES_SQL, document_shares
 from widen.plans.registry import query, table
 from widen.session import checkpoint_dir
 from widen.sources.tables import TableRef, zip_columns
@@ -40,6 +43,65 @@ def boosted_balanced(spark, sf_dir):
     return _score_frame(spark, "boosted_balanced", score_boosted(_docs(spark, sf_dir), "quality", "doc_id"))
 
 
+# -- M2: rounds of the boosted stumps, computed in SQL as well ----------------------
+
+_BINS = 16
+
+
+def boosted_sql(src: str, target: str, feats, rounds: int, last: str) -> str:
+    """CTEs of ``rounds`` rounds of SAMME on binned features, then ``last``."""
+    bins = ", ".join(
+        f"least({_BINS - 1}, floor(({f} - (SELECT min({f}) FROM s)) / (((SELECT max({f}) FROM s) - (SELECT min({f}) FROM s)) "
+        f"/ {_BINS})))::INTEGER AS b{i}" for i, f in enumerate(feats))
+    long = " UNION ALL ".join(f"SELECT id, y, {i} AS f, '{f}' AS feature, b{i} AS b FROM bins" for i, f in enumerate(feats))
+    out = [f"s AS ({src})", f"bins AS (SELECT row_number() OVER () AS id, {target} AS y, {bins} FROM s WHERE {target} IS NOT NULL)",
+           f"l AS ({long})", "k AS (SELECT DISTINCT y FROM bins)", "w1 AS (SELECT id, 1.0::DOUBLE AS w FROM bins)"]
+    for t in range(1, rounds + 1):
+        share = f"(SELECT sum(w) FROM w{t})"
+        out += [
+            f"c{t} AS (SELECT f, feature, b, y, sum(w) AS w FROM l JOIN w{t} ON l.id = w{t}.id GROUP BY f, feature, b, y)",
+            f"p{t} AS (SELECT g.f, g.feature, g.b, k.y, coalesce(sum(c.w) FILTER (WHERE c.b <= g.b), 0) / {share} AS lw, "
+            f"coalesce(sum(c.w) FILTER (WHERE c.b > g.b), 0) / {share} AS rw FROM (SELECT DISTINCT f, feature, b FROM c{t}) g "
+            f"CROSS JOIN k LEFT JOIN c{t} c ON c.f = g.f AND c.y = k.y "
+            f"WHERE g.b < (SELECT max(b) FROM c{t} m WHERE m.f = g.f) GROUP BY ALL)",
+            f"s{t} AS (SELECT f, feature, b, (list(y ORDER BY round(lw, 9) DESC, y))[1] AS low, "
+            f"(list(y ORDER BY round(rw, 9) DESC, y))[1] AS high, "
+            f"round(1 - (list(lw ORDER BY round(lw, 9) DESC, y))[1] - (list(rw ORDER BY round(rw, 9) DESC, y))[1], 9) AS error "
+            f"FROM p{t} GROUP BY f, feature, b)",
+            f"h{t} AS (SELECT *, ln((1 - error) / error) + ln((SELECT count(*) FROM k) - 1) AS alpha FROM s{t} "
+            f"ORDER BY error, f, b LIMIT 1)",
+            f"w{t + 1} AS (SELECT w{t}.id, w * CASE WHEN (CASE WHEN l.b <= h{t}.b THEN low ELSE high END) <> l.y THEN exp(alpha) "
+            f"ELSE 1.0 END AS w FROM w{t} JOIN l ON l.id = w{t}.id JOIN h{t} ON l.f = h{t}.f)"]
+    sep = "" if last.lstrip().startswith(",") else " "
+    return f"WITH {', '.join(out)}{sep}{last.lstrip()}"
+
+
+@query("boosted_rounds", boosted_sql(DOC_SHARES_SQL, "lang", DOC_SHARES, 3, " UNION ALL ".join(
+    f"SELECT {t}::INTEGER AS round, feature, b AS bin, low, high, round(error, 6) AS error, round(alpha, 6) AS alpha FROM h{t}"
+    for t in (1, 2, 3))))
+def boosted_rounds(spark, sf_dir):
+    """The first three stumps that tell documents' languages by letters."""
+    model = fit_boosted(document_shares(spark, sf_dir), DOC_SHARES, "lang", rounds=3, bins=_BINS)
+    return stump_table(spark, model).withColumn("error", F.round("error", 6)).withColumn("alpha", F.round("alpha", 6))
+
+
+_VOTES = " UNION ALL ".join(
+    f"SELECT l.id, l.y, CASE WHEN l.b <= h{t}.b THEN low ELSE high END AS c, alpha FROM l JOIN h{t} ON l.f = h{t}.f" for t in (1, 2, 3))
+
+
+@query("boosted_confusion", boosted_sql(DOC_SHARES_SQL, "lang", DOC_SHARES, 3, f"""
+, votes AS ({_VOTES}),
+sums AS (SELECT v.id, v.y, k.y AS c, round(coalesce(sum(alpha) FILTER (WHERE v.c = k.y), 0), 9) AS a FROM votes v CROSS JOIN k
+         GROUP BY v.id, v.y, k.y),
+said AS (SELECT id, y, (list(c ORDER BY a DESC, c))[1] AS yhat FROM sums GROUP BY id, y)
+SELECT y, yhat, count(*) AS n FROM said GROUP BY y, yhat"""))
+def boosted_confusion(spark, sf_dir):
+    """What the three stumps say together, against the languages."""
+    docs = document_shares(spark, sf_dir)
+    model = fit_boosted(docs, DOC_SHARES, "lang", rounds=3, bins=_BINS)
+    return confusion(model.predict(docs), "lang", "prediction")
+
+
 @query("rf_regressor")
 def rf_regressor(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")

@@ -285,16 +285,21 @@ def select_forward_q(spark, sf_dir):
 
 
 _LETTERS = "aehos"
-_DOCS = ("SELECT doc_id, lang, n_chars, " + ", ".join(
+DOC_SHARES_SQL = ("SELECT doc_id, lang, n_chars, " + ", ".join(
     f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE / greatest(length(text), 1) AS share_{c}" for c in _LETTERS)
     + " FROM documents")
-_DOC_FEATS = ["n_chars", *(f"share_{c}" for c in _LETTERS)]
+DOC_SHARES = ["n_chars", *(f"share_{c}" for c in _LETTERS)]
 
 
-@query("select_forward_class", forward_sql(_DOCS, "doc_id", "lang", _DOC_FEATS, True))
-def select_forward_class(spark, sf_dir):
-    """Classes: documents by language, from their length and shares of letters."""
+def document_shares(spark, sf_dir):
+    """Documents by their length and shares of letters."""
     shares = [((F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")
                / F.greatest(F.length("text"), F.lit(1))).alias(f"share_{c}") for c in _LETTERS]
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", *shares)
-    return _r6(select_forward(rows, "lang", "doc_id", "classification", _DOC_FEATS, k=2), "score", "gain")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", *shares)
+
+
+@query("select_forward_class", forward_sql(DOC_SHARES_SQL, "doc_id", "lang", DOC_SHARES, True))
+def select_forward_class(spark, sf_dir):
+    """Classes: documents by language."""
+    return _r6(select_forward(document_shares(spark, sf_dir), "lang", "doc_id", "classification", DOC_SHARES, k=2),
+               "score", "gain")
