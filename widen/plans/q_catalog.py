@@ -7,6 +7,8 @@ ingested back (C4), then cleaned, merged, admitted and ranked.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from widen.functions.ranking import materialised
@@ -25,6 +27,8 @@ from widen.sources.catalog import (
     prune,
     to_search_results,
 )
+from widen.session import checkpoint_dir
+from widen.sources.joinable_index import add_to_index, find_joinable_indexed
 
 # key-like (integer / text) columns and column counts of the tables used
 KEYLIKE = {
@@ -105,6 +109,17 @@ def find_joinable_q(spark, sf_dir):
     return _r6(_joinable(spark, sf_dir))
 
 
+@query("find_joinable_indexed", f"SELECT * EXCLUDE (score), round(score, 6) AS score FROM ({JOINABLE})")
+def find_joinable_indexed_q(spark, sf_dir):
+    """The same search over stored sketches of 512 hashes a column."""
+    path = f"{checkpoint_dir(spark)}/joinable-{uuid.uuid4().hex}"
+    for name in CANDIDATES:
+        add_to_index(path, name, table(spark, sf_dir, name), k=512)
+    out = find_joinable_indexed(table(spark, sf_dir, "customer"), spark.read.parquet(path),
+                                lambda name: table(spark, sf_dir, name), k=512)
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query("catalog_ingest", f"SELECT {CAT_COLS} FROM ({CATALOG})")
 def catalog_ingest(spark, sf_dir):
     return _r6(_catalog(spark, sf_dir))
