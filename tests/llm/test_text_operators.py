@@ -239,6 +239,24 @@ def test_word_encoder_equals_the_tokenizer():
         assert e.encode([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_pieces_equal_the_library(spark, edge):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts += [t for _, t in EDGE] + [" " * 400_000 + "a", "<|endoftext|> x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in packing.pack_documents(df, path, size=64, end_id=0).collect():
+        got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, t in enumerate(texts):
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
+        head = len(ids) % 64 if len(ids) > 64 else len(ids)
+        cuts = ([(0, head)] if head else []) + [(s, 64) for s in range(head, len(ids), 64)]
+        assert sorted(got[i]) == [(k, s, n, zlib.crc32(np.array(ids[s:s + n], "<u4").tobytes())) for k, (s, n) in enumerate(cuts)]
+
+
 def test_bounds_and_best_fit():
     rng = np.random.default_rng(4)
     for _ in range(60):

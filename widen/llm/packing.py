@@ -16,8 +16,8 @@ only the id and text columns are read.
 from __future__ import annotations
 
 import functools
+import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -27,81 +27,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from widen.llm.common import Recent, slices
+from widen.llm.common import byte_level_encoder, slices
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
-#: Bound of each generation of the caches of a worker, in entries.
-CACHE = 250_000
-# How the byte-level vocabularies split text, for Latin characters.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_INSIDE_RUN = re.compile(r"\s \s")
-_PLAIN = re.compile(f"[ \\n!-~{_LETTERS}]*")
-_RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \\n{_LETTERS}0-9]+|[ \\n]+(?![^ \\n])|[ \\n]+")
-# The characters by which byte-level vocabularies write bytes.
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: b if b in _SHOWN else 256 + n for n, b in enumerate(
-    sorted(range(256), key=lambda b: (b in _SHOWN, b)))}
 
 
 class WordEncoder:
-    """Ids of texts by a byte-level BPE file, word by word through a cache.
+    """Ids of whole texts by a byte-level BPE file.
 
-    No token of such a vocabulary spans the place before a blank that starts a
-    run of white space or ends one, so a text may be cut there; what lies inside
-    a run stays with the word before. Unseen words are tokenized in batches.
-    """
+    If the ids of the file follow the order of its merges, as such files mostly
+    do, and it splits text by the usual pattern, the faster of two encoders gives
+    the same ids; texts with a special token's string, texts that it refuses and
+    other files go to the other one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.inner = Recent(CACHE), Recent(CACHE)  # words that start a text, and after a blank, without it
-        self.parts = Recent(CACHE)  # letter, digit and mark runs of words
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        parts = text.split(" ")
-        if "  " not in text and not _INSIDE_RUN.search(text):
-            return parts
-        out = parts[:1]
-        for p in parts[1:]:
-            if not p or p[0].isspace() and (not out[-1] or out[-1][-1].isspace()):
-                out[-1] += " " + p
-            else:
-                out.append(p)
-        return out
-
-    def _tokenized(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _merged(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs that the splitting leaves whole, by the model alone."""
-        tokenize = self.tokenizer.model.tokenize
-        return [np.array([t.id for t in tokenize(r.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u4").tobytes()
-                for r in runs]
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """Ids of unseen words. Words of plain Latin characters fall into the
-        runs that the vocabulary's own splitting makes, which recur more often
-        than words; other words go to the tokenizer whole."""
-        runs = [_RUNS.findall(w) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
-        ids = self.parts.known({r for rs in runs if rs for r in rs}, self._merged)
-        others = iter(self._tokenized([w for w, rs in zip(words, runs) if rs is None]))
-        return [next(others) if rs is None else b"".join([ids[r] for r in rs]) for rs in runs]
+        with open(path) as f:
+            file = json.load(f)
+        self.special = [t["content"] for t in file.get("added_tokens", [])]
+        self.fast = byte_level_encoder(file)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.words(t) for t in texts]
-        inner = self.inner.known({w for ws in split for w in ws[1:]},
-                                 lambda words: self._learn([" " + w for w in words])).__getitem__
-        first = self.first.known({ws[0] for ws in split}, self._learn)
-        return [np.frombuffer(first[ws[0]] + b"".join(map(inner, ws[1:])), dtype="<u4") for ws in split]
+        out: list = [None] * len(texts)
+        for i, t in enumerate(texts):
+            if not any(x in t for x in self.special) and (ids := self.fast(t)) is not None:
+                out[i] = np.array(ids, dtype="<u4")
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        if rest:
+            encoded = self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)
+            for i, e in zip(rest, encoded):
+                out[i] = np.array(e.ids, dtype="<u4")
+        return out
 
 
 @functools.lru_cache(maxsize=2)
 def shared_encoder(path: str) -> WordEncoder:
-    """One encoder, and so one cache, for all tasks that a worker runs."""
+    """One encoder for all tasks that a worker runs."""
     return WordEncoder(path)
 
 
@@ -194,10 +158,12 @@ def _bins():
     return F.coalesce(F.sum((F.col("offset") == 0).cast("int")), F.lit(0)).alias("bins")
 
 
-def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = 20_000, rounds: int = 3) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = 20_000, rounds: int | None = None) -> DataFrame:
     """Add sequence_id and offset to rows that have ``length`` (1 to size).
 
     No sequence is shared by two parts; numbers of sequences are any longs.
+    Parts with a gap exchange pieces for as long as that saves a sequence, or
+    ``rounds`` times if that is given.
     """
     from widen.session import checkpoint_dir
 
@@ -232,7 +198,7 @@ def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = 20_000, rounds:
 
     open_rows = rows.where(F.col("length") < size)
     packed, done, generation = deal(open_rows, open_rows.count(), 0), full, 0
-    while generation < rounds:
+    while rounds is None or generation < rounds:
         s = state(packed)
         if not s.n:
             break
@@ -245,7 +211,7 @@ def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = 20_000, rounds:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-                   text: str = "text", part_pieces: int = 20_000, rounds: int = 3) -> DataFrame:
+                   text: str = "text", part_pieces: int = 20_000, rounds: int | None = None) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     return pack(token_pieces(docs, vocabulary, size, end_id, id_col, text), size, part_pieces, rounds)
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from widen.llm.common import Kept, slices
+from widen.llm.common import Kept, byte_level_encoder, byte_level_entries, slices
 
 BLANK = "▁"
 #: Bound of each generation of the caches of a worker, in stretches.
@@ -58,17 +58,6 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: Characters of stretches that are encoded by one call.
 BLOCK_CHARS = 20_000
 _ODD_BLANK = re.compile(r" \s")
-# Bytes that byte-level vocabularies show as themselves; the others follow from 256 on.
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-
-
-def byte_level_bytes(entry: str) -> bytes:
-    """The bytes that an entry of a byte-level vocabulary stands for."""
-    return bytes(_BYTE_OF[c] for c in entry)
-
-
-_BYTE_OF = {chr(b): b for b in _SHOWN} | {
-    chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def gallop(ends: np.ndarray, start: np.ndarray, last: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -121,23 +110,14 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         import sentencepiece
-        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path_a) as f:
-            model = json.load(f)["model"]
-        ranks = {byte_level_bytes(e): i for e, i in model["vocab"].items() if all(c in _BYTE_OF for c in e)}
-        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-        if [model["vocab"][m] for m in merges] == list(range(len(ranks) - len(merges), len(ranks))):
-            # ids follow the order of the merges, as the faster encoder takes for granted
-            self.encode_a = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                              special_tokens={}).encode_ordinary
-        else:
-            own = Tokenizer.from_file(path_a)
-            own.encode_special_tokens = True
-            self.encode_a = lambda text: own.encode(text, add_special_tokens=False).ids
+            file = json.load(f)
+        ranks = byte_level_entries(file)
+        self.fast_a, self.slow_a = byte_level_encoder(file), Tokenizer.from_file(path_a)
+        self.slow_a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a = [b""] * (max(ranks.values()) + 1)
         for e, i in ranks.items():
@@ -152,6 +132,10 @@ class Aligner:
         self.shown = [f"{i}{mark}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in ",|;"]
         self.pair_cache = Kept(CACHE, CACHED_CHARS)
 
+    def encode_a(self, text: str) -> list[int]:
+        ids = self.fast_a(text)
+        return self.slow_a.encode(text, add_special_tokens=False).ids if ids is None else ids
+
     @staticmethod
     def stretches(text: str) -> list[str]:
         """Stretches of a blank and the text, each without its first blank."""
