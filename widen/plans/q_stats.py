@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from widen.operators.aggregate import (
@@ -28,7 +30,9 @@ from widen.operators.profile import (
     profile,
     profile_incremental,
 )
+from widen.operators.profile_state import profile_state, state_profile, stored_state, write_state
 from widen.plans.registry import query, table
+from widen.session import checkpoint_dir
 from widen.plans.sqlgen import augment_sql, union_all
 
 # DuckDB type name -> Spark simpleString, for the oracles
@@ -336,3 +340,35 @@ def infer_task_q(spark, sf_dir):
         k = infer_task(table(spark, sf_dir, t), y).select(F.lit(t).alias("table_name"), "*")
         out = k if out is None else out.unionByName(k)
     return out
+
+
+# -- A4-A7, K2: a profile brought up to date by new rows ---------------------------
+
+_STATE_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
+_STATE_TEXT = ["o_orderstatus", "o_orderpriority"]
+
+
+def _state_sql() -> str:
+    nums = [f"""SELECT '{c}' AS column, count(*) AS n_rows, count(*) - count({c}) AS n_missing,
+       min({c})::DECIMAL(38,4) AS min, max({c})::DECIMAL(38,4) AS max, round(avg({c}), 4) AS mean,
+       NULL::BIGINT AS unique_count, NULL::VARCHAR AS examples FROM orders""" for c in _STATE_NUM]
+    texts = [f"""SELECT '{c}', (SELECT count(*) FROM orders), (SELECT count(*) - count({c}) FROM orders), NULL, NULL, NULL,
+       (SELECT count(DISTINCT {c}) FROM orders),
+       (SELECT string_agg({c} || '=' || n, ';' ORDER BY n DESC, {c}) FROM (
+          SELECT {c}, count(*) AS n FROM orders GROUP BY {c} ORDER BY n DESC, {c} LIMIT 3))""" for c in _STATE_TEXT]
+    return " UNION ALL ".join(nums + texts)
+
+
+@query("profile_appended", _state_sql())
+def profile_appended(spark, sf_dir):
+    """Orders arrive in three parts; the stored state grows by each, and the
+    profile of all rows is read from it alone."""
+    path = f"{checkpoint_dir(spark)}/profile-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select(*_STATE_NUM, *_STATE_TEXT)
+    for part in range(3):
+        write_state(profile_state(orders.filter(F.col("o_orderkey") % 3 == part)), path)
+    p = state_profile(stored_state(spark, path))
+    text = F.col("column").isin(_STATE_TEXT)
+    shown = F.array_join(F.transform("cell_examples", lambda r: F.concat(r["value"], F.lit("="), r["n"].cast("string"))), ";")
+    return p.select("column", "n_rows", "n_missing", "min", "max", F.round("mean", 4).alias("mean"),
+                    F.when(text, F.col("unique_count")).alias("unique_count"), F.when(text, shown).alias("examples"))
