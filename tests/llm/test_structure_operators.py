@@ -51,6 +51,26 @@ def test_search_edges(spark):
     assert {q: sorted(v) for q, v in got.items()} == {0: [1, 2, 3], 100: [0, 1, 2], 200: [0, 1, 2]}
 
 
+def test_search_ties_and_large_values(spark):
+    one_hot = [(i, [float(i == j) for j in range(1, 65)]) for i in range(1, 65)]
+    df = spark.createDataFrame(one_hot, "vec_id long, embedding array<float>")
+    got = {}
+    for r in vector_search.nearest(df, F.col("id") % 16 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {16: list(range(1, 11)), 32: list(range(1, 11)), 48: list(range(1, 11)), 64: list(range(1, 11))}
+    # squares beyond single precision
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(300, 8)) * 1e20).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = vector_search.nearest(df, F.col("id") % 10 == 0).collect()
+    assert len(rows) == 300
+    hit = 0
+    for q in range(0, 300, 10):
+        d = np.linalg.norm(x.astype(np.float64) - x[q].astype(np.float64), axis=1)
+        hit += len({r.vec_id for r in rows if r.query_id == q} & set(np.argsort(d)[1:11].tolist()))
+    assert hit >= 0.9 * 300
+
+
 def test_graph_walk_finds_the_nearest_centres():
     rng = np.random.default_rng(1)
     c = vector_search.train_centroids(rng.normal(size=(2000, 16)), 100)

@@ -224,6 +224,21 @@ def test_sentencepiece_edges(edge, nothing):
     assert sentencepieces.encode_pieces(nothing, path).count() == 0
 
 
+def test_signs_that_are_no_letters_have_no_language():
+    for t in ("½ ² ①", "ⅷ", "12 _ ½a½"):
+        assert language_crf.words_of(t) == (["½a½"] if "a" in t else [])
+        assert len(language_crf.places_of(t)) == len(language_crf.words_of(t))
+
+
+def test_texts_are_drawn_by_hash_whatever_the_share(spark):
+    # one language has most rows, many of them with one id
+    rows = [(i % 4000, f"alpha beta {i % 7}", "big") for i in range(6000)] + [(9000 + i, "gamma delta", "small") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_crf.fit(df, F.lit(True), sample=40)
+    got = {r.lang_pred for r in language_crf.identify(spark.createDataFrame([(1, "beta"), (2, "gamma")], "doc_id long, text string"), model).collect()}
+    assert sorted(model.labels) == ["big", "small"] and got == {"big", "small"}
+
+
 # -- packing ----------------------------------------------------------------
 
 def test_word_encoder_equals_the_tokenizer():

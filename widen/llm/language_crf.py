@@ -175,13 +175,18 @@ def shares(gamma: np.ndarray, letters: np.ndarray, lengths: np.ndarray, fall: fl
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall((text or "").lower())
+    return [w for w in _WORDS.findall((text or "").lower()) if w.isalpha() or _has_letter(w)]
+
+
+def _has_letter(word: str) -> bool:
+    """Not a fraction, a raised figure or a figure in a circle alone."""
+    return any(map(str.isalpha, word))
 
 
 def places_of(text: str) -> list[tuple[int, int]]:
     """(start, one past the end) in ``text`` of each of its words."""
     low = text.lower()
-    spans = [m.span() for m in _WORDS.finditer(low)]
+    spans = [m.span() for m in _WORDS.finditer(low) if _has_letter(m.group())]
     if len(low) != len(text):  # a few capitals are two characters in lower case
         at = [i for i, c in enumerate(text) for _ in c.lower()]
         spans = [(at[a], at[b - 1] + 1) for a, b in spans]
@@ -306,9 +311,15 @@ def fit(docs: DataFrame, learn: Column, sample: int = 250, id_col: str = "doc_id
     for each of its languages, with the text of the least hash, so that no more
     than that is read however often ids repeat."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(id_col).isNotNull())
-    order = W.partitionBy(lang).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
-    chosen = (rows.select(id_col, lang).distinct().withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample)
-              .select(F.col(id_col).alias("__id"), F.col(lang).alias("__lang")).collect())
+    ids = rows.select(F.col(id_col).alias("__id"), F.col(lang).alias("__lang"),
+                      F.xxhash64(F.col(id_col).cast("string")).alias("__h"))
+    # a hash share first, about three times what is wanted: a language of a third of all rows sends no more
+    share = ids.groupBy("__lang").agg((F.lit(3.0 * sample + 30) / F.approx_count_distinct("__id")).alias("__share"))
+    drawn = ids.join(share, "__lang").where(
+        (F.col("__share") >= 1) | (F.col("__h") < F.lit(-2.0**63) + F.col("__share") * F.lit(2.0**64)))
+    order = W.partitionBy("__lang").orderBy("__h", "__id")
+    chosen = (drawn.select("__id", "__lang", "__h").distinct().withColumn("__n", F.row_number().over(order))
+              .where(F.col("__n") <= sample).select("__id", "__lang").collect())
     wanted = {(r["__id"], r["__lang"]) for r in chosen}
     one = F.min_by(text, F.xxhash64(text)).alias(text)
     found = (rows.where(F.col(id_col).isin([i for i, _ in wanted])).groupBy(id_col, lang).agg(one).collect()

@@ -47,7 +47,7 @@ class Centroids:
         beam, width = min(beam, k), min(width, k)
         norms = (self.points ** 2).sum(1)
         rows = np.arange(n)[:, None]
-        found = np.full((n, k), np.inf, np.float32)
+        found = np.full((n, k), np.inf)
         done = np.zeros((n, k), bool)
 
         def measure(on, cols):
@@ -73,7 +73,7 @@ class Centroids:
 
 def train_centroids(sample: np.ndarray, lists: int, rounds: int = 8, degree: int = 16, seed: int = 5) -> Centroids:
     """k-means of ``lists`` centres, large clusters halved, and their graph."""
-    x = sample.astype(np.float32)
+    x = sample.astype(np.float64)  # squares of single precision components overflow
     rng = np.random.default_rng(seed)
     k = max(1, min(lists, len(x), MAX_LISTS))
     c = x[rng.choice(len(x), k, replace=False)].copy()
@@ -89,7 +89,7 @@ def train_centroids(sample: np.ndarray, lists: int, rounds: int = 8, degree: int
         size = np.bincount(own, minlength=len(c))
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
-        c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c).astype(np.float32)
+        c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c)
         # balance: the smallest centres move beside the largest clusters
         large = np.argsort(-size)[:max(1, k // 16)]
         large = large[size[large] > 2 * len(x) / k]
@@ -118,7 +118,7 @@ def _near_lists(vectors: DataFrame, ids: list[str], centroids: Centroids, ratio:
             for at in range(0, b.num_rows, batch):
                 s = b.slice(at, batch)
                 x = s.column(s.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(s.num_rows, -1)
-                d = centroids.distances(x.astype(np.float32), ratio, beam)
+                d = centroids.distances(x.astype(np.float64), ratio, beam)
                 hit = d <= d.min(1, keepdims=True) * (1 + ratio)
                 if least > 1:
                     n = min(least, d.shape[1])
@@ -181,7 +181,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
     n = posted.count()
     # about ``sample`` hashes in n fall below it; tasks send only what is drawn
     drawn = posted.where(F.pmod(F.xxhash64("vec"), F.lit(max(n, 1))) < sample).select("id", "vec").toArrow().sort_by("id")
-    x = np.stack([np.asarray(v, np.float32) for v in drawn.column(1).to_pylist()])
+    x = np.stack([np.asarray(v, np.float64) for v in drawn.column(1).to_pylist()])
     centroids = train_centroids(x, lists or int(np.clip(np.sqrt(n), 16, MAX_LISTS)))
 
     posting = _near_lists(posted, ["id", "ids"], centroids, spread, 2 * replicas, replicas)
@@ -215,18 +215,22 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
                 q, ids = a.field(0).to_numpy(), p.field(0)
                 qx = a.field(1).flatten().to_numpy().astype(np.float64).reshape(len(a), -1)
                 px = p.field(1).flatten().to_numpy().astype(np.float64).reshape(len(p), -1)
-                rough = (qx ** 2).sum(1)[:, None] - 2 * qx @ px.T + (px ** 2).sum(1)
-                m = min(k + 4, len(px))  # some spare for the order of near-equal distances
-                near = np.argpartition(rough, m - 1, axis=1)[:, :m]
-                exact = np.sqrt(((qx[:, None, :] - px[near]) ** 2).sum(2))
+                qq, pp = (qx ** 2).sum(1)[:, None], (px ** 2).sum(1)
+                rough = qq - 2 * qx @ px.T + pp
+                # all that may be as near as the k-th, the query itself not counted: ties too
+                m = min(k + 1, len(px))
+                limit = np.partition(rough, m - 1, axis=1)[:, m - 1:m] + 1e-11 * (qq + pp.max())
+                asked_at, near = np.nonzero(rough <= limit)
+                exact = np.concatenate([np.empty(0), *(
+                    np.sqrt(((qx[asked_at[j:j + 8192]] - px[near[j:j + 8192]]) ** 2).sum(1)) for j in range(0, len(near), 8192))])
                 counts = np.diff(ids.offsets.to_numpy())
                 starts = np.r_[0, np.cumsum(counts)[:-1]]
                 flat = ids.flatten().to_numpy()
-                times = counts[near].ravel()
-                at = np.repeat(starts[near].ravel() - np.cumsum(times) + times, times) + np.arange(times.sum())
-                qs, vs = np.repeat(np.repeat(q, m), times), flat[at]
+                times = counts[near]
+                at = np.repeat(starts[near] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                qs, vs, exact = np.repeat(q[asked_at], times), flat[at], np.repeat(exact, times)
                 own = qs != vs
-                held.append((qs[own], vs[own], np.repeat(exact.ravel(), times)[own]))
+                held.append((qs[own], vs[own], exact[own]))
                 count += len(vs)
                 if count > 400_000:
                     held = [compact()]
