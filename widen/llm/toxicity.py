@@ -62,7 +62,7 @@ SPAN = 7
 WINDOW = 24
 SAMPLED_CHARS = 1_000
 #: Bound of each generation of the word cache of a worker, in words.
-CACHE = 250_000
+CACHE = 450_000
 #: Longer words are scored but not kept.
 CACHED_CHARS = 64
 #: Longer words are cut.
@@ -461,7 +461,7 @@ def _shared_cache(run: str) -> Kept:
 
 
 def score_texts(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text",
-                batch_chars: int = 1_000_000) -> DataFrame:
+                batch_chars: int = 3_000_000) -> DataFrame:
     """Input columns, score, predicted and worst: the sentence that decides."""
     low = {*RESULT}
     kept = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in low]
