@@ -10,15 +10,19 @@ row-preserving join (lazy) and scores it (model jobs on executors). An
 accepted table is checkpointed to the session's checkpoint folder so lineage
 does not grow with the rounds and a lost executor does not replay them.
 History rows (rounds x methods) are the only thing kept on the driver; with a
-``history_path`` each round's rows are written as soon as the round is over, so
-a later failure loses nothing.
+``history_path`` each round is committed to a log as soon as it is over, and a
+run that was stopped goes on from there.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +39,8 @@ from widen.operators.select import (
 )
 from widen.plans.evaluate import Score, default_scorer
 from widen.session import checkpoint_dir
-from widen.sources.tables import TableRef
+from widen.sources.catalog import PoolEntry
+from widen.sources.tables import TableRef, write_report, write_rounds
 
 # The columns of the round log.
 HISTORY_SCHEMA = ("round int, augment_table string, augment_table_size bigint, method string, "
@@ -88,56 +93,182 @@ def _materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def run(base: DataFrame, target: str, key: str, pool: list[TableRef], methods=METHODS, scorer=None,
+class RunLog:
+    """The history of a run on disk, a round at a time.
+
+    A round's rows are written under a number of their own, and then one row
+    that commits them; rows without a commit, of a run that was stopped while it
+    wrote, are not seen. A later run with the same log goes on behind the last
+    committed round.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _read(self, part: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.path}/{part}")
+        except AnalysisException as e:  # nothing was written yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+
+    def history(self) -> DataFrame | None:
+        """Rows of the committed rounds."""
+        commits, rows = self._read("commits"), self._read("rounds")
+        if commits is None or rows is None:
+            return None
+        return rows.join(F.broadcast(commits.select("attempt")), "attempt", "left_semi").drop("attempt")  # a row a round
+
+    def add(self, rows: DataFrame, r: int) -> None:
+        attempt = f"{r}-{uuid.uuid4().hex}"
+        rows.coalesce(1).withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.path}/rounds")
+        commit = self.spark.createDataFrame([(r, attempt)], "round int, attempt string")
+        commit.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
+
+def _opened(entry) -> TableRef:
+    return entry.table() if isinstance(entry, PoolEntry) else entry
+
+
+def _replayed(base: DataFrame, states: dict, tables: list, done: list) -> None:
+    """Brings the states to where the logged rounds left them: the accepted
+    columns are joined anew, and nothing is scored."""
+    for m, st in states.items():
+        df = base
+        for row in sorted((r for r in done if r.method == m and r.accepted), key=lambda r: r.round):
+            joined = row.current_features[len(st.features):]
+            df = augment(df, _opened(tables[row.round - 1]), list(joined))
+            st.features, st.score = list(row.current_features), replace(st.score, value=row.score)
+        if st.features:
+            st.df = _materialise(df)
+
+
+def run(base: DataFrame, target: str, key: str, pool: list, methods=METHODS, scorer=None,
         seed: int = 42, order: str = "catalog_desc", recommendations: DataFrame | None = None,
-        verdicts: DataFrame | None = None, history_path: str | None = None) -> DataFrame:
+        verdicts: DataFrame | None = None, history_path: str | None = None, parallel: int = 4) -> DataFrame:
     """G1: greedy augmentation; returns the history (one row per round and method).
 
-    The table order follows the catalog (``catalog_desc``: last first, as the
-    reference pops its list). The baseline is scored once and shared (G4).
-    ``recommendations`` (R2) serve the method ``recommended``, after ``verdicts``
-    (R3, F10) where given. With ``history_path`` the history is written there
-    round by round and the returned frame reads it.
+    ``pool`` holds tables, or catalog entries (:func:`widen.sources.catalog.load_pool`),
+    which are in visiting order and opened when their round comes; one that does
+    not open, or a method that fails, is logged and passed over. Tables are
+    visited by ``order`` (``catalog_desc``: last first, as the reference pops its
+    list). The baseline is scored once and shared (G4). ``recommendations`` (R2)
+    serve the method ``recommended``, after ``verdicts`` (R3, F10) where given.
+
+    The methods of a round are independent: ``parallel`` of them are submitted at
+    a time, and methods that stand at the same columns and choose the same ones
+    are joined and scored once.
+
+    With ``history_path`` each round is logged there and committed as it ends,
+    and a run that finds a log goes on behind its last round, with the accepted
+    columns replayed from it.
     """
     spark: SparkSession = base.sparkSession
     task = task_of(base, target)
     scorer = scorer or default_scorer(base, target)
     if recommendations is not None and verdicts is not None:
         recommendations = gate_tables(recommendations, verdicts)
-    baseline = scorer(base, target, key)
+    tables = list(pool)
+    if order == "catalog_desc" and not any(isinstance(t, PoolEntry) for t in tables):
+        tables.reverse()
+    log = RunLog(spark, history_path) if history_path else None
+    logged = log.history() if log else None
+    done = logged.collect() if logged is not None else []  # rounds x methods rows
+    if done:
+        first = done[0]
+        baseline = Score(first.initial_score, first.higher_is_better, first.metric)
+    else:
+        baseline = scorer(base, target, key)
     states = {m: MethodState(base, baseline, []) for m in methods}
-    tables = list(reversed(pool)) if order == "catalog_desc" else list(pool)
+    _replayed(base, states, tables, done)
 
     def described(rows) -> DataFrame:
         hist = spark.createDataFrame(rows, HISTORY_SCHEMA)  # rounds x methods rows
-        return hist.withColumn("initial_score", F.lit(baseline.value)).withColumn(
-            "initial_features", F.lit(len(base.columns))).withColumn("higher_is_better", F.lit(baseline.higher_is_better))
+        return (hist.withColumn("initial_score", F.lit(baseline.value))
+                .withColumn("initial_features", F.lit(len(base.columns)))
+                .withColumn("higher_is_better", F.lit(baseline.higher_is_better)).withColumn("metric", F.lit(baseline.metric)))
 
-    rows = []
-    for r, t in enumerate(tables, start=1):
-        for m in methods:
-            st = states[m]
-            stamp = _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds")
+    def stamp():
+        return _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds")
+
+    def failed(r, entry, m, e):
+        st = states[m]
+        return (r, entry.name, entry.size, m, [], 0, 0, None, None, False, len(st.features), list(st.features),
+                f"{type(e).__name__}: {e}", stamp())
+
+    def one_round(r: int, entry) -> list:
+        try:
+            t = _opened(entry)
+            t.df.schema  # a table that cannot be read fails here
+        except Exception as e:  # noqa: BLE001 - a table that fails must not end the run
+            return [failed(r, entry, m, e) for m in methods]
+        chosen_by, errors = {}, {}
+
+        def choose(m):
+            try:
+                chosen_by[m] = select_features(m, states[m].df, t, target, task, seed + r, recommendations)
+            except Exception as e:  # noqa: BLE001 - errors are isolated per method and round
+                errors[m] = e
+
+        def score(group):
+            st, feats = states[group[0]], chosen_by[group[0]]
             try:
-                feats = select_features(m, st.df, t, target, task, seed + r, recommendations)
                 wide, sc, joined = evaluate(st, t, feats, target, key, scorer)
                 imp = sc.improvement(st.score)
                 ok = bool(joined) and imp > 0
-                if ok:
-                    st.df, st.score = _materialise(wide), sc
-                    st.features = st.features + joined
-                rows.append((r, t.name, t.size, m, feats, len(feats), len(joined), sc.value, imp, ok,
-                             len(st.features), list(st.features), None, stamp))
-            except Exception as e:  # noqa: BLE001 - errors are isolated per method and round
-                rows.append((r, t.name, t.size, m, [], 0, 0, None, None, False, len(st.features),
-                             list(st.features), f"{type(e).__name__}: {e}", stamp))
-        if history_path:
-            described(rows[-len(methods):]).write.mode("append" if r > 1 else "overwrite").parquet(history_path)
-    if history_path and tables:
-        return spark.read.parquet(history_path)
+                return group, (_materialise(wide) if ok else None, sc, joined, imp, ok)
+            except Exception as e:  # noqa: BLE001
+                return group, e
+
+        with ThreadPoolExecutor(max(1, parallel)) as threads:
+            list(threads.map(inheritable_thread_target(spark)(choose), methods))
+            groups: dict = {}
+            for m in methods:
+                if m in chosen_by:
+                    groups.setdefault((tuple(states[m].features), tuple(chosen_by[m])), []).append(m)
+            scored = {m: out for group, out in threads.map(inheritable_thread_target(spark)(score), groups.values()) for m in group}
+        rows = []
+        for m in methods:
+            out = errors.get(m) or scored[m]
+            if isinstance(out, Exception):
+                rows.append(failed(r, entry, m, out))
+                continue
+            (wide, sc, joined, imp, ok), st, feats = out, states[m], chosen_by[m]
+            if ok:
+                st.df, st.score, st.features = wide, sc, st.features + joined
+            rows.append((r, t.name, t.size, m, feats, len(feats), len(joined), sc.value, imp, ok, len(st.features),
+                         list(st.features), None, stamp()))
+        return rows
+
+    rows = []
+    for r, entry in enumerate(tables, start=1):
+        if any(x.round == r for x in done):
+            continue
+        own = one_round(r, entry)
+        rows += own
+        if log:
+            log.add(described(own), r)
+    if log and (rows or done):
+        return log.history()
     return described(rows)
 
 
+def round_log(history: DataFrame) -> DataFrame:
+    """One row per round in the form of the log files: ``round, augment_table,
+    augment_table_size, timestamp, methods_results``."""
+    fields = [c for c in ("method", "selected_features", "num_features", "num_joined", "score", "improvement", "accepted",
+                          "current_features_num", "current_features", "error") if c in history.columns]
+    return history.groupBy("round", "augment_table", "augment_table_size").agg(
+        F.max("timestamp").alias("timestamp"), F.sort_array(F.collect_list(F.struct(*fields))).alias("methods_results"))
+
+
+def write_run(history: DataFrame, path: str) -> None:
+    """The round log, one JSON folder per round, and the final report."""
+    write_rounds(round_log(history), f"{path}/rounds")
+    write_report(compare(history), f"{path}/final")
+
+
 def accept_history(evals: DataFrame, initial: float, higher_is_better: bool = True) -> DataFrame:
     """G3 from candidate scores alone: a round is accepted when it beats the
     best score so far (the initial score or any earlier accepted round).
@@ -167,7 +298,8 @@ def method_status(history: DataFrame) -> DataFrame:
 
 def compare(history: DataFrame) -> DataFrame:
     """Per method final score, total improvement, features added, rounds
-    improved and the accepted history, best improvement first."""
+    improved, the accepted history and the names of the accepted features (where
+    the history has them), best improvement first."""
     init = F.first("initial_score")
     acc = F.col("accepted")
     per = history.groupBy("method").agg(
@@ -178,13 +310,16 @@ def compare(history: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(acc, F.struct("round", F.col("num_joined").alias("features_added"),
                                                            "score", "improvement")))).alias("performance_history"),
         F.first("higher_is_better").alias("higher_is_better"),
+        *([F.coalesce(F.max_by("current_features", F.when(acc, F.col("round"))), F.array().cast("array<string>"))
+           .alias("feature_history")] if "current_features" in history.columns else []),
     )
     final = F.coalesce("last_accepted", "initial_score")
     gain = F.when(F.col("higher_is_better"), final - F.col("initial_score")).otherwise(F.col("initial_score") - final)
     return per.select("method", final.alias("final_score"), gain.alias("total_improvement"),
                       F.col("features_added").cast("int").alias("features_added"),
                       F.col("rounds_improved").cast("int").alias("rounds_improved"),
-                      "performance_history").orderBy(F.desc("total_improvement"), "method")
+                      "performance_history", *[c for c in ("feature_history",) if c in per.columns]).orderBy(
+        F.desc("total_improvement"), "method")
 
 
 def best(report: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ from widen.plans.loop import METHODS, RECOMMENDED, accept_history, best, compare
 from widen.plans.q_select import DOC_SHARES, DOC_SHARES_SQL, document_shares
 from widen.plans.registry import query, table
 from widen.session import checkpoint_dir
-from widen.sources.tables import TableRef, zip_columns
+from widen.sources.catalog import find_joinable, ingest_search_results, load_pool, to_search_results
+from widen.sources.tables import zip_columns
 
 
 def _docs(spark, sf_dir):
@@ -116,19 +117,25 @@ def model_search(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    """A run over the pool, logged round by round in the checkpoint folder.
-    Each query runs the loop itself; none reads another one's log."""
+    """A run over the tables that the catalog names, logged round by round in the
+    checkpoint folder. The catalog comes from the value search. Each query runs
+    the loop itself; none reads another one's log."""
     base = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    pool = [
-        TableRef("orders", table(spark, sf_dir, "orders"), ["c_custkey"], ["o_custkey"]),
-        TableRef("nation", table(spark, sf_dir, "nation"), ["c_nationkey"], ["n_nationkey"]),
-        TableRef("events", table(spark, sf_dir, "events"), ["c_custkey"], ["user_id"]),
-    ]
-    wanted = _recommended(spark, pool)
+    lake = {name: table(spark, sf_dir, name) for name in ("orders", "events", "nation")}
+    keys = {"orders": ["o_custkey"], "events": ["user_id"], "nation": ["n_nationkey"]}
+    found = find_joinable(base, {n: df.select(*keys[n], *[c for c in df.columns if c not in keys[n] and c not in _KEY_LIKE])
+                                 for n, df in lake.items()}, ["c_custkey", "c_nationkey"], min_score=0.0)
+    catalog = ingest_search_results(to_search_results(found))
+    pool = load_pool(catalog, lake.__getitem__, policy="score")
+    wanted = _recommended(spark, [p.table() for p in pool])
     return run(base, "c_mktsegment", "c_custkey", pool, methods=(*METHODS, RECOMMENDED), scorer=score_rf,
                recommendations=wanted, history_path=f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}")
 
 
+# columns of whole numbers and texts that are no keys of the customers
+_KEY_LIKE = ("o_orderkey", "o_orderstatus", "o_orderpriority", "event_id", "event_type", "props", "n_name", "n_regionkey")
+
+
 def _recommended(spark, pool):
     """Recommendations as the reply ingestion gives them, from the tables: the
     columns with few enough values to be told apart by a model."""
@@ -153,13 +160,13 @@ def method_status_q(spark, sf_dir):
 
 @query("compare_methods")
 def compare_methods(spark, sf_dir):
-    return compare(_history(spark, sf_dir)).withColumn(
-        "performance_history", F.to_json("performance_history"))
+    return compare(_history(spark, sf_dir)).withColumn("performance_history", F.to_json("performance_history")).withColumn(
+        "feature_history", F.to_json("feature_history"))
 
 
 @query("best_method")
 def best_method(spark, sf_dir):
-    return best(compare(_history(spark, sf_dir))).drop("performance_history")
+    return best(compare(_history(spark, sf_dir))).drop("performance_history", "feature_history")
 
 
 # -- G3, G6-G8 on scores that SQL can compute -----------------------------------

@@ -7,12 +7,16 @@ join_key, description``. Here it is a DataFrame from start to end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from widen.functions.ranking import global_rank
 from widen.functions.columns import NUMERIC, STRING, as_list, classes, col, field_types
+from widen.sources.tables import TableRef
 
 # Fixed values that must equal the reference's.
 MIN_SCORE = 0.5
@@ -224,3 +228,39 @@ def next_table(catalog: DataFrame, policy: str = "catalog_desc", order_col: str
     else:
         raise ValueError(f"unknown policy {policy!r}")
     return global_rank(catalog, order)
+
+
+@dataclass(frozen=True)
+class PoolEntry:
+    """A catalog row as a table of the pool, opened when its turn comes."""
+
+    name: str
+    left_keys: tuple
+    right_keys: tuple
+    score: float | None
+    size: int | None
+    description: str | None
+    open_table: Callable[[str], DataFrame]
+
+    def table(self) -> TableRef:
+        return TableRef(self.name, self.open_table(self.name), list(self.left_keys), list(self.right_keys), score=self.score,
+                        size=self.size, description=self.description)
+
+
+def load_pool(catalog: DataFrame, open_table: Callable[[str], DataFrame], available: DataFrame | None = None,
+              policy: str = "catalog_desc", order_col: str | None = None, one_per_dataset: bool = True) -> list[PoolEntry]:
+    """C3 + G5: the catalog's tables in visiting order, none of them opened yet.
+
+    Rows of datasets that are not ``available`` (``dataset_name``) fall out; of a
+    dataset's rows the best by score, then id, stays unless ``one_per_dataset``
+    is off. Catalog rows reach the driver: they are what the loop is made of.
+    """
+    if available is not None:
+        catalog = prune(catalog, available)
+    if one_per_dataset:
+        first = F.expr("row_number() OVER (PARTITION BY dataset_name ORDER BY score DESC, id)")
+        catalog = catalog.withColumn("__best", first).filter(F.col("__best") == 1).drop("__best")
+    ranked = next_table(clean_key_names(catalog), policy, order_col)
+    rows = sorted(ranked.select("rank", "dataset_name", "left_keys", "right_keys", "score", "size", "description").collect())
+    return [PoolEntry(r.dataset_name, tuple(r.left_keys), tuple(r.right_keys), r.score, r["size"], r.description, open_table)
+            for r in rows]
