@@ -147,7 +147,10 @@ class Landmarks:
                 k = np.bincount(cells, np.repeat(value, sizes) * self.values[inner], minlength=n * self.many)
             else:
                 k = np.zeros(n * self.many)
-            yield start, k.reshape(n, self.many) ** POWER
+            power = k.copy()
+            for _ in range(POWER - 1):  # much faster than a power of floats
+                power *= k
+            yield start, power.reshape(n, self.many)
 
     def kernels(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word number, landmark, kernel) where the kernel is not 0."""
