@@ -499,8 +499,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
                     values, flags = found["value"].astype(np.float64), found["flags"]
                     starts = sentence_starts(flags)
                     sums = distinct_sums(values, starts)
-                    if (flags & STANDS_ALONE).sum() > 2:
-                        runs = lone_letters(own, flags)
+                    if (flags & STANDS_ALONE).sum() > 2 and (runs := lone_letters(own, flags)):
                         for (i, _), v in zip(runs, model.words([folded(r) for _, r in runs])):
                             sums[np.searchsorted(starts, i, "right") - 1] += v
                     k = int(sums.argmax())
