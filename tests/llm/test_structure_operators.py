@@ -207,9 +207,10 @@ def shingles(t, n):
     return frozenset(zip(*(w[k:] for k in range(n)))) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("n, num, block", [(3, 90, 200_000), (5, 80, 300)])
-def test_jaccard_components_match_brute_force(spark, monkeypatch, n, num, block):
+@pytest.mark.parametrize("n, num, block, mask", [(3, 90, 200_000, 2**64 - 1), (5, 80, 300, 2**64 - 1), (3, 90, 200_000, 15)])
+def test_jaccard_components_match_brute_force(spark, monkeypatch, n, num, block, mask):
     monkeypatch.setattr(jaccard, "BLOCK", block)  # small blocks: bands, many block pairs
+    monkeypatch.setattr(jaccard, "KEY_MASK", mask)  # few bits: different sets with one key
     rnd = random.Random(num)
     vocab = [f"w{i}" for i in range(300)]
     base = [[rnd.choice(vocab) for _ in range(rnd.choice([1, 2, 4, 20, 60, 150]))] for _ in range(10)]

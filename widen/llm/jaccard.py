@@ -9,11 +9,13 @@ follow from the set sizes keep the blocks small, and none drops a link:
   than that, so linked sets agree on a whole part. Documents that share the
   checksum of no part have no link; chains of shared parts make clusters, and
   entries outside a cluster's block are zero.
-* Own members. In a large cluster, a set of n with more than n - t n members that
-  no other set of the cluster has is linked with none.
-* Sizes. Sets whose sizes differ by more than t are never linked: a large
-  cluster is cut into bands of sizes and bands into blocks of bounded weight, and
-  only blocks of equal or neighbouring bands are multiplied.
+* Own members. A set of n with more than n - t n members that no other set of its
+  cluster has is linked with none. That takes sets out again which only chains of
+  common passages brought in, before any set is dealt to a block.
+* Sizes. Sets whose sizes differ by more than t are never linked: what a cluster
+  keeps is cut into bands of sizes, if it is more than one block holds, and bands
+  into blocks of bounded weight; only blocks of equal or neighbouring bands are
+  multiplied.
 
 A task multiplies one pair of blocks in strips of rows of a bounded number of
 pairs, however many small sets the blocks hold, adds up overlaps over runs of
@@ -44,6 +46,8 @@ from widen.llm.components import components
 #: Bound of the word cache of a task, in entries, of a block, in members, and of
 #: a strip of a product, in pairs of sets: that bounds memory, not the result.
 CACHE, BLOCK, PAIRS = 500_000, 200_000, 4_000_000
+#: Bits of the first signature; fewer only in tests of equal ones.
+KEY_MASK = (1 << 64) - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -160,6 +164,8 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 def sketches(docs: DataFrame, n: int, bound: Bound, id_col: str, text: str) -> DataFrame:
     """id, size, key and check (a 128-bit signature of the set), text hash, and
     the part checksums."""
+    mask = KEY_MASK
+
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -169,7 +175,7 @@ def sketches(docs: DataFrame, n: int, bound: Bound, id_col: str, text: str) -> D
                 order = np.argsort(owner, kind="stable")
                 at = np.r_[0, np.cumsum(size)]
                 raw = [gram[at[i]:at[i + 1]].tobytes() for i in range(stop - start)]
-                key = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64)
+                key = np.array([xxhash.xxh3_64_intdigest(r) & mask for r in raw], np.uint64)
                 check = np.array([xxhash.xxh64_intdigest(r, 7) for r in raw], np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(start, stop - start), _longs(size), _longs(key), _longs(check),
@@ -224,8 +230,8 @@ def _part_edges(sketched: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
-    """(key, cluster, weight, size, set) of the sets in ``wanted``, from one
-    text each. Texts are compressed for the shuffle."""
+    """(key, cluster, set) of the sets in ``wanted`` (id, text_hash, key,
+    cluster), from one text each. Texts are compressed for the shuffle."""
     def packed(batches):
         for b in batches:
             raw = [pa.compress(t.encode(), "zstd", asbytes=True) for t in b.column(2).to_pylist()]
@@ -237,12 +243,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text: str) ->
         F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     rows = rows.mapInArrow(packed, f"id {kind}, text_hash long, packed binary, bytes long")
-    texts = (rows.join(wanted, ["id", "text_hash"]).groupBy("id", "text_hash")
-             .agg(*[F.first(c).alias(c) for c in ("packed", "bytes", "key", "cluster", "weight")]))
+    texts = (rows.join(wanted.select("id", "text_hash", "key", "cluster"), ["id", "text_hash"]).groupBy("id", "text_hash")
+             .agg(*[F.first(c).alias(c) for c in ("packed", "bytes", "key", "cluster")]))
 
     def run(batches):
         for b in batches:
-            raw, sizes = b.column(3).to_pylist(), b.column(4).to_pylist()
+            raw, sizes = b.column(2).to_pylist(), b.column(3).to_pylist()
             at = 0
             while at < len(raw):
                 stop, held = at, 0
@@ -253,35 +259,36 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text: str) ->
                        for r, k in zip(raw[at:stop], sizes[at:stop])]
                 gram, size = shingle_sets(own, n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(k).slice(at, stop - at) for k in range(3)] + [_longs(size), _lists(gram, size)],
-                    ["key", "cluster", "weight", "size", "set"])
+                    [b.column(k).slice(at, stop - at) for k in range(2)] + [_lists(gram, size)], ["key", "cluster", "set"])
                 at = stop
 
-    return texts.select("key", "cluster", "weight", "packed", "bytes").mapInArrow(
-        run, "key long, cluster long, weight long, size long, `set` array<long>")
+    return texts.select("key", "cluster", "packed", "bytes").mapInArrow(run, "key long, cluster long, `set` array<long>")
 
 
-def _dealt(sets: DataFrame, bound: Bound) -> DataFrame:
-    """Rows with the pair of blocks (cluster, p, q) that they are multiplied in,
-    and their side (0, 1, or 2 for a block with itself)."""
-    none = F.lit(0).cast("long")
-    small = sets.where(F.col("weight") <= BLOCK).select("cluster", none.alias("p"), none.alias("q"),
-                                                        F.lit(2).alias("side"), "key", "size", "set")
-    large = sets.where(F.col("weight") > BLOCK)
-    # own members are counted among a third of all by hash: that can only be too few
-    members = large.select("cluster", "key", F.explode(F.filter("set", lambda x: F.pmod(x, F.lit(3)) == 0)).alias("m"))
+def _live(wanted: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
+    """Rows of ``wanted`` whose sets may have a link by their own members."""
+    # counted among a third of all members by hash: that can only be too few
+    members = sets.select("cluster", "key", F.explode(F.filter("set", lambda x: F.pmod(x, F.lit(3)) == 0)).alias("m"))
     lone = (members.groupBy(F.xxhash64("cluster", "m").alias("m")).agg(F.count("*").alias("n"), F.min("key").alias("key"))
             .where("n = 1").groupBy("key").agg(F.count("*").alias("own")))
     slack = F.expr(f"size - (size * {bound.num} + {bound.den - 1}) div {bound.den}")
-    live = (large.select("cluster", "key", "size").join(lone, "key", "left")
-            .where(F.coalesce("own", F.lit(0)) <= slack)
-            .withColumn("band", F.floor(F.log(F.col("size").cast("double")) / float(np.log(bound.den / bound.num))))
-            .checkpoint())
-    blocks = live.groupBy("cluster", "band").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    return wanted.join(lone, "key", "left").where(F.coalesce("own", F.lit(0)) <= slack).drop("own")
+
+
+def _places(live: DataFrame, bound: Bound) -> DataFrame:
+    """(key, to): the pairs of blocks (p, q) that each set is multiplied in, and
+    its side there (0, 1, or 2 for a block with itself)."""
+    weight = live.groupBy("cluster").agg(F.sum("size").alias("weight"))
+    weighed = live.join(weight, "cluster").select("cluster", "key", "size", "weight")
+    one = F.array(F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(2).alias("side")))
+    small = weighed.where(F.col("weight") <= BLOCK).select("key", one.alias("to"))
+    large = weighed.where(F.col("weight") > BLOCK).withColumn(
+        "band", F.floor(F.log(F.col("size").cast("double")) / float(np.log(bound.den / bound.num))))
+    blocks = large.groupBy("cluster", "band").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
     above = blocks.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = blocks.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     plan = blocks.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left")
-    x = live.join(plan, ["cluster", "band"]).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    x = large.join(plan, ["cluster", "band"]).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
     # a block is named by band and number
     name = "shiftleft(cast({} as bigint), 24) + {}"
     to = f"""
@@ -293,9 +300,14 @@ def _dealt(sets: DataFrame, bound: Bound) -> DataFrame:
           'p', {name.format('band', 'i')}, 'q', {name.format('(band + 1)', 'j')}, 'side', 0)) END,
         CASE WHEN below IS NULL THEN array() ELSE transform(sequence(0L, below - 1), j -> named_struct(
           'p', {name.format('(band - 1)', 'j')}, 'q', {name.format('band', 'i')}, 'side', 1)) END)"""
-    placed = x.select("key", F.expr(to).alias("to")).join(large, "key").select(
-        "cluster", F.explode("to").alias("to"), "key", "size", "set")
-    return small.unionByName(placed.select("cluster", "to.p", "to.q", "to.side", "key", "size", "set"))
+    return small.unionByName(x.select("key", F.expr(to).alias("to")))
+
+
+def _dealt(sets: DataFrame, live: DataFrame, bound: Bound) -> DataFrame:
+    """Sets with the pairs of blocks that they are multiplied in."""
+    placed = sets.join(_places(live, bound), "key")
+    return placed.select("cluster", F.explode("to").alias("to"), "key", F.size("set").cast("long").alias("size"), "set").select(
+        "cluster", "to.p", "to.q", "to.side", "key", "size", "set")
 
 
 def multiply(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048, dense: float = 0.01) -> np.ndarray:
@@ -382,7 +394,7 @@ def _block_links(keys: list[int], sizes: list[int], sides: list[int], sets: list
     return [(keys[i], keys[j]) for i, j in forest.edges]
 
 
-def links(sets: DataFrame, bound: Bound) -> DataFrame:
+def links(dealt: DataFrame, bound: Bound) -> DataFrame:
     """A forest (a, b) of the links of each pair of blocks."""
     def run(batches):
         name, held, out = None, ([], [], [], []), []
@@ -406,11 +418,16 @@ def links(sets: DataFrame, bound: Bound) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
-    dealt = _dealt(sets, bound).select("cluster", "p", "q", "side", "key", "size", "set")
     return (dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
             .mapInArrow(run, "a long, b long"))
 
 
+def _kinds(sketched: DataFrame) -> DataFrame:
+    """A row per set: one of its texts, its size, and the range of its second signature."""
+    return sketched.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("one"), F.min("check").alias("lo"),
+                                       F.max("check").alias("hi"), F.min("size").alias("size")).checkpoint()
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row: sets link when den times their
@@ -422,17 +439,21 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     bound = Bound(num, den)
     all_rows = sketches(docs, n, bound, id_col, text).checkpoint().withColumn("row", F.monotonically_increasing_id())
     sketched = all_rows.where("size > 0 AND id IS NOT NULL")
+    kinds = _kinds(sketched)
+    clash = kinds.where("lo <> hi").select("key")
+    if not clash.isEmpty():
+        # different sets with one 64-bit key: about three in ten billion sets; they are named anew by both signatures
+        all_rows = all_rows.join(clash.withColumn("clash", F.lit(True)), "key", "left").withColumn(
+            "key", F.when(F.col("clash"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("clash").select(
+            *all_rows.columns)
+        sketched = all_rows.where("size > 0 AND id IS NOT NULL")
+        kinds = _kinds(sketched)
     edges = _part_edges(sketched).checkpoint()
     clusters = components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
-    kinds = sketched.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("one"), F.min("check").alias("lo"),
-                                        F.max("check").alias("hi"), F.min("size").alias("size")).checkpoint()
-    if not kinds.where("lo <> hi").isEmpty():
-        raise ValueError("two sets have one 64-bit key; use another hash")
     wanted = clusters.join(kinds, "key").select("one.id", "one.text_hash", "key", "cluster", "size").checkpoint()
-    weight = wanted.groupBy("cluster").agg(F.sum("size").alias("weight"))
-    wanted = wanted.join(weight, "cluster").drop("size")
-    sets = _sets(docs, wanted, n, id_col, text).checkpoint()
-    found = components(links(sets, bound).checkpoint())
+    # sets are made twice, of all that share a part and of the few that may have a link, and never stored
+    live = _live(wanted, _sets(docs, wanted, n, id_col, text), bound).checkpoint()
+    found = components(links(_dealt(_sets(docs, live, n, id_col, text), live, bound), bound).checkpoint())
     least = (found.join(kinds, found["node"] == kinds["key"]).groupBy("component").agg(F.min("one.id").alias("least")))
     names = found.join(least, "component").select(F.col("node").alias("key"), "least")
     named = kinds.select("key", "one.id").withColumnRenamed("id", "first").join(names, "key", "left").select(
