@@ -50,6 +50,65 @@ def prompt_frame(profiles: DataFrame, base: str, target: str, task: str) -> Data
             .select("table", F.lit("features").alias("kind"), prompt.alias("prompt")))
 
 
+#: What each kind of request asks for (wording of our own).
+ASKS = {
+    "features": "Answer in JSON with feature_scores, feature_ranking and recommended_features.",
+    "score": "Score every candidate feature from 0 to 1. Answer in JSON with feature_scores and recommended_features.",
+    "analysis": "Say of every candidate feature what it tells about the target, then answer in JSON with analysis, "
+                "feature_scores, feature_ranking and recommended_features.",
+    "relevance": "Say whether the candidate table helps to predict the target, in two lines.\n"
+                 "Table Analysis: how the tables relate\nConclusion: Yes or No",
+    "samples": "Answer in JSON with feature_scores, feature_ranking and recommended_features.",
+}
+
+
+def sample_lines(df: DataFrame, order_by, n: int = 3) -> DataFrame:
+    """The first ``n`` rows by ``order_by`` as text, in one row: ``(sample)``.
+    A row is ``column=value`` joined by ``; ``, nulls as ``column=``."""
+    order = [F.col("`" + c.replace("`", "``") + "`") for c in ([order_by] if isinstance(order_by, str) else order_by)]
+    cells = [F.concat(F.lit(f"{c}="), F.coalesce(F.col("`" + c.replace("`", "``") + "`").cast("string"), F.lit("")))
+             for c in df.columns]
+    rows = df.select(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.array_join(F.array(*cells), "; ").alias("line"))
+    first = rows.orderBy(*[f"o{i}" for i in range(len(order))], "line").limit(n)  # a handful of rows
+    return first.agg(F.array_join(F.sort_array(F.collect_list(F.struct(*[f"o{i}" for i in range(len(order))], "line")))
+                                  .getField("line"), "\n").alias("sample"))
+
+
+def prompt_kinds(profiles: DataFrame, base: str, target: str, task: str, kinds=tuple(ASKS),
+                 descriptions: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """R1, every kind: ``(table, kind, prompt)``, a request per candidate table
+    and kind.
+
+    ``descriptions`` (table, description) adds a block with name and description
+    before a table's columns; tables without one have their columns alone.
+    ``samples`` (table, sample) serves the kind ``samples``, which shows rows in
+    the place of column profiles; tables without a sample have no such request.
+    """
+    unknown = set(kinds) - set(ASKS)
+    if unknown:
+        raise ValueError(f"unknown kinds {sorted(unknown)}")
+    spark = profiles.sparkSession
+    lines = profile_lines(profiles)
+    per = lines.groupBy("table").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("pos", "line"))).getField("line"), "\n").alias("text"))
+    none = spark.createDataFrame([], "table string, text string")
+    described = (descriptions.select("table", "description") if descriptions is not None else none.toDF("table", "description"))
+    sampled = samples.select("table", "sample") if samples is not None else none.toDF("table", "sample")
+    per = per.join(described, "table", "left").join(sampled, "table", "left")
+    about = F.coalesce(F.concat(F.lit("Name: "), F.col("table"), F.lit("\nDescription: "), F.col("description"), F.lit("\n")),
+                       F.lit(""))
+    per = per.select("table", F.concat(about, "text").alias("columns"), F.concat(about, "sample").alias("rows"))
+    shown = per.select("table", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.col("rows" if k == "samples" else "columns").alias("text")) for k in kinds])).alias("x"))
+    shown = shown.select("table", "x.kind", "x.text").filter(F.col("text").isNotNull())
+    own = shown.filter(F.col("table") == base).select("kind", F.col("text").alias("base_text"))  # a row a kind
+    ask = F.create_map(*[x for k, v in ASKS.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")]
+    prompt = F.concat(F.lit(f"Base table {base}; target {target} ({task}).\n"), "base_text", F.lit("\nCandidate table "),
+                      F.col("table"), F.lit(":\n"), "text", F.lit("\n"), ask)
+    return (shown.filter(F.col("table") != base).join(F.broadcast(own), "kind")
+            .select("table", "kind", prompt.alias("prompt")))
+
+
 def reply_body(reply) -> F.Column:
     """The fenced block when there is one, else the whole text."""
     fenced = F.regexp_extract(reply, FENCE, 1)
@@ -102,3 +161,23 @@ def ingest_descriptions(texts: DataFrame, text_col: str = "reply") -> DataFrame:
     return hit.select("table", F.col("line_no").cast("bigint").alias("line_no"),
                       F.trim(F.substring_index("line", ":", 1)).alias("column"),
                       F.trim(F.expr("substr(line, instr(line, ':') + 1)")).alias("description"))
+
+
+# How the summary of a description reply begins.
+SUMMARY_PREFIXES = ("数据规模", "主要包含")
+
+
+def ingest_summaries(texts: DataFrame, text_col: str = "reply", prefixes=SUMMARY_PREFIXES) -> DataFrame:
+    """``(table, summary)`` of the replies that have one: from the first line
+    that begins with a prefix, all lines that describe no column, each with its
+    line end."""
+    lines = texts.select("table", F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    rest = lines.filter(~(F.col("line").contains(":") & F.col("line").contains("(")))
+    begins = F.lit(False)
+    for p in prefixes:
+        begins = begins | F.col("line").startswith(p)
+    rows = F.sort_array(F.collect_list(F.struct("line_no", "line")))  # the lines of one reply
+    one = rest.groupBy("table").agg(rows.alias("lines"), F.min(F.when(begins, F.col("line_no"))).alias("first"))
+    kept = F.filter("lines", lambda x: x["line_no"] >= F.col("first"))
+    return one.filter("first IS NOT NULL").select(
+        "table", F.concat(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"), F.lit("\n")).alias("summary"))

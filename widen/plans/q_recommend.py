@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 from widen.operators.join import key_overlap
 from widen.operators.metrics import binary_f1, confusion, macro_f1, mae
 from widen.operators.profile import profile
-from widen.operators.recommend import ingest_descriptions, ingest_replies, ingest_verdicts, prompt_frame
+from widen.operators.recommend import (
+    ASKS,
+    ingest_descriptions,
+    ingest_replies,
+    ingest_summaries,
+    ingest_verdicts,
+    prompt_frame,
+    prompt_kinds,
+    sample_lines,
+)
 from widen.operators.select import gate_tables, select_recommended
 from widen.plans.registry import query, table
 from widen.plans.sqlgen import union_all
@@ -80,6 +89,55 @@ def prompt_frame_q(spark, sf_dir):
     return prompt_frame(_profiles(spark, sf_dir), BASE, TARGET, TASK)
 
 
+_ASK_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '" + v.replace("\n", "' || chr(10) || '") + "'" for k, v in ASKS.items()) + " END"
+_SAMPLE_COLS = {"customer": ["c_custkey", "c_name"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+                "nation": ["n_nationkey", "n_name"]}
+_SAMPLE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS tbl, (SELECT string_agg(line, chr(10) ORDER BY k) FROM (SELECT {cols[0]} AS k, "
+    + " || '; ' || ".join(f"'{c}=' || coalesce({c}::VARCHAR, '')" for c in cols)
+    + f" AS line FROM {t} ORDER BY {cols[0]} LIMIT 2)) AS sample" for t, cols in _SAMPLE_COLS.items())
+_DESCRIBED = ["customer", "orders"]
+
+
+@query("prompt_kinds", f"""
+WITH d AS ({' UNION ALL '.join(f"SELECT '{t}' AS tbl, count(*)::VARCHAR || ' rows' AS description FROM {t}" for t in _DESCRIBED)}),
+s AS ({_SAMPLE_SQL}),
+t AS (SELECT tbl, string_agg(line, chr(10) ORDER BY pos) AS text FROM ({LINES}) GROUP BY tbl),
+a AS (SELECT t.tbl, coalesce('Name: ' || t.tbl || chr(10) || 'Description: ' || d.description || chr(10), '') AS about, text, sample
+      FROM t LEFT JOIN d ON t.tbl = d.tbl LEFT JOIN s ON t.tbl = s.tbl),
+k AS (SELECT unnest({list(ASKS)}) AS kind),
+x AS (SELECT tbl, kind, about || CASE WHEN kind = 'samples' THEN sample ELSE text END AS text FROM a, k)
+SELECT x.tbl AS "table", x.kind, 'Base table {BASE}; target {TARGET} ({TASK}).' || chr(10) || b.text || chr(10)
+       || 'Candidate table ' || x.tbl || ':' || chr(10) || x.text || chr(10) || {_ASK_SQL.replace('kind', 'x.kind', 1)} AS prompt
+FROM x JOIN x b ON b.kind = x.kind AND b.tbl = '{BASE}' WHERE x.tbl <> '{BASE}' AND x.text IS NOT NULL
+""")
+def prompt_kinds_q(spark, sf_dir):
+    """All five kinds; customer and orders are described, nation is sampled too."""
+    described = sampled = None
+    for t in _DESCRIBED:
+        d = table(spark, sf_dir, t).agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" rows")).alias("description"))
+        d = d.select(F.lit(t).alias("table"), "description")
+        described = d if described is None else described.unionByName(d)
+    for t, cols in _SAMPLE_COLS.items():
+        x = sample_lines(table(spark, sf_dir, t).select(*cols), cols[0], 2).select(F.lit(t).alias("table"), "sample")
+        sampled = x if sampled is None else sampled.unionByName(x)
+    return prompt_kinds(_profiles(spark, sf_dir), BASE, TARGET, TASK, descriptions=described, samples=sampled)
+
+
+@query("ingest_summaries", """
+WITH l AS (SELECT doc_id::VARCHAR AS tbl, generate_subscripts(string_split(text, chr(10)), 1) AS n,
+                  unnest(string_split(text, chr(10))) AS line FROM documents),
+r AS (SELECT * FROM l WHERE NOT (contains(line, ':') AND contains(line, '('))),
+f AS (SELECT tbl, min(n) AS first FROM r WHERE starts_with(line, 'The ') OR starts_with(line, 'Der ') GROUP BY tbl)
+SELECT r.tbl AS "table", string_agg(line, chr(10) ORDER BY n) || chr(10) AS summary
+FROM r JOIN f ON r.tbl = f.tbl AND n >= first GROUP BY r.tbl
+""")
+def ingest_summaries_q(spark, sf_dir):
+    """Documents as replies whose summary begins with an article."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("table"), F.col("text").alias("reply"))
+    return ingest_summaries(d, prefixes=("The ", "Der "))
+
+
 # -- R2: replies from a deterministic profile-driven recommender ----------------
 
 
