@@ -185,4 +185,13 @@ def infer_task(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> Da
 
 
 def task_of(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> str:
+    """The task alone: no job for a text target, and for a number the exact
+    distinct count only where a sketch says that it may be near ``max_classes``."""
+    if target not in df.columns:
+        raise ValueError(f"target {target!r} not in table")
+    if classes(df)[target] != NUMERIC:
+        return "classification"
+    about = df.agg(F.approx_count_distinct(col(target)).alias("n")).first()["n"]
+    if about > 10 * max_classes + 100:
+        return "regression"
     return infer_task(df, target, max_classes).first()["task"]

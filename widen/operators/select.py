@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from widen.functions.columns import as_list, col, hash_order
+from widen.functions.columns import OTHER, as_list, classes, col, hash_order
 from widen.functions.ranking import materialised
 from widen.operators.join import augment, plan_features
 from widen.operators.score import mutual_info, scores
@@ -37,6 +37,12 @@ def _joined(base: DataFrame, t: TableRef, target: str, features) -> DataFrame:
                         .select(*[col(c) for c in dict.fromkeys([target, *features])]))
 
 
+def _scorable(t: TableRef, features) -> tuple[list, list]:
+    """Features that can be scored, and those that cannot: arrays, maps, structs."""
+    kinds = classes(t.df)
+    return [f for f in features if kinds[f] != OTHER], [f for f in features if kinds[f] == OTHER]
+
+
 def select_all(t: TableRef) -> DataFrame:
     """every non-key column."""
     return feature_frame(t.df.sparkSession, t.features()).withColumn("selected", F.lit(True))
@@ -64,31 +70,39 @@ def select_filter(
     ``<= max_missing`` and ``|score| >= min_corr`` (Pearson / Cramér's V).
 
     Features whose name the base already has are reported as
-    ``duplicate_name`` and never selected.
+    ``duplicate_name``, arrays, maps and structs with the measure
+    ``unsupported``; neither is ever selected.
     """
     plan = plan_features(base.columns, t.df.columns, t.right_keys, None)
-    sc = scores(_joined(base, t, target, plan.kept), list(plan.kept), target, numeric_vs_class) if plan.kept else None
+    kept, odd = _scorable(t, plan.kept)
+    sc = scores(_joined(base, t, target, kept), kept, target, numeric_vs_class) if kept else None
     names = t.features()
     ff = feature_frame(base.sparkSession, names)
     dup = F.col("feature").isin(list(plan.collisions)) if plan.collisions else F.lit(False)
     if sc is None:
         return ff.select("pos", "feature", F.lit(None).cast("string").alias("kind"),
                          F.lit(None).cast("double").alias("missing_ratio"),
-                         F.lit(None).cast("string").alias("measure"), F.lit(None).cast("double").alias("score"),
+                         _unsupported(F.lit(None).cast("string"), odd).alias("measure"),
+                         F.lit(None).cast("double").alias("score"),
                          dup.alias("duplicate_name"), F.lit(False).alias("selected"))
     out = ff.join(sc, "feature", "left")
     ok = (~dup & (F.col("missing_ratio") <= max_missing)
           & (F.abs(F.coalesce(F.col("score"), F.lit(0.0))) >= min_corr))
-    return out.select("pos", "feature", "kind", "missing_ratio", "measure", "score",
+    return out.select("pos", "feature", _unsupported(F.col("kind"), odd, OTHER).alias("kind"), "missing_ratio",
+                      _unsupported(F.col("measure"), odd).alias("measure"), "score",
                       dup.alias("duplicate_name"), F.coalesce(ok, F.lit(False)).alias("selected"))
 
 
+def _unsupported(value, odd: list, name: str = "unsupported"):
+    return F.when(F.col("feature").isin(odd), F.lit(name)).otherwise(value) if odd else value
+
+
 def select_mutual_info(base: DataFrame, t: TableRef, target: str, task: str = "classification",
                        k: int | None = None, bins: int = 16) -> DataFrame:
     """F5 + F6: MI of every feature after the row-preserving join, top ``k``
     (default ``n // 2``) by MI, ties by name."""
     plan = plan_features(base.columns, t.df.columns, t.right_keys, None)
-    feats = list(plan.kept)
+    feats, _ = _scorable(t, plan.kept)
     k = len(t.features()) // 2 if k is None else k
     ff = feature_frame(base.sparkSession, t.features())
     if not feats:
@@ -123,10 +137,14 @@ def leak_scan(base: DataFrame, t: TableRef, target: str, threshold: float = 0.5,
     row-preserving join; columns above ``threshold`` are flagged as leaks.
 
     Numeric columns against a class target are scored over bins, so no column
-    escapes the scan.
+    escapes the scan; arrays, maps and structs are listed as ``unsupported``.
     """
     plan = plan_features(base.columns, t.df.columns, t.right_keys, None)
-    feats = list(plan.kept)
+    feats, odd = _scorable(t, plan.kept)
+    rest = base.sparkSession.createDataFrame([(f, "unsupported", None, False) for f in odd],
+                                             "feature string, measure string, score double, flagged boolean")
+    if not feats:
+        return rest
     sc = scores(_joined(base, t, target, feats), feats, target, numeric_vs_class="bin", bins=bins)
-    return sc.select("feature", "measure", "score",
-                     (F.abs(F.coalesce("score", F.lit(0.0))) >= threshold).alias("flagged"))
+    out = sc.select("feature", "measure", "score", (F.abs(F.coalesce("score", F.lit(0.0))) >= threshold).alias("flagged"))
+    return out.unionByName(rest) if odd else out
