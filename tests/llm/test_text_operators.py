@@ -415,3 +415,28 @@ def test_slices_and_recent():
         got = r.known(keys, learn)
         assert all(got[k] == 2 * k for k in keys)
     assert seen.count(1) == 1  # it returned from the old generation
+
+
+def test_equal_lines_take_linear_work(spark):
+    import time
+
+    text = "\n".join(["one two three four five"] * 20_000)
+    start = time.time()
+    rows = line_dedup.line_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert time.time() - start < 60
+    first, second = sorted(rows)
+    assert second.text == "" and second.n_deleted == 20_000
+    assert first.n_deleted == 20_000 - 1 and first.text == "one two three four five"
+
+
+INTERNAL = ("x", "t", "doc", "runs", "__w", "__l", "__m", "__s", "__p", "__doc", "lines", "mark", "id", "key", "__n",
+            "__later", "__row", "row", "n", "later", "a.b")
+
+
+def test_input_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(1, "word " * 60 + "\nb"), (2, "word " * 60 + "\nb"), (3, None)], "doc_id long, text string")
+    for c in INTERNAL:
+        df = df.withColumn(c, F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")))
+    for out in (quality_rules.quality_rules(df), line_dedup.line_dedup(df)):
+        rows = out.collect()
+        assert len(rows) == 3 and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in INTERNAL)

@@ -83,21 +83,21 @@ def fingerprints(hashes: list[int], words: list[int], gram_words: int, window_wo
     return [(h, s) for s, h in sorted(marks)]
 
 
-def extend(own: list[int], other: list[int], shift: int, starts: list[int]) -> list[tuple[int, int]]:
+def extend(own, other, shift: int, starts: list[int]) -> list[tuple[int, int]]:
     """Runs (first line, one past the last) around ``starts`` where line i of
     ``own`` equals line i - shift of ``other``."""
-    out: list[tuple[int, int]] = []
-    for s in sorted(starts):
-        if out and s < out[-1][1]:
-            continue
-        first = last = s
-        while first > 0 and 0 <= first - 1 - shift < len(other) and own[first - 1] == other[first - 1 - shift]:
-            first -= 1
-        while last < len(own) and 0 <= last - shift < len(other) and own[last] == other[last - shift]:
-            last += 1
-        if last > first:
-            out.append((first, last))
-    return out
+    own, other = np.asarray(own, np.int64), np.asarray(other, np.int64)
+    low, high = max(0, shift), min(len(own), len(other) + shift)
+    if high <= low:
+        return []
+    # places of lines that differ; a run is what lies between two of them
+    apart = np.flatnonzero(own[low:high] != other[low - shift:high - shift]) + low
+    at = np.unique(np.array([s for s in starts if low <= s < high], np.int64))
+    k = np.searchsorted(apart, at)
+    differs = np.isin(at, apart)
+    first = np.r_[low - 1, apart][k][~differs] + 1
+    last = np.r_[apart, high][k][~differs]
+    return list(dict.fromkeys(zip(first.tolist(), last.tolist())))
 
 
 def _described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -110,7 +110,7 @@ def _described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(_key(id_col, text).alias("doc"), F.col(id_col).alias("id"), F.col(text)).mapInArrow(
-        run, f"doc long, id {kind}, lines array<long>, words array<int>")
+        run, f"doc binary, id {kind}, lines array<long>, words array<int>")
 
 
 def _marks(described: DataFrame, gram_words: int, window_words: int) -> DataFrame:
@@ -126,12 +126,13 @@ def _marks(described: DataFrame, gram_words: int, window_words: int) -> DataFram
                  pa.array([s for f in found for _, s in f], pa.int32())], ["doc", "id", "mark", "at"])
 
     kind = described.schema["id"].dataType.simpleString()
-    return described.select("doc", "id", "lines", "words").mapInArrow(run, f"doc long, id {kind}, mark long, at int")
+    return described.select("doc", "id", "lines", "words").mapInArrow(
+        run, f"doc binary, id {kind}, mark long, at int")
 
 
 def _key(id_col: str, text: str):
-    """One key for rows of equal id and text."""
-    return F.xxhash64(F.col(id_col), F.col(text), F.col(id_col).isNull(), F.col(text).isNull())
+    """One key of 128 bits for rows of equal id and text."""
+    return F.unhex(F.md5(F.to_json(F.struct(F.col(id_col).alias("id"), F.sha2(F.col(text), 256).alias("text")))))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram_words: int = 25,
@@ -150,28 +151,40 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", g
              .where("n > 1").select("mark", F.col("f.doc").alias("other"), F.col("f.at").alias("other_at")))
     hits = (marks.join(first, "mark").where("doc <> other OR at <> other_at")
             .select("doc", "other", F.col("at"), (F.col("at") - F.col("other_at")).alias("shift")))
-    runs = hits.groupBy("doc", "other", "shift").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    # one row a pair of documents: the lines of both are sent once, however many shifts there are
+    runs = (hits.groupBy("doc", "other", "shift").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+            .groupBy("doc", "other").agg(F.collect_list(F.struct("shift", "starts")).alias("shifts"),
+                                         F.min("shift").alias("least"), F.max("shift").alias("most")))
     lines = described.select("doc", "lines")
     ends = lines.select(F.col("doc").alias("other"), F.col("lines").alias("other_lines"))
     # of the other document only the lines beside this one's are kept
-    low = F.greatest(F.lit(0), -F.col("shift"))
+    low = F.greatest(F.lit(0), -F.col("most"))
     both = (runs.join(lines, "doc").join(ends, "other")
-            .select("doc", "starts", "lines", "shift", low.alias("low"),
+            .select("doc", "lines", "shifts", low.alias("low"),
                     F.slice("other_lines", low + 1, F.greatest(F.lit(0), F.least(
-                        F.size("lines") - F.col("shift"), F.size("other_lines")) - low)).alias("beside")))
+                        F.size("lines") - F.col("least"), F.size("other_lines")) - low)).alias("beside")))
 
     def run(batches):
         for b in batches:
             doc, first, past = [], [], []
-            for d, starts, own, shift, low, beside in zip(*(c.to_pylist() for c in b.columns)):
-                for x, y in extend(own, beside, shift + low, starts):
+            own, beside = b.column(1), b.column(4)
+            for i, (d, shifts, low) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2, 3)))):
+                x, y = (c[i].values.to_numpy(zero_copy_only=False) for c in (own, beside))
+                # what one row finds is joined: runs of many shifts may be the same lines
+                covered = np.zeros(len(x) + 1, np.int32)
+                for s in shifts:
+                    for start, stop in extend(x, y, s["shift"] + low, s["starts"]):
+                        covered[start] += 1
+                        covered[stop] -= 1
+                inside = np.diff(np.r_[0, (np.cumsum(covered) > 0).astype(np.int8)])
+                for start, stop in zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist()):
                     doc.append(d)
-                    first.append(x)
-                    past.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int32()),
+                    first.append(start)
+                    past.append(stop)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.binary()), pa.array(first, pa.int32()),
                                               pa.array(past, pa.int32())], ["doc", "first", "past"])
 
-    found = both.mapInArrow(run, "doc long, first int, past int")
+    found = both.mapInArrow(run, "doc binary, first int, past int")
     return found.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("first", "past"))).alias("runs"))
 
 
@@ -189,19 +202,27 @@ def delete_lines(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(out), len(drop)
 
 
+def row_key(id_col: str, text: str):
+    """One key for rows of equal id and text, for use outside of this module."""
+    return _key(id_col, text)
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram_words: int = 25,
                window_words: int = 50) -> DataFrame:
     """Input columns, the text without repeated passages, and n_deleted."""
     docs = without(docs, ["n_deleted"])
     runs = repeated_runs(docs, id_col, text, gram_words, window_words)
-    rows = docs.withColumn("__doc", _key(id_col, text)).join(runs.withColumnRenamed("doc", "__doc"), "__doc", "left")
+    # input columns travel in one struct, so that their names meet no others
+    packed = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("x"),
+                         _key(id_col, text).alias("doc"))
+    rows = packed.join(runs, "doc", "left").select("x", "runs")
     place, names = docs.columns.index(text), [*docs.columns, "n_deleted"]
 
     def run(batches):
         for b in batches:
-            columns = b.columns[:-1]
+            columns = b.column(0).flatten()
             texts, counts = [], []
-            for t, r in zip(columns[place].to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            for t, r in zip(columns[place].to_pylist(), b.column(1).to_pylist()):
                 done = (t, 0) if t is None or not r else delete_lines(t, [(x["first"], x["past"]) for x in r])
                 texts.append(done[0])
                 counts.append(done[1])
@@ -209,7 +230,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_deleted", T.LongType())])
-    return rows.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns], "runs").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

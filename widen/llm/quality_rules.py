@@ -100,9 +100,10 @@ def text_metrics(docs: DataFrame, text: str = "text", window: int = 3) -> DataFr
     Words are maximal runs without white space; a null text has none.
     """
     df = docs.drop(*[c for c in docs.columns if c.lower() in METRICS])
-    kept = df.columns
-    t = F.coalesce(F.col(text), F.lit(""))
-    blank = F.lit("")
+    # input columns travel in one struct, so that their names meet no others
+    df = df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("x"),
+                   F.coalesce(F.col("`" + text.replace("`", "``") + "`"), F.lit("")).alias("t"))
+    t, blank = F.col("t"), F.lit("")
     df = df.select("*", F.filter(F.split(t, SPACE + "+"), lambda x: x != blank).alias("__w"),
                    F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("__l"))
     for name, c in _repeat_words("__w", window):
@@ -129,8 +130,7 @@ def text_metrics(docs: DataFrame, text: str = "text", window: int = 3) -> DataFr
         _ratio(F.col("n_dup_lines"), lines).alias("dup_line_ratio")]
     # as a generated row the metrics are computed once: a later filter on them
     # would otherwise be pushed down with copies of all the steps above in it
-    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in kept],
-                     F.inline(F.array(F.struct(*metrics))))
+    return df.select("x.*", F.inline(F.array(F.struct(*metrics))))
 
 
 def compile_rules(rules=RULES) -> Column:
