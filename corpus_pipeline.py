@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from widen.llm.classifier import accept_quality, held_out
 from widen.llm.jaccard import jaccard_components
-from widen.llm.line_dedup import _key as row_key
-from widen.llm.line_dedup import line_dedup
+from widen.llm.line_dedup import line_dedup, row_key
 from widen.llm.packing import pack_documents, vocabulary_path
 from widen.llm.quality_rules import quality_rules
 from widen.session import checkpoint_dir
@@ -25,13 +24,17 @@ from widen.session import checkpoint_dir
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones; it learns from the
-    labelled ones among them that are not held out."""
+    labelled ones among them that are not held out. Null and empty texts have no
+    words and are judged as such, repeated rows alike; very long texts are read
+    whole; a null id has no label; other columns stay as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return accept_quality(docs, labels, ~held_out())
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and every threshold."""
+    """Documents that pass the base rule and every threshold; null, empty and
+    short texts do not, repeated rows pass or fail alike, very long texts are
+    read whole, other columns stay as they are."""
     return quality_rules(docs).where("kept").select(*docs.columns)
 
 
@@ -48,17 +51,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with the least key of id and text; null ids come first. Rows are linked, not
     ids: rows that share only the id are documents of their own, and of rows that
     share id and text one stays. Texts without a word are in no group and stay."""
-    docs = docs.withColumn("__row", F.struct("doc_id", row_key("doc_id", "text").alias("key")))
-    rows = jaccard_components(docs, n=5, num=80, den=100, id_col="__row").where("n_shingles > 0")
-    marks = (rows.groupBy("__row").agg(F.count("*").alias("__n"), F.max(F.expr("component_id <> __row")).alias("__later"))
-             .where("__n > 1 OR __later").checkpoint())
-    marked = docs.join(marks, "__row", "left").where("NOT coalesce(__later, false)")
-    out = marked.where("__n IS NULL").unionByName(marked.where("__n > 1").dropDuplicates(["__row"]))
-    return out.drop("__row", "__n", "__later")
+    # input columns travel in one struct, so that their names meet no others
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    named = docs.select(whole.alias("x"), F.struct("doc_id", row_key("doc_id", "text").alias("key")).alias("row"), "text")
+    rows = jaccard_components(named.select("row", "text"), n=5, num=80, den=100, id_col="row").where("n_shingles > 0")
+    marks = (rows.groupBy("row").agg(F.count("*").alias("n"), F.max(F.expr("component_id <> row")).alias("later"))
+             .where("n > 1 OR later").checkpoint())
+    marked = named.select("x", "row").join(marks, "row", "left").where("NOT coalesce(later, false)")
+    out = marked.where("n IS NULL").unionByName(marked.where("n > 1").dropDuplicates(["row"]))
+    return out.select("x.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in sequences of at most 2048 tokens."""
+    """Places of all documents' pieces in sequences of at most 2048 tokens. Null
+    and empty texts are an end id, repeated rows are packed each, long texts are
+    cut; columns but id and text are not read."""
     return pack_documents(docs, vocabulary_path("byte_bpe_50k.json"))
 
 
