@@ -6,16 +6,22 @@ A1 reduce_by_key, P1/P2 plan_features.
 Plan shape of :func:`augment`::
 
     scan(right, pruned) -> key in the base's type -> filter(key not null)
-      -> inline(a row per text column, and one with all numbers)
-      -> partial agg (key, column, value) -> exchange -> final agg
-      -> partial agg (key) -> exchange -> final agg         # one row per key
+      -> anti join with the crowded keys -> exchange by key -> agg (key)
+      + semi join with the crowded keys
+          -> inline(a row per text column, and one with all numbers)
+          -> partial agg (key, column, value) -> exchange -> final agg
+          -> partial agg (key) -> exchange -> final agg
+                                                          # one row per key
     scan(base) ------------------------------------------ left join
 
-The right table is read once. The first aggregation spreads one hot key over
-all reducers by value, and the map-side partial aggregation shrinks it to one
-row per value per task before any shuffle; the second carries only
-constant-size buffers (``min_by``, sums), so no key, however large, is
-collected into one task. Without text columns one aggregation by key is enough.
+Rows of most keys are shuffled once, as they are, and a key's most frequent
+values are counted where its rows meet. Keys of more than ``CROWDED`` rows are
+found first, by a count over the key columns; they are few, and broadcast. Their
+first aggregation spreads one key over all reducers by value, and the map-side
+partial aggregation shrinks it to one row per value per task before any
+shuffle; the second carries only constant-size buffers (``min_by``, sums), so no
+key, however large, is collected into one task. Without text columns one
+aggregation by key is enough.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ from widen.functions.columns import (
 from widen.sources.tables import TableRef
 
 _RK = "__widen_rk{}"
+#: Keys of more rows are reduced by counts of their values, spread over all tasks.
+CROWDED = 20_000
 
 
 # ---------------------------------------------------------------------------
@@ -174,6 +182,38 @@ def reduce_by_key(
             aggs.append(F.when(lo == hi, lo).otherwise(F.avg(x)).alias(f))
         return src.groupBy(*key_cols).agg(*aggs)
 
+    names = [f"__widen_ck{i}" for i in range(len(keys))]
+    crowded = F.broadcast(src.groupBy(*[k.alias(n) for k, n in zip(key_cols, names)]).agg(F.count(F.lit(1)).alias("__widen_cn"))
+                          .filter(F.col("__widen_cn") > CROWDED).select(*names))  # fewer than rows / CROWDED
+    same = [k.eqNullSafe(F.col(n)) for k, n in zip(key_cols, names)]
+    few = _reduce_rows(src.join(crowded, same, "left_anti"), key_cols, nums, texts, types, null_token)
+    many = _reduce_counts(src.join(crowded, same, "left_semi"), key_cols, nums, texts, types, null_token)
+    out = [*key_cols, *[col(f) for f in feats]]
+    return few.select(*out).unionByName(many.select(*out))
+
+
+def _reduce_rows(src: DataFrame, key_cols, nums, texts, types, null_token) -> DataFrame:
+    """Keys of up to ``CROWDED`` rows: the rows are shuffled once, by key, and a
+    key's values are counted where its rows meet."""
+    out = []
+    for f in nums:
+        x = as_double(f, types[f])
+        lo, hi = F.min(x), F.max(x)
+        out.append(F.when(lo == hi, lo).otherwise(F.avg(x)).alias(f))
+    for f in texts:
+        s = col(f).cast("string")
+        best = F.mode(s if null_token is None else F.coalesce(s, F.lit(null_token)), True)  # smallest value on ties
+        if null_token is not None:
+            real = F.when(s != F.lit(null_token), s)
+            lo, hi = F.min(real), F.max(real)
+            best = F.when(lo.isNull() | (lo == hi), lo).otherwise(best)
+        out.append((best.cast(types[f]) if type_class(types[f]) == TEMPORAL else best).alias(f))
+    # sorted, so that a key's rows are added up in the order in which they came
+    return src.repartition(*key_cols).sortWithinPartitions(*key_cols).groupBy(*key_cols).agg(*out)
+
+
+def _reduce_counts(src: DataFrame, key_cols, nums, texts, types, null_token) -> DataFrame:
+    """Keys of any number of rows, which meet in no task."""
     # long form: a row (key, column, value) per text column, counted first and
     # then reduced to the most frequent value with a constant-size buffer; the
     # numbers ride along in one more row as partial sums, so there is one scan
@@ -209,7 +249,7 @@ def reduce_by_key(
         if type_class(types[f]) == TEMPORAL:
             best = best.cast(types[f])
         out.append(best.alias(f))
-    return grouped.groupBy(*key_cols).agg(*out).select(*key_cols, *[col(f) for f in feats])
+    return grouped.groupBy(*key_cols).agg(*out)
 
 
 # ---------------------------------------------------------------------------
