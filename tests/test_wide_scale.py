@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from widen.operators import join
 from widen.operators.join import augment, reduce_by_key
+from widen.operators.score import mutual_info
 
 ROWS = ([(1, "b", 1.0, dt.datetime(2024, 1, 2)), (1, "a", 3.0, None), (1, "a", None, dt.datetime(2024, 1, 1)),
          (1, "b", 8.0, dt.datetime(2024, 1, 1)), (2, None, 5.0, None), (2, "z", 5.0, None), (3, None, None, None),
@@ -44,6 +45,37 @@ def test_rows_are_not_multiplied_before_the_shuffle(spark):
     assert "Generate" not in _final_plan(out)  # no key is crowded, so no long form
 
 
+def _read_counted(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    df = spark.range(400).select("id", (F.col("id") % 3).cast("string").alias("y"), (F.col("id") * 1.5).alias("t"),
+                                 F.when(F.col("id") % 4 > 0, F.col("id") % 11).cast("double").alias("x"),
+                                 (F.col("id") % 2).cast("string").alias("s"))
+    return df.mapInArrow(seen, df.schema), reads
+
+
+def _checkpoint_reads(spark):
+    df, reads = _read_counted(spark)
+    df.checkpoint(eager=True)
+    return reads.value
+
+
+@pytest.mark.parametrize("run", [
+    lambda df: mutual_info(df, ["x", "s"], "y").collect(),
+    ])
+def test_input_is_computed_once(spark, run):
+    """However many passes there are, the input runs as often as for one checkpoint."""
+    once = _checkpoint_reads(spark)
+    df, reads = _read_counted(spark)
+    run(df)
+    assert reads.value == once
+
+
 def test_augment_keeps_rows_with_crowded_keys(spark, monkeypatch):
     monkeypatch.setattr(join, "CROWDED", 5)
     base = spark.createDataFrame([(i,) for i in (1, 1, 2, 4, 9, None)], "b long")

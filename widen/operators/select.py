@@ -31,10 +31,9 @@ def chosen(selection: DataFrame, flag: str = "selected") -> list[str]:
 
 
 def _joined(base: DataFrame, t: TableRef, target: str, features) -> DataFrame:
-    """The base's target and the joined features, computed once: every score
-    reads the checkpoint, not the join."""
-    return materialised(augment(base.select(*dict.fromkeys([*t.left_keys, target])), t, list(features))
-                        .select(*[col(c) for c in dict.fromkeys([target, *features])]))
+    """The base's target and the joined features."""
+    return (augment(base.select(*dict.fromkeys([*t.left_keys, target])), t, list(features))
+            .select(*[col(c) for c in dict.fromkeys([target, *features])]))
 
 
 def _scorable(t: TableRef, features) -> tuple[list, list]:
@@ -75,7 +74,8 @@ def select_filter(
     """
     plan = plan_features(base.columns, t.df.columns, t.right_keys, None)
     kept, odd = _scorable(t, plan.kept)
-    sc = scores(_joined(base, t, target, kept), kept, target, numeric_vs_class) if kept else None
+    # computed once: every score reads the checkpoint, not the join
+    sc = scores(materialised(_joined(base, t, target, kept)), kept, target, numeric_vs_class) if kept else None
     names = t.features()
     ff = feature_frame(base.sparkSession, names)
     dup = F.col("feature").isin(list(plan.collisions)) if plan.collisions else F.lit(False)
@@ -145,6 +145,6 @@ def leak_scan(base: DataFrame, t: TableRef, target: str, threshold: float = 0.5,
                                              "feature string, measure string, score double, flagged boolean")
     if not feats:
         return rest
-    sc = scores(_joined(base, t, target, feats), feats, target, numeric_vs_class="bin", bins=bins)
+    sc = scores(materialised(_joined(base, t, target, feats)), feats, target, numeric_vs_class="bin", bins=bins)
     out = sc.select("feature", "measure", "score", (F.abs(F.coalesce("score", F.lit(0.0))) >= threshold).alias("flagged"))
     return out.unionByName(rest) if odd else out
