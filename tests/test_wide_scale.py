@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from widen.operators import join
 from widen.operators.join import augment, reduce_by_key
+from widen.operators.prep import model_frame
 from widen.operators.score import mutual_info
+from widen.operators.wrapper import select_forward
 
 ROWS = ([(1, "b", 1.0, dt.datetime(2024, 1, 2)), (1, "a", 3.0, None), (1, "a", None, dt.datetime(2024, 1, 1)),
          (1, "b", 8.0, dt.datetime(2024, 1, 1)), (2, None, 5.0, None), (2, "z", 5.0, None), (3, None, None, None),
@@ -67,7 +69,8 @@ def _checkpoint_reads(spark):
 
 @pytest.mark.parametrize("run", [
     lambda df: mutual_info(df, ["x", "s"], "y").collect(),
-    ])
+    lambda df: model_frame(df, "y", "classification", passthrough=["id"])[0].collect(),
+    lambda df: select_forward(df, "t", "id", "regression", ["x"], k=1).collect()])
 def test_input_is_computed_once(spark, run):
     """However many passes there are, the input runs as often as for one checkpoint."""
     once = _checkpoint_reads(spark)

@@ -224,6 +224,8 @@ def model_frame(df: DataFrame, target: str, task: str, drop_null_target: bool =
     nums = [c for c in keep if kinds[c] == NUMERIC]
     df = df.select(*[F.coalesce(col(c), F.lit(MISSING_TOKEN)).alias(c) if c in strs else col(c) for c in keep],
                    col(target), *[col(c) for c in passthrough])
+    # medians, codes and the target each read the table: a join must not run for every pass
+    df = materialised(df)
     df = impute_median(df, nums)
     df = encode(df, strs)
     df = clean_inf(df, keep)

@@ -176,6 +176,9 @@ def select_forward(df: DataFrame, target: str, key: str, task: str, features=Non
     of the row key, as the scorers do.
     """
     keyed = df.withColumn("__key", col(key).cast("string")).drop(key)
+    if features:
+        wanted = {*as_list(features), target, "__key"}
+        keyed = keyed.select(*[col(c) for c in keyed.columns if c in wanted])
     prepared, names = model_frame(keyed, target, task, passthrough=["__key"])
     names = [c for c in names if c in set(as_list(features) or names)]
     data = materialised(split(prepared.select(*[col(c) for c in (*names, target, "__key")]), "__key", test, split_seed))
