@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widen.functions.columns import col
+from widen.functions.ranking import materialised
 from widen.operators.boost import fit_boosted
 from widen.operators.metrics import binary_f1, macro_f1, mae
 from widen.operators.prep import assemble, balance, impute_constant, low_variance, model_frame, split
@@ -41,14 +42,33 @@ class Score:
         return d if self.higher_is_better else -d
 
 
-def _prepared(df: DataFrame, target: str, key: str, task: str, test: float, split_seed: int):
+#: Rows that are worth a partition of their own, and rows that a partition may hold beyond the number of cores.
+WORTH, MOST = 10_000, 1_000_000
+#: Frames of fewer rows stay in the partitions in which they are.
+FEW = 100_000
+
+
+def _dealt(df: DataFrame, few: int) -> DataFrame:
+    """``df`` in about as many partitions as there are cores, if it has ``few``
+    rows or more. In each pass of a forest every partition hands on the sums of
+    every node that it meets, so what a pass shuffles grows with the partitions
+    and not with the rows; and each job of a small frame costs a task a partition."""
+    done = materialised(df)
+    rows = done.count()
+    if rows < few:
+        return done
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return done.repartition(max(1, min(-(-rows // WORTH), max(cores, -(-rows // MOST)))))
+
+
+def _prepared(df: DataFrame, target: str, key: str, task: str, test: float, split_seed: int, few: int = FEW):
     """Model-ready frame, persisted: tree training and evaluation pass over it
     many times, and the preparation (codes, medians, joins) should run once.
-    Persisted blocks are recomputed from lineage if an executor is lost."""
+    Persisted blocks are read from the checkpoint if an executor is lost."""
     keyed = df.withColumn("__key", col(key).cast("string")).drop(key)  # the row key is not a feature
     prepared, feats = model_frame(keyed, target, task, passthrough=["__key"])
     prepared = split(prepared, "__key", test=test, seed=split_seed)
-    return assemble(prepared, feats).persist(StorageLevel.MEMORY_AND_DISK), feats
+    return assemble(_dealt(prepared, few), feats).persist(StorageLevel.MEMORY_AND_DISK), feats
 
 
 def _mean(values) -> float | None:
@@ -67,7 +87,7 @@ def score_rf(df: DataFrame, target: str, key: str, seeds=(42,), num_trees: int =
         vals = []
         for s in seeds:
             m = RandomForestClassifier(labelCol=target, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
-                                       featureSubsetStrategy="sqrt", seed=s).fit(train)
+                                       featureSubsetStrategy="sqrt", seed=s, cacheNodeIds=True).fit(train)
             pred = m.transform(hold).select(col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
             vals.append(macro_f1(pred, "y", "yhat").first()["macro_f1"])
         return Score(_mean(vals), True, "macro_f1")
@@ -106,7 +126,7 @@ def score_rf_reg(df: DataFrame, target: str, key: str, seeds=(42,), num_trees: i
         vals = []
         for s in seeds:
             m = RandomForestRegressor(labelCol=target, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
-                                      featureSubsetStrategy="all", seed=s).fit(train)
+                                      featureSubsetStrategy="all", seed=s, cacheNodeIds=True).fit(train)
             pred = m.transform(hold).select(col(target).alias("y"), F.col("prediction").alias("yhat"))
             vals.append(mae(pred, "y", "yhat").first()["mae"])
         return Score(_mean(vals), False, "mae")
@@ -124,7 +144,8 @@ def score_search(df: DataFrame, target: str, key: str, seed: int = 42, folds: in
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     base = impute_constant(df)
-    prepared, feats = _prepared(base, target, key, "classification", test, split_seed)
+    # every fit runs hundreds of short jobs, so no partition is spent on few rows
+    prepared, feats = _prepared(base, target, key, "classification", test, split_seed, few=0)
     data = None
     try:
         low = set(low_variance(prepared, feats))
@@ -172,7 +193,8 @@ def select_importance(df: DataFrame, target: str, key: str, k: int | None = None
     task = task_of(df, target)
     data, feats = _prepared(df, target, key, task, 0.0, 1)
     est = (RandomForestClassifier if task == "classification" else RandomForestRegressor)(
-        labelCol=target, featuresCol="features", numTrees=num_trees, maxDepth=max_depth, seed=seed)
+        labelCol=target, featuresCol="features", numTrees=num_trees, maxDepth=max_depth, seed=seed,
+        cacheNodeIds=True)
     try:
         imp = est.fit(data).featureImportances.toArray().tolist()  # one number per feature
     finally:
