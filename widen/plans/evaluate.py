@@ -56,7 +56,7 @@ def _dealt(df: DataFrame, few: int) -> DataFrame:
     done = materialised(df)
     rows = done.count()
     if rows < few:
-        return done
+        return df  # bootstrap samples follow the partitions
     cores = df.sparkSession.sparkContext.defaultParallelism
     return done.repartition(max(1, min(-(-rows // WORTH), max(cores, -(-rows // MOST)))))
 
