@@ -287,6 +287,43 @@ def groups(n, edges):
     return label
 
 
+def test_jaccard_keeps_little_of_sets_without_partner(spark):
+    import pathlib
+
+    from widen.session import checkpoint_dir
+
+    rnd = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [passage + " " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(600)) for _ in range(300)]
+    texts.append(texts[7] + " more")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = pathlib.Path(checkpoint_dir(spark))
+    before = set(kept.rglob("part-*"))
+    rows = jaccard.jaccard_components(df, n=5, num=80).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: 7 if i == 300 else i for i in range(301)}
+    assert sum(f.stat().st_size for f in set(kept.rglob("part-*")) - before) < 0.1 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("every, run", [(1, 2_000_000), (1, 60), (3, 60)])
+def test_own_members(spark, monkeypatch, every, run):
+    import collections
+
+    monkeypatch.setattr(jaccard, "RUN", run)  # few members: many chunks and buckets
+    rnd = np.random.default_rng(every + run)
+    sets = [np.unique(rnd.integers(0, 400, 12)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(80)]
+    df = spark.createDataFrame([(k, x.view(np.int64).tolist()) for k, x in enumerate(sets)], "key long, m array<long>").repartition(3)
+
+    def read(b):
+        keys = b.column(0).to_numpy().view(np.uint64)
+        found = [np.array(x, np.int64).view(np.uint64) for x in b.column(1).to_pylist()]
+        yield np.concatenate(found), np.array([len(x) for x in found]), keys, keys
+
+    holders = collections.Counter(m for x in sets for m in x.tolist())
+    own = {k: sum(holders[m] == 1 and m % every == 0 for m in x.tolist()) for k, x in enumerate(sets)}
+    got = jaccard._own_members(df, read, every, sum(map(len, sets))).collect()
+    assert {r.key: r.own for r in got} == {k: v for k, v in own.items() if v} and all(r.key == r.check for r in got)
+
+
 def test_jaccard_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(df).count() == 0

@@ -4,14 +4,16 @@ The join is the product of the incidence matrix of documents and n-grams with
 its transpose, of which only entries above a bound are wanted. Three bounds that
 follow from the set sizes keep the blocks small, and none drops a link:
 
-* Parts. Two sets of sizes a and b with similarity t or more differ in at most
-  (1 - t)(a + b) / (1 + t) members. Members are dealt by hash to one part more
-  than that, so linked sets agree on a whole part. Documents that share the
-  checksum of no part have no link; chains of shared parts make clusters, and
-  entries outside a cluster's block are zero.
-* Own members. A set of n with more than n - t n members that no other set of its
-  cluster has is linked with none. That takes sets out again which only chains of
-  common passages brought in, before any set is dealt to a block.
+* Own members. A set of n with more than n - t n members that no other set has is
+  linked with none. These are counted among a share of all members first, then
+  among all members of the sets that are left, and once more in each cluster.
+  Members go through the shuffle as sorted runs of one bucket of hashes, so that
+  one takes a few bytes.
+* Rare members. Linked sets share t n members or more, so with the members that
+  several sets have in one order, rarest first, they share one of the first
+  c - t n + 1 of each set's c. Sets that share no such member have no link; chains
+  of them make clusters, and entries outside a cluster's block are zero. A passage
+  that many documents hold stands last in that order and chains few.
 * Sizes. Sets whose sizes differ by more than t are never linked: what a cluster
   keeps is cut into bands of sizes, if it is more than one block holds, and bands
   into blocks of bounded weight; only blocks of equal or neighbouring bands are
@@ -37,18 +39,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from widen.llm.common import slices
 from widen.llm.components import components
 
-#: Bound of the word cache of a task, in entries, of a block, in members, and of
-#: a strip of a product, in pairs of sets: that bounds memory, not the result.
-CACHE, BLOCK, PAIRS = 500_000, 200_000, 4_000_000
+#: Bound of the word cache of a task, in entries, of a block, in members, of a
+#: strip of a product, in pairs of sets, and of the members that are counted at a
+#: time: that bounds memory, not the result.
+CACHE, BLOCK, PAIRS, RUN = 500_000, 200_000, 4_000_000, 2_000_000
 #: Bits of the first signature; fewer only in tests of equal ones.
 KEY_MASK = (1 << 64) - 1
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,7 +104,6 @@ class Bound:
 
     num: int
     den: int
-    growth: float = 1.5  # ratio of the size classes of part counts
 
     def linked(self, overlap, a, b):
         return self.den * overlap >= self.num * (a + b - overlap)
@@ -109,48 +112,14 @@ class Bound:
         """No partner of a set of n shares less than this."""
         return -(-self.num * n // self.den)
 
-    def classes(self, most: int) -> np.ndarray:
-        tops = [1]
-        while tops[-1] < most:
-            tops.append(max(tops[-1] + 1, int(tops[-1] * self.growth)))
-        return np.array([*tops, max(tops[-1] + 1, int(tops[-1] * self.growth))], np.int64)
-
-    def parts(self, tops: np.ndarray) -> np.ndarray:
-        """One more than the most differing members of linked sets up to a size."""
-        return (self.den - self.num) * 2 * tops // (self.den + self.num) + 1
-
-    def checksums(self, gram: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Checksums of all parts of all sets, and the owner of each.
-
-        Sets near the top of a size class also make the parts of the next one,
-        as their partners may be there.
-        """
-        tops = self.classes(int(size.max(initial=1)))
-        own_class = np.searchsorted(tops, size)
-        out, owners = [], []
-        for up in (0, 1):
-            cls = own_class + up
-            use = size > 0
-            if up:
-                use &= size * self.den // self.num > tops[own_class]
-            docs = np.flatnonzero(use)
-            m = self.parts(tops[np.minimum(cls[docs], len(tops) - 1)])
-            begin = np.cumsum(m) - m
-            wide = np.zeros(len(size), np.int64)
-            first = np.zeros(len(size), np.int64)
-            wide[docs], first[docs] = m, begin
-            owner = np.repeat(np.arange(len(size)), size)
-            inside = wide[owner] > 0
-            g, o = gram[inside], owner[inside]
-            part = ((g * _C) >> np.uint64(33)) % wide[o].astype(np.uint64)
-            sums = np.zeros(int(m.sum()), np.uint64)
-            np.add.at(sums, first[o] + part.astype(np.int64), _mix(g ^ _C))
-            held = np.repeat(docs, m)
-            number = (np.arange(len(sums)) - np.repeat(begin, m)).astype(np.uint64)
-            label = (cls[held].astype(np.uint64) << np.uint64(40)) | number
-            out.append(_mix(sums + _mix(label * _A + _B)))
-            owners.append(held)
-        return np.concatenate(out), np.concatenate(owners)
+    def every(self) -> int:
+        """One of so many members is enough to count first: sets of which more
+        than about 60 % are their own are told by these."""
+        return max(1, 3 * self.den // (5 * max(1, self.den - self.num)))
+
+    def slack(self, size: str) -> str:
+        """SQL: the most own members of a linked set of a size."""
+        return f"{size} - ({size} * {self.num} + {self.den - 1}) div {self.den}"
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -161,37 +130,146 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), _longs(values))
 
 
-def sketches(docs: DataFrame, n: int, bound: Bound, id_col: str, text: str) -> DataFrame:
-    """id, size, key and check (a 128-bit signature of the set), text hash, and
-    the part checksums."""
+def _signed(texts: list[str | None], n: int, mask: int):
+    """(start, stop, grams, sizes, keys, checks) of runs of texts; key and check
+    are a 128-bit signature of the set."""
+    for start, stop in slices(texts, 2_000_000):
+        gram, size = shingle_sets(texts[start:stop], n)
+        at = np.r_[0, np.cumsum(size)]
+        raw = [gram[at[i]:at[i + 1]].tobytes() for i in range(stop - start)]
+        key = np.array([xxhash.xxh3_64_intdigest(r) & mask for r in raw], np.uint64)
+        check = np.array([xxhash.xxh64_intdigest(r, 7) for r in raw], np.uint64)
+        yield start, stop, gram, size, key, check
+
+
+def sketches(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
+    """id, size, key and check (a 128-bit signature of the set), text hash."""
     mask = KEY_MASK
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for start, stop in slices(texts, 2_000_000):
-                gram, size = shingle_sets(texts[start:stop], n)
-                sums, owner = bound.checksums(gram, size)
-                order = np.argsort(owner, kind="stable")
-                at = np.r_[0, np.cumsum(size)]
-                raw = [gram[at[i]:at[i + 1]].tobytes() for i in range(stop - start)]
-                key = np.array([xxhash.xxh3_64_intdigest(r) & mask for r in raw], np.uint64)
-                check = np.array([xxhash.xxh64_intdigest(r, 7) for r in raw], np.uint64)
+            for start, stop, _, size, key, check in _signed(b.column(1).to_pylist(), n, mask):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(start, stop - start), _longs(size), _longs(key), _longs(check),
-                     b.column(2).slice(start, stop - start),
-                     _lists(sums[order], np.bincount(owner, minlength=stop - start))],
-                    ["id", "size", "key", "check", "text_hash", "parts"])
+                     b.column(2).slice(start, stop - start)], ["id", "size", "key", "check", "text_hash"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text), F.xxhash64(text)).mapInArrow(
-        run, f"id {kind}, size long, key long, check long, text_hash long, parts array<long>")
+        run, f"id {kind}, size long, key long, check long, text_hash long")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers by bytes of one rank: high ranks of small numbers take no space."""
+    return pa.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
 
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
 
-def _part_edges(sketched: DataFrame) -> DataFrame:
-    """Edges (a, b) between sets that share a part: every holder and the least
-    one. Tasks first join the holders they have, so that a part which a third
-    of the documents hold leaves one row a task for the shuffle."""
+
+def _own_members(rows: DataFrame, read, every: int, members: int) -> DataFrame:
+    """(key, check, own): how many members of each set, of one in ``every`` by
+    hash, no other set has; sets without one may be missing. ``read`` gives
+    (grams, sizes, keys, checks) of a batch of ``rows``; ``members`` is about the
+    number of all. Never too many are counted: members are compared by 48 bits,
+    and a set that comes twice may have none.
+
+    A chunk is what a task holds at a time. Its members are dealt to buckets by
+    hash, each sent as one sorted run with the numbers of their sets in the chunk;
+    one that several of the chunk's sets have is sent once, without a set.
+    """
+    buckets = max(1, min(256, members // every // 1000), members // every // RUN)
+
+    def chunk(held, name):
+        gram, size, key, check = (np.concatenate(x) for x in zip(*held))
+        _, one = np.unique(np.stack([key, check], 1), axis=0, return_index=True)
+        once = np.zeros(len(size), bool)
+        once[one] = True  # equal sets of a chunk count once
+        owner = np.repeat(np.arange(1, len(size) + 1), size)
+        inside = np.repeat(once, size)
+        gram, owner = gram[inside], owner[inside]
+        order = np.argsort(gram, kind="stable")
+        gram, owner = gram[order], owner[order]
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][:len(gram)])
+        several = np.diff(np.r_[first, len(gram)]) > 1
+        mark, owner = gram[first] >> np.uint64(16), np.where(several, 0, owner[first])
+        bucket = ((mark >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
+        at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        out = [(name % buckets, name, True, len(key), _packed(key), _packed(check))]
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            m = mark[at[b]:at[b + 1]]
+            out.append((b, name, False, len(m), _packed(np.diff(m, prepend=np.uint64(0))), _packed(owner[at[b]:at[b + 1]])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()))],
+            ["bucket", "chunk", "names", "n", "x", "y"])
+
+    def dealt(batches):
+        name, held, count = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            for gram, size, key, check in read(b):
+                use = gram % np.uint64(every) == 0
+                owner = np.repeat(np.arange(len(size)), size)[use]
+                held.append((gram[use], np.bincount(owner, minlength=len(size)), key, check))
+                count += len(owner) + len(size)
+                if count > RUN:
+                    yield chunk(held, name)
+                    name, held, count = name + 1, [], 0
+        if held:
+            yield chunk(held, name)
+
+    def alone(t):
+        chunks, names, sizes, x, y = (t.column(k).to_pylist() for k in range(1, 6))
+        out = [(c, True, n, p, q) for c, is_names, n, p, q in zip(chunks, names, sizes, x, y) if is_names]
+        runs = [k for k, is_names in enumerate(names) if not is_names]
+        if runs:
+            mark = np.concatenate([np.cumsum(_unpacked(x[k], sizes[k])) for k in runs])
+            owner = np.concatenate([_unpacked(y[k], sizes[k]) for k in runs])
+            run = np.repeat(np.arange(len(runs)), [sizes[k] for k in runs])
+            order = np.argsort(mark, kind="stable")
+            new = np.r_[True, mark[order[1:]] != mark[order[:-1]], True]
+            single = order[new[1:] & new[:-1]]
+            single = np.sort(single[owner[single] > 0])
+            at = np.searchsorted(run[single], np.arange(len(runs) + 1))
+            for r, k in enumerate(runs):
+                sets, times = np.unique(owner[single[at[r]:at[r + 1]]], return_counts=True)
+                if len(sets):
+                    out.append((chunks[k], False, len(sets), _packed(np.diff(sets, prepend=np.uint64(0))), _packed(times)))
+        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["chunk", "names", "n", "x", "y"])
+
+    def summed(t):
+        names, sizes, x, y = (t.column(k).to_pylist() for k in range(1, 5))
+        k = names.index(True)
+        key, check = _unpacked(x[k], sizes[k]), _unpacked(y[k], sizes[k])
+        own = np.zeros(len(key) + 1, np.int64)
+        for is_names, n, p, q in zip(names, sizes, x, y):
+            if not is_names:
+                own[np.cumsum(_unpacked(p, n)).astype(np.int64)] += _unpacked(q, n).astype(np.int64)
+        found = np.flatnonzero(own[1:])
+        return pa.table([_longs(key[found]), _longs(check[found]), _longs(own[1:][found])], ["key", "check", "own"])
+
+    return (rows.mapInArrow(dealt, "bucket int, chunk long, names boolean, n int, x binary, y binary")
+            .groupBy("bucket").applyInArrow(alone, "chunk long, names boolean, n int, x binary, y binary")
+            .groupBy("chunk").applyInArrow(summed, "key long, check long, own long"))
+
+
+def _rare(sets: DataFrame, bound: Bound) -> DataFrame:
+    """(key, rare): the members by which a set may be linked, fewest holders
+    first; sets without one are left out."""
+    members = sets.select("key", F.size("set").cast("long").alias("size"), F.explode("set").alias("m"))
+    held = members.groupBy("m").agg(F.count("*").alias("n")).where("n > 1")
+    found = members.join(held, "m").groupBy("key").agg(
+        F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "m"))).alias("found"))
+    first = F.expr(f"size(found) + 1 - (size * {bound.num} + {bound.den - 1}) div {bound.den}")
+    return found.withColumn("first", first.cast("int")).where("first > 0").select(
+        "key", F.slice("found", 1, F.col("first")).getField("m").alias("rare"))
+
+
+def _rare_edges(named: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets (row, key, rare) that share a rare member: every
+    holder and the least one. Tasks first join the holders they have, so that one
+    which a third of the documents hold leaves one row a task for the shuffle."""
     def held(batches):
         keys, nodes = [], []
         for b in batches:
@@ -217,21 +295,21 @@ def _part_edges(sketched: DataFrame) -> DataFrame:
     def outer(batches):
         if (found := held(batches)) is not None and len(found[0]):
             k, v, first = found
-            yield pa.RecordBatch.from_arrays([_longs(k[first]), _longs(v[first])], ["part", "a"])
+            yield pa.RecordBatch.from_arrays([_longs(k[first]), _longs(v[first])], ["member", "a"])
 
     # row numbers are short in the shuffle, where keys are random bytes
-    rows = sketched.select("row", "parts")
-    across = rows.mapInArrow(outer, "part long, a long").selectExpr("part", "a", "min(a) OVER (PARTITION BY part) AS b")
+    rows = named.select("row", "rare")
+    across = rows.mapInArrow(outer, "member long, a long").selectExpr("member", "a", "min(a) OVER (PARTITION BY member) AS b")
     found = rows.mapInArrow(inner, "a long, b long").union(across.where("a <> b").select("a", "b")).distinct()
-    names = sketched.select("row", "key")
+    names = named.select("row", "key")
     return (found.join(names.select(F.col("row").alias("a"), F.col("key").alias("ka")), "a")
             .join(names.select(F.col("row").alias("b"), F.col("key").alias("kb")), "b")
             .where("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct())
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
-    """(key, cluster, set) of the sets in ``wanted`` (id, text_hash, key,
-    cluster), from one text each. Texts are compressed for the shuffle."""
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(key, packed, bytes): a text of each set in ``wanted`` (id, text_hash,
+    key), compressed for the shuffle."""
     def packed(batches):
         for b in batches:
             raw = [pa.compress(t.encode(), "zstd", asbytes=True) for t in b.column(2).to_pylist()]
@@ -243,45 +321,61 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text: str) ->
         F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     rows = rows.mapInArrow(packed, f"id {kind}, text_hash long, packed binary, bytes long")
-    texts = (rows.join(wanted.select("id", "text_hash", "key", "cluster"), ["id", "text_hash"]).groupBy("id", "text_hash")
-             .agg(*[F.first(c).alias(c) for c in ("packed", "bytes", "key", "cluster")]))
+    return (rows.join(wanted.select("id", "text_hash", "key"), ["id", "text_hash"]).groupBy("id", "text_hash")
+            .agg(*[F.first(c).alias(c) for c in ("key", "packed", "bytes")]).select("key", "packed", "bytes"))
+
+
+def _read_texts(n: int):
+    """Function from a batch of ``_texts`` to (start, stop, grams, sizes) of runs of it."""
+    def read(b):
+        raw, sizes = b.column(1).to_pylist(), b.column(2).to_pylist()
+        at = 0
+        while at < len(raw):
+            stop, held = at, 0
+            while stop < len(raw) and (stop == at or held < 2_000_000):
+                held += sizes[stop]
+                stop += 1
+            yield at, stop, *shingle_sets([pa.decompress(r, k, "zstd", asbytes=True).decode()
+                                           for r, k in zip(raw[at:stop], sizes[at:stop])], n)
+            at = stop
+
+    return read
+
+
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(key, set) of ``_texts``."""
+    read = _read_texts(n)
 
     def run(batches):
         for b in batches:
-            raw, sizes = b.column(2).to_pylist(), b.column(3).to_pylist()
-            at = 0
-            while at < len(raw):
-                stop, held = at, 0
-                while stop < len(raw) and (stop == at or held < 2_000_000):
-                    held += sizes[stop]
-                    stop += 1
-                own = [pa.decompress(r, k, "zstd", asbytes=True).decode()
-                       for r, k in zip(raw[at:stop], sizes[at:stop])]
-                gram, size = shingle_sets(own, n)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(k).slice(at, stop - at) for k in range(2)] + [_lists(gram, size)], ["key", "cluster", "set"])
-                at = stop
+            for start, stop, gram, size in read(b):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), _lists(gram, size)], ["key", "set"])
 
-    return texts.select("key", "cluster", "packed", "bytes").mapInArrow(run, "key long, cluster long, `set` array<long>")
+    return texts.select("key", "packed", "bytes").mapInArrow(run, "key long, `set` array<long>")
 
 
 def _live(wanted: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
-    """Rows of ``wanted`` whose sets may have a link by their own members."""
+    """Rows of ``wanted`` whose sets may have a link by their own members in the cluster."""
     # counted among a third of all members by hash: that can only be too few
-    members = sets.select("cluster", "key", F.explode(F.filter("set", lambda x: F.pmod(x, F.lit(3)) == 0)).alias("m"))
+    members = sets.join(wanted.select("key", "cluster"), "key").select(
+        "cluster", "key", F.explode(F.filter("set", lambda x: F.pmod(x, F.lit(3)) == 0)).alias("m"))
     lone = (members.groupBy(F.xxhash64("cluster", "m").alias("m")).agg(F.count("*").alias("n"), F.min("key").alias("key"))
             .where("n = 1").groupBy("key").agg(F.count("*").alias("own")))
-    slack = F.expr(f"size - (size * {bound.num} + {bound.den - 1}) div {bound.den}")
-    return wanted.join(lone, "key", "left").where(F.coalesce("own", F.lit(0)) <= slack).drop("own")
+    return _few_own(wanted, lone, bound)
+
+
+def _few_own(wanted: DataFrame, own: DataFrame, bound: Bound) -> DataFrame:
+    """Rows of ``wanted`` (key, size) that have no more own members (key, own) than linked sets may."""
+    return wanted.join(own, "key", "left").where(f"coalesce(own, 0) <= {bound.slack('size')}").drop("own")
 
 
 def _places(live: DataFrame, bound: Bound) -> DataFrame:
-    """(key, to): the pairs of blocks (p, q) that each set is multiplied in, and
+    """(cluster, key, to): the pairs of blocks (p, q) that each set is multiplied in, and
     its side there (0, 1, or 2 for a block with itself)."""
     weight = live.groupBy("cluster").agg(F.sum("size").alias("weight"))
     weighed = live.join(weight, "cluster").select("cluster", "key", "size", "weight")
     one = F.array(F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(2).alias("side")))
-    small = weighed.where(F.col("weight") <= BLOCK).select("key", one.alias("to"))
+    small = weighed.where(F.col("weight") <= BLOCK).select("cluster", "key", one.alias("to"))
     large = weighed.where(F.col("weight") > BLOCK).withColumn(
         "band", F.floor(F.log(F.col("size").cast("double")) / float(np.log(bound.den / bound.num))))
     blocks = large.groupBy("cluster", "band").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
@@ -300,7 +394,7 @@ def _places(live: DataFrame, bound: Bound) -> DataFrame:
           'p', {name.format('band', 'i')}, 'q', {name.format('(band + 1)', 'j')}, 'side', 0)) END,
         CASE WHEN below IS NULL THEN array() ELSE transform(sequence(0L, below - 1), j -> named_struct(
           'p', {name.format('(band - 1)', 'j')}, 'q', {name.format('band', 'i')}, 'side', 1)) END)"""
-    return small.unionByName(x.select("key", F.expr(to).alias("to")))
+    return small.unionByName(x.select("cluster", "key", F.expr(to).alias("to")))
 
 
 def _dealt(sets: DataFrame, live: DataFrame, bound: Bound) -> DataFrame:
@@ -437,23 +531,42 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
     checkpoint_dir(docs.sparkSession)
     bound = Bound(num, den)
-    all_rows = sketches(docs, n, bound, id_col, text).checkpoint().withColumn("row", F.monotonically_increasing_id())
-    sketched = all_rows.where("size > 0 AND id IS NOT NULL")
-    kinds = _kinds(sketched)
+    mask = KEY_MASK
+    all_rows = sketches(docs, n, id_col, text).checkpoint()
+    members = all_rows.agg(F.sum("size")).first()[0] or 0
+
+    def signed(b):
+        return (x[2:] for x in _signed(b.column(0).to_pylist(), n, mask))
+
+    counted = _own_members(docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(text), signed, bound.every(),
+                           members).checkpoint()
+    kinds = _kinds(all_rows.where("size > 0 AND id IS NOT NULL"))
     clash = kinds.where("lo <> hi").select("key")
     if not clash.isEmpty():
         # different sets with one 64-bit key: about three in ten billion sets; they are named anew by both signatures
-        all_rows = all_rows.join(clash.withColumn("clash", F.lit(True)), "key", "left").withColumn(
+        all_rows, counted = (x.join(clash.withColumn("clash", F.lit(True)), "key", "left").withColumn(
             "key", F.when(F.col("clash"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("clash").select(
-            *all_rows.columns)
-        sketched = all_rows.where("size > 0 AND id IS NOT NULL")
-        kinds = _kinds(sketched)
-    edges = _part_edges(sketched).checkpoint()
+            *x.columns) for x in (all_rows, counted))
+        kinds = _kinds(all_rows.where("size > 0 AND id IS NOT NULL"))
+    # by a share of all members first; the texts of what is left are moved once
+    wanted = _few_own(kinds.select("one.id", "one.text_hash", "key", "size"),
+                      counted.groupBy("key").agg(F.sum("own").alias("own")), bound).checkpoint()
+    texts = _texts(docs, wanted, id_col, text).checkpoint()
+    read = _read_texts(n)
+
+    def named(b):
+        keys = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        return ((gram, size, keys[start:stop], np.zeros(stop - start, np.uint64)) for start, stop, gram, size in read(b))
+
+    again = _own_members(texts, named, 1, wanted.agg(F.sum("size")).first()[0] or 0).select("key", "own")
+    few = _few_own(wanted, again, bound).select("key", "size").checkpoint()
+    sets = _sets(texts.join(few, "key"), n).checkpoint()
+    rare = _rare(sets, bound).checkpoint().withColumn("row", F.monotonically_increasing_id())
+    edges = _rare_edges(rare).checkpoint()
     clusters = components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
-    wanted = clusters.join(kinds, "key").select("one.id", "one.text_hash", "key", "cluster", "size").checkpoint()
-    # sets are made twice, of all that share a part and of the few that may have a link, and never stored
-    live = _live(wanted, _sets(docs, wanted, n, id_col, text), bound).checkpoint()
-    found = components(links(_dealt(_sets(docs, live, n, id_col, text), live, bound), bound).checkpoint())
+    chained = clusters.join(few, "key").select("key", "cluster", "size").checkpoint()
+    live = _live(chained, sets, bound).checkpoint()
+    found = components(links(_dealt(sets, live, bound), bound).checkpoint())
     least = (found.join(kinds, found["node"] == kinds["key"]).groupBy("component").agg(F.min("one.id").alias("least")))
     names = found.join(least, "component").select(F.col("node").alias("key"), "least")
     named = kinds.select("key", "one.id").withColumnRenamed("id", "first").join(names, "key", "left").select(
