@@ -8,6 +8,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from widen.llm import html_extract, jaccard, vector_search, warc
@@ -245,6 +246,38 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, n, num, block,
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root(r.doc_id))
 
 
+def test_shingle_sets_of_odd_words(monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG", 20)  # words of 9 to 20 bytes by eights, longer ones by themselves
+    rnd = random.Random(8)
+    texts = [None, "", " \n", "x", "\x00", "\x00\x00", "a b", "A\tB", "a  b\x0bc", "a\x1cb c", "a\u00a0b c", "\u0130 \u00c4 \u00e4"]
+    texts += ["y" * k for k in range(1, 30)] + ["y" * k + "\x00" for k in range(1, 30)] + ["Y" * 17 + z for z in "abA"]
+    vocab = ["y" * k + z for k in (0, 1, 7, 8, 15, 16, 19, 20, 40) for z in ("a", "b", "B", "\x00", "\u00e9", "\U0001f600")]
+    texts += [rnd.choice(" \t\r").join(rnd.choices(vocab, k=rnd.randrange(12))) + rnd.choice(["", "\n", " "]) for _ in range(400)]
+    for n in (1, 3, 5):
+        gram, size = jaccard.shingle_sets(texts, n)
+        want = [shingles(t, n) for t in texts]
+        assert size.tolist() == [len(x) for x in want]
+        sets = [x.tolist() for x in np.split(gram, np.cumsum(size)[:-1])]
+        assert all(x == sorted(x) for x in sets)
+        for (x, a), (y, b) in itertools.combinations(zip(sets, want), 2):
+            assert len(set(x) & set(y)) == len(a & b)
+
+
+def test_words_are_hashed_many_at_a_time(monkeypatch):
+    import types
+
+    calls = []
+
+    def digest(raw, *seed):
+        calls.append(raw)
+        return xxhash.xxh3_64_intdigest(raw, *seed)
+
+    monkeypatch.setattr(jaccard, "xxhash", types.SimpleNamespace(xxh3_64_intdigest=digest, xxh64_intdigest=digest))
+    gram, size = jaccard.shingle_sets([" ".join(f"unseen{j}x{k}" for j in range(1000)) for k in range(20)], 3)
+    assert size.tolist() == [998] * 20 and len(set(gram.tolist())) == 20 * 998
+    assert not calls  # one for each of 20,000 words before
+
+
 def test_block_of_many_small_sets_in_strips(monkeypatch):
     import tracemalloc
 

@@ -46,10 +46,11 @@ from pyspark.sql import functions as F
 from widen.llm.common import slices
 from widen.llm.components import components
 
-#: Bound of the word cache of a task, in entries, of a block, in members, of a
-#: strip of a product, in pairs of sets, and of the members that are counted at a
-#: time: that bounds memory, not the result.
-CACHE, BLOCK, PAIRS, RUN = 500_000, 200_000, 4_000_000, 2_000_000
+#: Bound of a block, in members, of a strip of a product, in pairs of sets, and of
+#: the members that are counted at a time: that bounds memory, not the result.
+BLOCK, PAIRS, RUN = 200_000, 4_000_000, 2_000_000
+#: Words of more bytes are hashed one by one.
+LONG = 64
 #: Bits of the first signature; fewer only in tests of equal ones.
 KEY_MASK = (1 << 64) - 1
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -61,24 +62,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORDS: dict[bytes, int] = {}
+#: By number of bytes, the bits that they take of a number of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > CACHE:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+def _word_hashes(text: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these places, of all at a time: their first eight
+    bytes are mixed in, then the next eight of those that go on."""
+    eights = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))  # from each byte on
+    h = _mix(length.astype(np.uint64) * _A + (eights[start] & _FIRST[np.minimum(length, 8)]))
+    for k in np.flatnonzero(length > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(text[start[k]:start[k] + length[k]])
+    on, done = np.flatnonzero((length > 8) & (length <= LONG)), 8
+    while len(on):
+        left = length[on] - done
+        h[on] = _mix(h[on] * _A + (eights[start[on] + done] & _FIRST[np.minimum(left, 8)]))
+        on, done = on[left > 8], done + 8
+    return h
 
 
 def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of all texts, one text after the other, and
     the number of each. Words are runs without ASCII white space, with A-Z in
     lower case; fewer than n words make one gram."""
-    words = [(t or "").encode().lower().split() for t in texts]
-    count = np.array([len(w) for w in words], np.int64)
-    h = _word_hashes([w for ws in words for w in ws])
+    raw = [(t or "").encode() for t in texts]
+    text = b" ".join(raw).lower()
+    octets = np.frombuffer(text, np.uint8)
+    blank = np.ones(len(text) + 2, bool)
+    blank[1:-1] = (octets == 32) | (octets - np.uint8(9) < 5)
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    begin, length = edge[::2], edge[1::2] - edge[::2]
+    h = _word_hashes(text, begin, length)
+    # texts are one blank apart
+    count = np.diff(np.searchsorted(begin, np.r_[0, np.cumsum([len(r) + 1 for r in raw])]))
     owner = np.repeat(np.arange(len(texts)), count)
     place = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
     # a short text's words, then blanks up to n
@@ -90,8 +106,9 @@ def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarra
         nth = np.where(inside, h[np.minimum(start + k, max(0, len(h) - 1))], np.uint64(k + 1)) if len(h) else gram
         gram = _mix(gram * _A + nth + np.uint64(k))
     own = owner[start]
-    order = np.lexsort((gram, own))
-    gram, own = gram[order], own[order]
+    at = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
+    for a, b in zip(at, at[1:]):
+        gram[a:b].sort()
     if len(gram):
         keep = np.r_[True, (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])]
         gram, own = gram[keep], own[keep]
