@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widen.functions.columns import col
-from widen.functions.ranking import materialised
 from widen.operators.boost import fit_boosted
 from widen.operators.metrics import binary_f1, macro_f1, mae
-from widen.operators.prep import assemble, balance, impute_constant, low_variance, model_frame, split
+from widen.operators.prep import FEW, assemble, balance, counted_frame, impute_constant, low_variance, split
 from widen.operators.profile import task_of
 
 
@@ -44,31 +43,28 @@ class Score:
 
 #: Rows that are worth a partition of their own, and rows that a partition may hold beyond the number of cores.
 WORTH, MOST = 10_000, 1_000_000
-#: Frames of fewer rows stay in the partitions in which they are.
-FEW = 100_000
 
 
-def _dealt(df: DataFrame, few: int) -> DataFrame:
-    """``df`` in about as many partitions as there are cores, if it has ``few``
-    rows or more. In each pass of a forest every partition hands on the sums of
+def _dealt(df: DataFrame, rows: int, few: int) -> DataFrame:
+    """``df`` in about as many partitions as there are cores, if its ``rows`` are
+    ``few`` or more. In each pass of a forest every partition hands on the sums of
     every node that it meets, so what a pass shuffles grows with the partitions
     and not with the rows; and each job of a small frame costs a task a partition."""
-    done = materialised(df)
-    rows = done.count()
     if rows < few:
         return df  # bootstrap samples follow the partitions
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return done.repartition(max(1, min(-(-rows // WORTH), max(cores, -(-rows // MOST)))))
+    return df.repartition(max(1, min(-(-rows // WORTH), max(cores, -(-rows // MOST)))))
 
 
 def _prepared(df: DataFrame, target: str, key: str, task: str, test: float, split_seed: int, few: int = FEW):
     """Model-ready frame, persisted: tree training and evaluation pass over it
     many times, and the preparation (codes, medians, joins) should run once.
-    Persisted blocks are read from the checkpoint if an executor is lost."""
+    Persisted blocks are made from the checkpoint of the joined table if an
+    executor is lost."""
     keyed = df.withColumn("__key", col(key).cast("string")).drop(key)  # the row key is not a feature
-    prepared, feats = model_frame(keyed, target, task, passthrough=["__key"])
+    prepared, feats, rows = counted_frame(keyed, target, task, passthrough=["__key"])
     prepared = split(prepared, "__key", test=test, seed=split_seed)
-    return assemble(_dealt(prepared, few), feats).persist(StorageLevel.MEMORY_AND_DISK), feats
+    return assemble(_dealt(prepared, rows, few), feats).persist(StorageLevel.MEMORY_AND_DISK), feats
 
 
 def _mean(values) -> float | None:
